@@ -163,6 +163,7 @@ class OrderedScan:
 
     def __init__(self, rows: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Cuts | None = None):
         self.keys, self.order, self.hot = list(keys), list(order), cuts is not None
+        self._columns = rows.columns
         self.rows = with_slice(rows, order, cuts) if cuts is not None else rows
 
     def add(self, **scans: Scan) -> OrderedScan:
@@ -190,9 +191,7 @@ class OrderedScan:
         merged = {name: s.merge(F.col(name), F.col(f"_before_{name}")) for name, s in scans.items()}
         return joined.withColumns(merged).drop(*[f"_before_{name}" for name in scans])
 
-    def where(self, condition: Column) -> OrderedScan:
-        self.rows = self.rows.where(condition)
-        return self
-
     def result(self) -> DataFrame:
-        return self.rows.drop(SLICE) if self.hot else self.rows
+        """The input columns in their order, then the added ones."""
+        have = [c for c in self.rows.columns if c != SLICE]
+        return self.rows.select(*[c for c in self._columns if c in have], *[c for c in have if c not in self._columns])

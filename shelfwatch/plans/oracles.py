@@ -305,6 +305,12 @@ ORACLES: dict[str, str] = {
  SELECT cycle_id, fetched, saved, events, coalesce(worst, 'P3') AS top_severity, elapsed_ms, results FROM stats LEFT JOIN worst USING (cycle_id) LEFT JOIN span USING (cycle_id)""",
 }
 
+ORACLES["stream_version_diff"] = ORACLES["diff_events"]
+ORACLES["stream_request_dedupe"] = ORACLES["request_dedupe_hits"]
+ORACLES["stream_source_health"] = f"""{_FOLD} SELECT source_id, seq, opened, run_failures, opens, streak, total AS total_failures,
+ CASE WHEN run_failures >= 5 THEN 'open' ELSE 'closed' END AS breaker, paused FROM fold WHERE n > 0"""
+ORACLES["changes_per_day"] = f"""WITH {_EVENTS} SELECT strftime(fetched_at, '%Y-%m-%d') AS day, severity, count(*) AS changes FROM chg GROUP BY ALL"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

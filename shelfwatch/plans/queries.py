@@ -13,6 +13,8 @@ from ..functions.scalars import canonical_url, content_fp, request_fp, short_fp,
 from ..operators import changes, classify, cycles, fetchlog, health, request_dedupe, responses, versions
 from ..operators.ordered import Cuts, find_cuts
 from ..sources import declarations, payloads, sinks, tables
+from ..streaming import health as streaming_health
+from ..streaming import jobs, requests, windows
 
 RETENTION_AS_OF = datetime(2001, 11, 4)
 LOG_AS_OF = datetime(2024, 1, 31)
@@ -527,5 +529,41 @@ def cycle_report(i: Inputs) -> DataFrame:
     )
 
 
+# ---- streams: whole tables replayed as streams ----
+@query
+def stream_version_diff(i: Inputs) -> DataFrame:
+    lines = jobs.as_stream(i.spark, i.dir, "lineitem.parquet")
+    arriving = i.spark.sql(tables.RECORDS_SQL, lineitem=lines, part=tables.table(i.spark, i.dir, "part"))
+    folder = jobs.version_diff(versions.with_content_fp(arriving), jobs.work_folder(i.spark, "version-diff"))
+    return i.spark.read.parquet(f"{folder}/events").select(*_EVENT)
+
+
+def _log_stream(i: Inputs) -> DataFrame:
+    jobs.use_rocksdb(i.spark)
+    return i.spark.sql(tables.FETCH_LOG_SQL, events=jobs.as_stream(i.spark, i.dir, "events.parquet"))
+
+
+@query
+def stream_request_dedupe(i: Inputs) -> DataFrame:
+    arriving = _log_stream(i).withColumn("request_fp", request_fp(canonical_url(F.col("url"))))
+    hits = requests.request_dedupe_stream(request_dedupe.dedupe_input(arriving), DEDUPE_TTL)
+    folder = jobs.work_folder(i.spark, "request-dedupe")
+    return jobs.run_to_table(hits, f"{folder}/hits", f"{folder}/checkpoint").select("source_id", "seq", "hit")
+
+
+@query
+def stream_source_health(i: Inputs) -> DataFrame:
+    states = streaming_health.source_health_stream(fetchlog.attempt_outcome(_log_stream(i)))
+    folder = jobs.work_folder(i.spark, "source-health")
+    done = jobs.run_to_table(states, f"{folder}/states", f"{folder}/checkpoint")
+    return done.select("source_id", "seq", "opened", "run_failures", "opens", "streak", "total_failures", "breaker", "paused")
+
+
+@query
+def changes_per_day(i: Inputs) -> DataFrame:
+    counts = windows.changes_per_window(i.events, width="1 day")
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "severity", "changes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, fn=fn: fn(Inputs(spark, sf_dir))) for name, fn in QUERIES.items()}
