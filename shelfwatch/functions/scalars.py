@@ -67,7 +67,7 @@ def clamped_ttl(ttl: Column, interval: Column, override: Column | None = None) -
     half = F.greatest(F.lit(60), F.floor(interval / 2))
     clamped = F.greatest(F.lit(0), F.least(ttl, half))
     if override is not None:
-        clamped = F.coalesce(F.greatest(F.lit(0), override), clamped)
+        clamped = F.when(override.isNotNull(), F.greatest(F.lit(0), override)).otherwise(clamped)
     return clamped.cast("bigint")
 
 
