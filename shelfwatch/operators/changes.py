@@ -1,12 +1,13 @@
 """Field-by-field change detection between an item version and the one before it.
 
-All eight checks are evaluated in one pass over the pairs: each yields a struct or null, and the
-non-null ones are exploded. No self-joins and no union of eight scans.
+All eight checks are evaluated in one pass over the pairs, and the numbers of those that hit are
+exploded. No self-joins and no union of eight scans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,41 +25,26 @@ def _number(column: Column) -> Column:
     return column.cast("double")
 
 
-def _event(
-    field: str,
-    changed: Column,
-    severity: Column | str,
-    text: Column | str,
-    old: Column,
-    new: Column,
-    old_num: Column | None = None,
-    new_num: Column | None = None,
-    ratio: Column | None = None,
-) -> Column:
-    none = F.lit(None).cast("double")
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.when(
-        changed,
-        F.struct(
-            F.lit(FIELDS.index(field) + 1).alias("check_no"),
-            F.lit(field).alias("field"),
-            as_col(severity).alias("severity"),
-            old.cast("string").alias("old_value"),
-            new.cast("string").alias("new_value"),
-            (none if old_num is None else old_num).alias("old_num"),
-            (none if new_num is None else new_num).alias("new_num"),
-            (none if ratio is None else ratio).alias("ratio"),
-            as_col(text).alias("event"),
-        ),
-    )
+@dataclass(frozen=True)
+class Check:
+    """What one check says about a pair: whether the field changed, and the columns of its event."""
+
+    changed: Column
+    severity: Column | str
+    event: Column | str
+    old_value: Column
+    new_value: Column
+    old_num: Column | None = None
+    new_num: Column | None = None
+    ratio: Column | None = None
 
 
-def _listing_status(old: Column, new: Column, exact: bool) -> Column:
+def _listing_status(old: Column, new: Column, exact: bool) -> Check:
     text = F.when(new.eqNullSafe(F.lit("on_sale")), V.TEXT_ON_SALE).otherwise(V.TEXT_OFF_SALE)
-    return _event("listing_status", ~old.eqNullSafe(new), "P0", text, old, new)
+    return Check(~old.eqNullSafe(new), "P0", text, old, new)
 
 
-def _price(old: Column, new: Column, exact: bool) -> Column:
+def _price(old: Column, new: Column, exact: bool) -> Check:
     was, now = _number(old), _number(new)
     ratio = relative_change(was, now)
     step = ratio
@@ -72,51 +58,47 @@ def _price(old: Column, new: Column, exact: bool) -> Column:
         .otherwise("P2")
     )
     text = F.concat(F.lit(V.TEXT_PRICE), signed_percent(ratio))
-    return _event("price", was != now, severity, text, was, now, was, now, ratio)
+    return Check(was != now, severity, text, was, now, was, now, ratio)
 
 
-def _stock(old: Column, new: Column, exact: bool) -> Column:
+def _stock(old: Column, new: Column, exact: bool) -> Check:
     was, now = _number(old), _number(new)
     ratio = relative_change(was, now)
     severity = F.when(now == 0, "P0").when(ratio <= -V.STOCK_CRASH_RATIO, "P1").otherwise("P3")
-    return _event(
-        "stock", was != now, severity, V.TEXT_STOCK, was.cast("bigint"), now.cast("bigint"), was, now, ratio
-    )
+    return Check(was != now, severity, V.TEXT_STOCK, was.cast("bigint"), now.cast("bigint"), was, now, ratio)
 
 
-def _main_image(old: Column, new: Column, exact: bool) -> Column:
+def _main_image(old: Column, new: Column, exact: bool) -> Check:
     shown = F.lit(V.TEXT_OLD_IMAGE), F.lit(V.TEXT_NEW_IMAGE)
-    return _event("main_image", ~old.eqNullSafe(new), "P1", V.TEXT_IMAGE, *shown)
+    return Check(~old.eqNullSafe(new), "P1", V.TEXT_IMAGE, *shown)
 
 
-def _title(old: Column, new: Column, exact: bool) -> Column:
+def _title(old: Column, new: Column, exact: bool) -> Check:
     was, now = F.coalesce(old, F.lit("")), F.coalesce(new, F.lit(""))
     gained, lost = word_changes(was, now)
     text = F.concat(
         F.lit(V.TEXT_TITLE_GAINED), word_list_text(gained), F.lit(V.TEXT_TITLE_LOST), word_list_text(lost)
     )
     shown = F.substring(was, 1, V.TITLE_SHOWN_CHARS), F.substring(now, 1, V.TITLE_SHOWN_CHARS)
-    return _event("title", was != now, "P2", text, *shown)
+    return Check(was != now, "P2", text, *shown)
 
 
-def _promotion(old: Column, new: Column, exact: bool) -> Column:
-    return _event("promotion", ~old.eqNullSafe(new), "P1", V.TEXT_PROMOTION, old, new)
+def _promotion(old: Column, new: Column, exact: bool) -> Check:
+    return Check(~old.eqNullSafe(new), "P1", V.TEXT_PROMOTION, old, new)
 
 
-def _review_count(old: Column, new: Column, exact: bool) -> Column:
+def _review_count(old: Column, new: Column, exact: bool) -> Check:
     was, now = _number(old), _number(new)
-    return _event(
-        "review_count", now > was, "P3", V.TEXT_REVIEWS, was.cast("bigint"), now.cast("bigint"), was, now
-    )
+    return Check(now > was, "P3", V.TEXT_REVIEWS, was.cast("bigint"), now.cast("bigint"), was, now)
 
 
-def _rating(old: Column, new: Column, exact: bool) -> Column:
+def _rating(old: Column, new: Column, exact: bool) -> Check:
     was, now = _number(old), _number(new)
     fall = was - now if not exact else was.cast("decimal(18,2)") - now.cast("decimal(18,2)")
-    return _event("rating", fall >= _limit(V.RATING_DROP, exact), "P1", V.TEXT_RATING, was, now, was, now)
+    return Check(fall >= _limit(V.RATING_DROP, exact), "P1", V.TEXT_RATING, was, now, was, now)
 
 
-def _limit(value: float, exact: bool) -> Column:
+def _limit(value: float, exact: bool) -> Check:
     return F.lit(value) if not exact else F.lit(f"{value:.2f}").cast("decimal(4,2)")
 
 
@@ -132,16 +114,42 @@ CHECKS = {
 }
 
 
+def _checks(fields: Sequence[str], exact: bool) -> dict[int, Check]:
+    return {FIELDS.index(f) + 1: CHECKS[f](F.col("prev")[f], F.col(f), exact) for f in fields}
+
+
 def diff_events(
     pairs: DataFrame, fields: Sequence[str] = FIELDS, kept: Sequence[str] = KEPT, exact: bool = False
 ) -> DataFrame:
-    """One row per changed field, in check order; an item's first version gives none."""
-    found = F.array(*[CHECKS[f](F.col("prev")[f], F.col(f), exact) for f in fields])
-    return (
+    """One row per changed field, in check order; an item's first version gives none.
+
+    Only check numbers are exploded. The columns of an event are worked out behind the explode, so
+    columns nobody selects cost nothing.
+    """
+    checks = _checks(fields, exact)
+    found = F.array(*[F.when(check.changed, F.lit(no)) for no, check in checks.items()])
+    hits = (
         pairs.where(F.col("prev").isNotNull())
-        .select(*kept, F.explode(found).alias("e"))
-        .where(F.col("e").isNotNull())
-        .select(*kept, "e.*")
+        .select(*kept, *[f for f in fields if f not in kept], "prev", F.explode(found).alias("check_no"))
+        .where(F.col("check_no").isNotNull())
+    )
+
+    def pick(part: str, kind: str) -> Column:
+        chosen = F.lit(None).cast(kind)
+        for no, check in reversed(checks.items()):
+            value = getattr(check, part)
+            if value is not None:
+                value = value if isinstance(value, Column) else F.lit(value)
+                chosen = F.when(F.col("check_no") == no, value.cast(kind)).otherwise(chosen)
+        return chosen.alias(part)
+
+    return hits.select(
+        *kept,
+        "check_no",
+        F.element_at(F.array(*[F.lit(f) for f in FIELDS]), F.col("check_no")).alias("field"),
+        *[pick(part, "string") for part in ("severity", "old_value", "new_value")],
+        *[pick(part, "double") for part in ("old_num", "new_num", "ratio")],
+        pick("event", "string"),
     )
 
 
@@ -159,8 +167,9 @@ def baselines(pairs: DataFrame, kept: Sequence[str] = KEPT) -> DataFrame:
 
 def silent_versions(pairs: DataFrame, kept: Sequence[str] = KEPT) -> DataFrame:
     """Versions stored because the content differs, though no checked field does (skus, list price)."""
-    changed = F.array(*[CHECKS[f](F.col("prev")[f], F.col(f), False) for f in FIELDS])
-    quiet = F.forall(changed, lambda e: e.isNull())
+    quiet = F.lit(True)
+    for check in _checks(FIELDS, exact=False).values():
+        quiet = quiet & ~F.coalesce(check.changed, F.lit(False))
     return pairs.where(F.col("prev").isNotNull()).where(quiet).select(*kept)
 
 

@@ -13,16 +13,14 @@ SOURCE = "source_id"
 LOG_ORDER = ("ts", "seq")
 
 
-def _first_truthy(body: Column, doc: Column, names: tuple[str, ...]) -> Column:
-    """Text of the first listed member that is neither missing, null, empty, 0 nor false."""
-    options = []
-    for name in names:
-        text = F.get_json_object(body, f"$.{name}")
-        kind = F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant"))
-        zero = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & (text.try_cast("double") == 0)
-        falsy = zero | ((kind == "BOOLEAN") & (text == "false")) | text.isin("", "[]", "{}")
-        options.append(F.when(~F.coalesce(falsy, F.lit(False)), text))
-    return F.coalesce(*options, F.lit(""))
+_CODE_MEMBERS = "struct<code variant, error_code variant, sub_code variant, error_description variant, msg variant, message variant>"
+_EMPTY_JSON = ("null", "0", "0.0", "-0.0", "false", '""', "[]", "{}")
+
+
+def _first_filled(members: Column, *names: str) -> Column:
+    """JSON text of the first named member that is neither missing nor null, empty, 0 or false."""
+    texts = [F.to_json(members[name]) for name in names]
+    return F.coalesce(*[F.when(~t.isin(*_EMPTY_JSON), t) for t in texts], F.lit(""))
 
 
 def with_response_class(
@@ -35,16 +33,16 @@ def with_response_class(
     The steps are separate projections so that each body is parsed once.
     """
     rows = answers.withColumn("_text", F.substring(F.coalesce(F.col(body), F.lit("")), 1, V.BODY_CHARS_READ))
-    rows = rows.withColumn("_doc", F.try_parse_json("_text"))
-    text, doc = F.col("_text"), F.col("_doc")
+    rows = rows.withColumn("_members", F.try_variant_get(F.try_parse_json("_text"), "$", _CODE_MEMBERS))
+    members = F.col("_members")
     joined = F.concat_ws(
         "|",
-        _first_truthy(text, doc, ("code", "error_code")),
-        _first_truthy(text, doc, ("sub_code", "error_description")),
-        _first_truthy(text, doc, ("msg", "message")),
+        _first_filled(members, "code", "error_code"),
+        _first_filled(members, "sub_code", "error_description"),
+        _first_filled(members, "msg", "message"),
     )
-    rows = rows.withColumn("_codes", F.when(doc.isNull(), "||").otherwise(F.upper(joined)))
-    codes, code = F.col("_codes"), F.col(status)
+    rows = rows.withColumn("_codes", F.upper(joined))
+    text, codes, code = F.col("_text"), F.col("_codes"), F.col(status)
     auth_text = text.rlike(f"(?iU){V.AUTH_PATTERN}")
     auth_code = codes.contains("INVALIDSESSION") | (codes.contains("SIGN") & codes.contains("ERROR"))
     rate_codes = [c.upper() for c in V.RATE_CODES] if fix_rate_codes else list(V.RATE_CODES)
@@ -57,7 +55,7 @@ def with_response_class(
         .when(auth_text | auth_code, "auth_expired")
         .when(text.rlike(f"(?iU){V.RATE_PATTERN}") | contains_any(codes, rate_codes), "rate_limited")
     )
-    return rows.withColumn("anomaly", anomaly).drop("_text", "_doc", "_codes")
+    return rows.withColumn("anomaly", anomaly).drop("_text", "_members", "_codes")
 
 
 def context_mismatch(log: DataFrame) -> DataFrame:

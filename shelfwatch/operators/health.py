@@ -43,9 +43,20 @@ def cooldown_seconds(opens: Column, policy: BreakerPolicy) -> Column:
     return F.least(grown, F.lit(float(policy.max_open_seconds)))
 
 
-def breaker_log(attempts: DataFrame, policy: BreakerPolicy = BreakerPolicy(), cuts: Cuts | None = None) -> DataFrame:
+STATE = ("run_failures", "streak", "total_failures", "opens", "breaker", "open_until_us", "paused", "pause_reason")
+
+
+def breaker_log(
+    attempts: DataFrame,
+    policy: BreakerPolicy = BreakerPolicy(),
+    cuts: Cuts | None = None,
+    start: DataFrame | None = None,
+) -> DataFrame:
     """Every attempt with the breaker and pause state right after it.
 
+    ``start`` (source_id and the ``STATE`` columns, see ``last_state``) continues from earlier
+    attempts; sources not in it start healthy.
+
     Adds run_failures (breaker failures since the last close), opens, opened, cooldown_s, open_until_us,
     breaker ('closed'/'open'/'half_open'), streak, total_failures, pause_trigger, paused, pause_reason.
     """
@@ -57,22 +68,30 @@ def breaker_log(attempts: DataFrame, policy: BreakerPolicy = BreakerPolicy(), cu
     passed_gate = kind.isin("throttled", "quota_exceeded", "dedup")
     at = F.struct(*LOG_ORDER)
 
-    scan = OrderedScan(attempts, [SOURCE], LOG_ORDER, cuts)
+    rows = attempts
+    if start is not None:
+        # one row per source; Spark picks the join by its size
+        rows = attempts.join(start.select(SOURCE, F.struct(*STATE).alias("_start")), SOURCE, "left")
+    begin = (lambda name: F.col("_start")[name]) if start is not None else (lambda name: F.lit(None))
+    carried = lambda name: F.coalesce(begin(name), F.lit(0))
+    scan = OrderedScan(rows, [SOURCE], LOG_ORDER, cuts)
     scan = scan.add(_weight=running_sum(weight), _noted=running_sum(noted.cast("int")))
     scan = scan.add(
         _weight_closed=running_max(F.when(closes, F.col("_weight"))),
         _noted_closed=running_max(F.when(closes, F.col("_noted"))),
         _noted_resumed=running_max(F.when(kind == "resume", F.col("_noted"))),
     )
-    since = lambda total, mark: F.col(total) - F.coalesce(F.col(mark), F.lit(0))
+    # before the first close of this log the count goes on from where it started
+    since = lambda total, mark, name: F.col(total) + F.coalesce(-F.col(mark), carried(name))
     scan.rows = (
-        scan.rows.withColumn("run_failures", since("_weight", "_weight_closed"))
-        .withColumn("streak", since("_noted", "_noted_closed"))
-        .withColumn("total_failures", since("_noted", "_noted_resumed"))
+        scan.rows.withColumn("run_failures", since("_weight", "_weight_closed", "run_failures"))
+        .withColumn("streak", since("_noted", "_noted_closed", "streak"))
+        .withColumn("total_failures", since("_noted", "_noted_resumed", "total_failures"))
         .withColumn("opened", failed & (F.col("run_failures") >= policy.failure_threshold))
         .drop("_weight", "_weight_closed", "_noted", "_noted_closed", "_noted_resumed")
     )
     scan = scan.add(opens=running_sum(F.col("opened").cast("int")))
+    scan.rows = scan.rows.withColumn("opens", F.col("opens") + carried("opens"))
     cooldown = cooldown_seconds(F.col("opens"), policy)
     scan.rows = scan.rows.withColumn("cooldown_s", F.when(F.col("opened"), cooldown)).withColumn(
         "_until", F.when(F.col("opened"), _micros(F.col("ts")) + (cooldown * 1e6).cast("bigint"))
@@ -106,21 +125,32 @@ def breaker_log(attempts: DataFrame, policy: BreakerPolicy = BreakerPolicy(), cu
             .when(F.col("pause_trigger").isNotNull(), F.struct(reason.alias("why")))
         ),
     )
-    open_since_close = F.col("_last_open").isNotNull() & (
-        F.col("_last_close").isNull() | (F.col("_last_open") > F.col("_last_close"))
+    was_open = F.coalesce(begin("breaker") == "open", F.lit(False)) & F.col("_last_close").isNull()
+    open_since_close = F.coalesce(
+        F.col("_last_open") > F.col("_last_close"), F.col("_last_open").isNotNull() & F.col("_last_close").isNull()
     )
+    gate = F.col("_gate")["state"]
     state = (
-        F.when(F.col("_gate")["state"] == "open", "open")
-        .when((F.col("_gate")["state"] == "passed") & open_since_close, "half_open")
+        F.when(gate.isNull(), F.coalesce(begin("breaker"), F.lit("closed")))
+        .when(gate == "open", "open")
+        .when((gate == "passed") & (open_since_close | was_open), "half_open")
+        .when((gate == "passed") & F.col("_last_close").isNull() & F.coalesce(begin("breaker") == "half_open", F.lit(False)), "half_open")
         .otherwise("closed")
     )
+    until = F.when(gate.isNull(), begin("open_until_us").cast("bigint")).otherwise(F.col("_gate")["until"])
+    why = F.when(F.col("_pause").isNull(), begin("pause_reason").cast("string")).otherwise(F.col("_pause")["why"])
     return scan.result().select(
         *attempts.columns, "run_failures", "streak", "total_failures", "opened", "opens", "cooldown_s",
-        F.col("_gate")["until"].alias("open_until_us"), state.alias("breaker"), "pause_trigger",
-        F.col("_pause")["why"].isNotNull().alias("paused"), F.col("_pause")["why"].alias("pause_reason"),
+        until.alias("open_until_us"), state.alias("breaker"), "pause_trigger", why.isNotNull().alias("paused"), why.alias("pause_reason"),
     )
 
 
+def last_state(log: DataFrame) -> DataFrame:
+    """The newest state of each source in a breaker log; an aggregate, reduced before the exchange."""
+    newest = log.groupBy(SOURCE).agg(F.max_by(F.struct(*STATE), F.struct(*LOG_ORDER)).alias("_last"))
+    return newest.select(SOURCE, "_last.*")
+
+
 def breaker_episodes(
     attempts: DataFrame, policy: BreakerPolicy = BreakerPolicy(), cuts: Cuts | None = None
 ) -> DataFrame:

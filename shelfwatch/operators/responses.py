@@ -11,7 +11,17 @@ from ..functions.scalars import role_or_unknown
 from .classify import event_category
 from .ordered import Cuts, OrderedScan, position
 
-EVENT_SCHEMA = "array<struct<item_id string, role string, severity string, field string, old_value string, new_value string, event string>>"
+_EVENT_MEMBERS = (
+    "struct<item_id string, role string, severity string, field string, old_value variant, new_value variant, event string>"
+)
+
+
+def _as_number(value: Column) -> Column:
+    """The value of a JSON number (booleans count as 0 and 1), null for any other type."""
+    kind = F.schema_of_variant(value)
+    flag = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int").cast("double"))
+    number = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(value, "$", "double"))
+    return F.coalesce(flag, number)
 
 
 def parse_events_json(documents: DataFrame, text: str = "diff_events") -> DataFrame:
@@ -20,28 +30,17 @@ def parse_events_json(documents: DataFrame, text: str = "diff_events") -> DataFr
     Elements that are not objects are skipped. Whether a value is a number is decided by its JSON
     type, as the category rules ask: the text "0" is not the number 0.
     """
+    kept = [c for c in documents.columns if c != text]
     listed = F.try_variant_get(F.try_parse_json(F.col(text)), "$", "array<variant>")
-    rows = documents.withColumn("_list", listed).select(
-        *[c for c in documents.columns if c != text], F.posexplode("_list").alias("pos", "_e")
-    )
-    rows = rows.where(F.schema_of_variant("_e").startswith("OBJECT"))
-
-    def text_of(name: str) -> Column:
-        return F.try_variant_get("_e", f"$.{name}", "string")
-
-    def number_of(name: str) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get("_e", f"$.{name}", "variant"))
-        numeric = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$")
-        flag = F.try_variant_get("_e", f"$.{name}", "boolean").cast("int").cast("double")
-        return F.when(numeric, F.when(kind == "BOOLEAN", flag).otherwise(F.try_variant_get("_e", f"$.{name}", "double")))
-
-    names = ("item_id", "severity", "field", "old_value", "new_value", "event")
-    typed = rows.select(
-        *[c for c in rows.columns if c != "_e"],
-        *[text_of(n).alias(n) for n in names],
-        role_or_unknown(text_of("role")).alias("role"),
-        number_of("old_value").alias("old_num"),
-        number_of("new_value").alias("new_num"),
+    elements = documents.select(*kept, F.posexplode(listed).alias("pos", "_e"))
+    objects = elements.select(*kept, "pos", F.try_variant_get("_e", "$", _EVENT_MEMBERS).alias("_m")).where("_m IS NOT NULL")
+    typed = objects.select(
+        *kept, "pos", "_m.item_id", "_m.severity", "_m.field", "_m.event",
+        F.try_variant_get("_m.old_value", "$", "string").alias("old_value"),
+        F.try_variant_get("_m.new_value", "$", "string").alias("new_value"),
+        role_or_unknown(F.col("_m.role")).alias("role"),
+        _as_number(F.col("_m.old_value")).alias("old_num"),
+        _as_number(F.col("_m.new_value")).alias("new_num"),
     )
     category = event_category(*[F.col(c) for c in ("role", "field", "new_value", "old_num", "new_num")])
     return typed.withColumn("category", category)

@@ -27,18 +27,22 @@ def with_content_fp(records: DataFrame) -> DataFrame:
 def first_versions(records: DataFrame, order: Sequence[str] = ORDER, cuts: Cuts | None = None) -> DataFrame:
     """Keep a record only if its content was never seen before for that item.
 
-    Without hot items one exchange on the item serves this step and the predecessor window after it.
-    With hot items the rows spread by (item, fingerprint); Spark then keeps the best row per group
-    before the exchange, so even copies of one single content reach a task pre-reduced.
+    Without hot items one exchange on the item serves this step and the predecessor window after it;
+    the fingerprint is taken behind the exchange, so it is not shuffled. With hot items the rows
+    spread by (item, fingerprint); Spark then keeps the best row per group before the exchange, so
+    even copies of one single content reach a task pre-reduced.
     """
     rows = records.repartition(ITEM) if cuts is None else records
+    rows = rows if FP in rows.columns else with_content_fp(rows)
     by_content = Window.partitionBy(ITEM, FP).orderBy(*order)
     return rows.withColumn("_nth", F.row_number().over(by_content)).where("_nth = 1").drop("_nth")
 
 
 def changed_versions(records: DataFrame, order: Sequence[str] = ORDER, cuts: Cuts | None = None) -> DataFrame:
     """The other dedupe: keep a record if its content differs from the record just before it."""
-    scan = OrderedScan(records, [ITEM], order, cuts).add(_before=previous(F.struct(FP)))
+    rows = records.repartition(ITEM) if cuts is None else records
+    rows = rows if FP in rows.columns else with_content_fp(rows)
+    scan = OrderedScan(rows, [ITEM], order, cuts).add(_before=previous(F.struct(FP)))
     return scan.result().where(~F.col(FP).eqNullSafe(F.col("_before")[FP])).drop("_before")
 
 

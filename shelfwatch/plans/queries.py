@@ -48,7 +48,7 @@ class Inputs:
 
     @cached_property
     def kept(self) -> DataFrame:
-        return versions.first_versions(versions.with_content_fp(self.records), cuts=self.item_cuts)
+        return versions.first_versions(self.records, cuts=self.item_cuts)
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -74,6 +74,10 @@ class Inputs:
     def log(self) -> DataFrame:
         return tables.fetch_log(self.spark, self.dir)
 
+    @cached_property
+    def log_positions(self) -> DataFrame:
+        return tables.fetch_log_as_stored(self.spark, self.dir).select("source_id", "ts", "seq", "url", "ok")
+
     @cached_property
     def sources(self) -> DataFrame:
         return tables.sources(self.spark, self.dir)
@@ -84,20 +88,23 @@ class Inputs:
 
     @cached_property
     def source_cuts(self) -> Cuts | None:
-        return find_cuts(self.log, ["source_id"], fetchlog.LOG_ORDER)
+        return find_cuts(self.log_positions, ["source_id"], fetchlog.LOG_ORDER)
 
     @cached_property
     def source_day_cuts(self) -> Cuts | None:
-        days = self.log.withColumn("day", fetchlog.local_day(F.col("ts"), "UTC"))
+        days = self.log_positions.withColumn("day", fetchlog.local_day(F.col("ts"), "UTC"))
         return find_cuts(days, ["source_id", "day"], fetchlog.LOG_ORDER)
 
     @cached_property
     def requests(self) -> DataFrame:
-        return request_dedupe.dedupe_input(self.log.withColumn("request_fp", request_fp(canonical_url(F.col("url")))))
+        return self._requests(self.log)
+
+    def _requests(self, log: DataFrame) -> DataFrame:
+        return request_dedupe.dedupe_input(log.withColumn("request_fp", request_fp(canonical_url(F.col("url")))))
 
     @cached_property
     def deduped(self) -> DataFrame:
-        cuts = find_cuts(self.requests, request_dedupe.KEY, request_dedupe.ORDER)
+        cuts = find_cuts(self._requests(self.log_positions), request_dedupe.KEY, request_dedupe.ORDER)
         return request_dedupe.request_dedupe(self.requests, DEDUPE_TTL, cuts)
 
     # ---- cycles ----
@@ -231,7 +238,7 @@ def baselines(i: Inputs) -> DataFrame:
 def silent_versions(i: Inputs) -> DataFrame:
     # copies of a version that differ only in a field no check reads
     rec = i.records.withColumn("original_price", F.col("original_price") + (F.col("seq") % 2).cast("double"))
-    kept = versions.first_versions(versions.with_content_fp(rec), cuts=i.item_cuts)
+    kept = versions.first_versions(rec, cuts=i.item_cuts)
     pairs = versions.version_pairs(kept, changes.FIELDS, cuts=i.item_cuts)
     return changes.silent_versions(pairs).select("item_id", "seq")
 
@@ -260,7 +267,7 @@ def dedupe_versions(i: Inputs) -> DataFrame:
 
 @query
 def dedupe_consecutive(i: Inputs) -> DataFrame:
-    return versions.changed_versions(versions.with_content_fp(i.records), cuts=i.item_cuts).select("item_id", "seq")
+    return versions.changed_versions(i.records, cuts=i.item_cuts).select("item_id", "seq")
 
 
 @query
@@ -553,9 +560,10 @@ def stream_request_dedupe(i: Inputs) -> DataFrame:
 
 @query
 def stream_source_health(i: Inputs) -> DataFrame:
-    states = streaming_health.source_health_stream(fetchlog.attempt_outcome(_log_stream(i)))
     folder = jobs.work_folder(i.spark, "source-health")
-    done = jobs.run_to_table(states, f"{folder}/states", f"{folder}/checkpoint")
+    arriving = fetchlog.attempt_outcome(_log_stream(i))
+    streaming_health.start_source_health(arriving, folder, f"{folder}/checkpoint").awaitTermination()
+    done = i.spark.read.parquet(f"{folder}/attempts")
     return done.select("source_id", "seq", "opened", "run_failures", "opens", "streak", "total_failures", "breaker", "paused")
 
 

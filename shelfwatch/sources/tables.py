@@ -64,6 +64,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Use all cores when the input has fewer splits than the cluster has cores.
+
+    For work that is heavy per row (JSON text) on a few small files; large inputs pass unchanged.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         RECORDS_SQL, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part")
@@ -83,9 +92,14 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TARGETS_SQL, part=table(spark, sf_dir, "part"))
 
 
-def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fetch_log_as_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FETCH_LOG_SQL, events=table(spark, sf_dir, "events"))
 
+
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(FETCH_LOG_SQL, events=spread(table(spark, sf_dir, "events"), "event_id"))
+
+
 # sources: suppliers with the policy columns a fetch source declares
 SOURCES_SQL = """
 SELECT concat('src', CAST(s_suppkey AS STRING)) AS source_id, s_suppkey AS ord, s_suppkey % 7 <> 6 AS enabled,
@@ -164,7 +178,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PAYLOADS_SQL, records=records(spark, sf_dir))
+    return spark.sql(PAYLOADS_SQL, records=spread(records(spark, sf_dir), "seq"))
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,12 +186,12 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def http_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(HTTP_SQL, events=table(spark, sf_dir, "events"))
+    return spark.sql(HTTP_SQL, events=spread(table(spark, sf_dir, "events"), "event_id"))
 
 
 def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(EVENT_DOCUMENTS_SQL, records=records(spark, sf_dir))
+    return spark.sql(EVENT_DOCUMENTS_SQL, records=spread(records(spark, sf_dir), "seq"))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RESPONSES_SQL, records=records(spark, sf_dir))
+    return spark.sql(RESPONSES_SQL, records=spread(records(spark, sf_dir), "seq"))

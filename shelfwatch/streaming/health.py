@@ -1,89 +1,52 @@
-"""Source health on a stream of attempts: breaker and pause state per source, one state row each."""
+"""Source health on a stream of attempts, micro-batch by micro-batch.
 
-from __future__ import annotations
+Each batch continues the breaker log from the states the batch before it left (one row per source).
+The work inside a batch is the batch operator itself, so a source that sends most of the rows is
+sliced like anywhere else, and no attempt passes through Python.
+"""
 
-from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from ..functions import fixed_values as V
-from ..operators.fetchlog import SOURCE
-from ..operators.health import BreakerPolicy
-
-_STATE = "run_failures bigint, opens bigint, streak bigint, total_failures bigint, breaker string, open_until_us bigint, paused boolean"
-_OUTPUT = f"source_id string, seq bigint, ts_us bigint, outcome string, opened boolean, {_STATE}"
-
-
-@dataclass
-class SourceHealth:
-    run_failures: int = 0
-    opens: int = 0
-    streak: int = 0
-    total_failures: int = 0
-    breaker: str = "closed"
-    open_until_us: int | None = None
-    paused: bool = False
-
-    def step(self, outcome: str, ts_us: int, policy: BreakerPolicy) -> bool:
-        """Take one attempt; true when it opened the breaker. Same rules as the batch columns."""
-        opened = False
-        if outcome in ("ok", "resume"):
-            self.run_failures, self.streak, self.breaker, self.open_until_us = 0, 0, "closed", None
-            if outcome == "resume":
-                self.total_failures, self.paused = 0, False
-        elif outcome in V.ANOMALIES or outcome == "breaker_open":
-            self.streak += 1
-            self.total_failures += 1
-            if outcome != "breaker_open":
-                instant = outcome in V.INSTANT_OPEN_ANOMALIES
-                self.run_failures += policy.failure_threshold if instant else 1
-                opened = self.run_failures >= policy.failure_threshold
-        elif outcome in ("throttled", "quota_exceeded", "dedup") and self.breaker == "open":
-            self.breaker, self.open_until_us = "half_open", None
-        if opened:
-            self.opens += 1
-            grown = policy.open_seconds * policy.backoff_factor ** min(self.opens - 1, 1000)
-            self.breaker = "open"
-            self.open_until_us = ts_us + int(min(grown, policy.max_open_seconds) * 1e6)
-        many = self.opens >= policy.pause_after_opens or self.streak >= policy.pause_after_failures
-        if outcome == "quota_exceeded" or ((opened or outcome == "breaker_open") and many):
-            self.paused = True
-        return opened
 
-
-class _Health(StatefulProcessor):
-    def __init__(self, policy: BreakerPolicy):
-        self.policy = policy
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("health", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "seq"], ignore_index=True)
-        health = SourceHealth(*self.state.get()) if self.state.exists() else SourceHealth()
-        steps = []
-        for outcome, ts_us in zip(now["outcome"], now["ts_us"].tolist(), strict=True):
-            opened = health.step(outcome, ts_us, self.policy)
-            steps.append((opened, *astuple(health)))
-        self.state.update(astuple(health))
-        names = ["opened", *(part.split()[0] for part in _STATE.split(", "))]
-        after = pd.DataFrame(steps, columns=names).astype({"open_until_us": "Int64"})
-        yield pd.concat([now[[SOURCE, "seq", "ts_us", "outcome"]], after], axis=1)
-
-    def close(self) -> None:
-        pass
-
-
-def source_health_stream(attempts: DataFrame, policy: BreakerPolicy = BreakerPolicy()) -> DataFrame:
-    """Each attempt with the state of its source right after it; a micro-batch bounds a task's rows."""
-    rows = attempts.select(
-        SOURCE, F.col("seq").cast("bigint").alias("seq"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "outcome",
-    )
-    return rows.groupBy(SOURCE).transformWithStateInPandas(
-        statefulProcessor=_Health(policy), outputStructType=_OUTPUT, outputMode="append", timeMode="none",
+from ..operators.fetchlog import LOG_ORDER, SOURCE
+from ..operators.health import STATE, BreakerPolicy, breaker_log, last_state
+from ..operators.ordered import Slicing, find_cuts
+from ..sources.sinks import write_batch
+
+
+def health_of_batch(
+    batch: DataFrame, before: DataFrame | None, policy: BreakerPolicy = BreakerPolicy(), slicing: Slicing = Slicing()
+) -> tuple[DataFrame, DataFrame]:
+    """(breaker log of the batch, states after it); sources without a row keep their state."""
+    cuts = find_cuts(batch, [SOURCE], LOG_ORDER, slicing)
+    log = breaker_log(batch, policy, cuts, before)
+    states = last_state(log)
+    if before is not None:
+        states = states.unionByName(before.select(SOURCE, *STATE).join(states.select(SOURCE), SOURCE, "left_anti"))
+    return log, states
+
+
+def start_source_health(attempts: DataFrame, out: str, checkpoint: str, policy: BreakerPolicy = BreakerPolicy()):
+    """Start the query: ``out/attempts`` and ``out/states`` get one folder per micro-batch.
+
+    A replayed batch reads the states of the batch before it and overwrites its own folders.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        before = None
+        if batch_id > 0:
+            before = rows.sparkSession.read.parquet(f"{out}/states/batch_id={batch_id - 1}")
+        log, states = health_of_batch(rows, before, policy)
+        write_batch(log, f"{out}/attempts", batch_id)
+        write_batch(states.coalesce(1), f"{out}/states", batch_id)
+        rows.unpersist()
+
+    return (
+        attempts.writeStream.outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.operators import fetchlog, health, request_dedupe
 from shelfwatch.operators.health import BreakerPolicy
-from shelfwatch.streaming.health import SourceHealth
+from plain_health import SourceHealth
 
 START = datetime(2024, 1, 1)
 
@@ -117,9 +117,15 @@ def test_breaker_columns_equal_the_step_by_step_state(spark, outcomes):
     for n, outcome in enumerate(outcomes):
         opened = one.step(outcome, int((START + timedelta(seconds=n)).timestamp() * 1e6), policy)
         expected.append((opened, one.run_failures, one.opens, one.streak, one.total_failures, one.breaker, one.paused))
-    rows = health.breaker_log(attempts(spark, outcomes), policy).orderBy("seq").collect()
     names = ("opened", "run_failures", "opens", "streak", "total_failures", "breaker", "paused")
+    log = attempts(spark, outcomes)
+    rows = health.breaker_log(log, policy).orderBy("seq").collect()
     assert [tuple(r[c] for c in names) for r in rows] == expected
+    # cut anywhere, the second part continues from the state the first one left
+    cut = len(outcomes) // 2
+    first = health.breaker_log(log.where(F.col("seq") < cut), policy)
+    rest = health.breaker_log(log.where(F.col("seq") >= cut), policy, start=health.last_state(first)).orderBy("seq").collect()
+    assert [tuple(r[c] for c in names) for r in rest] == expected[cut:]
 
 
 def test_health_report_states(spark):

@@ -77,10 +77,12 @@ def test_request_dedupe_replay_equals_batch(spark, sf_dir, tmp_path):
 def test_source_health_replay_equals_batch(spark, sf_dir, tmp_path):
     attempts = fetchlog.attempt_outcome(tables.fetch_log(spark, sf_dir))
     source = in_files(attempts, "ts", str(tmp_path / "in"))
-    stream = streaming_health.source_health_stream(jobs.as_stream(spark, source))
-    states = jobs.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"))
-    names = ["source_id", "seq", "opened", "run_failures", "opens", "streak", "total_failures", "breaker", "open_until_us", "paused"]
-    same(health.breaker_log(attempts).select(*names), states.select(*names))
+    out = str(tmp_path / "out")
+    streaming_health.start_source_health(jobs.as_stream(spark, source), out, str(tmp_path / "ckpt")).awaitTermination()
+    log = spark.read.parquet(f"{out}/attempts")
+    assert log.select("batch_id").distinct().count() == 4
+    same(health.breaker_log(attempts), log.drop("batch_id"))
+    same(health.last_state(health.breaker_log(attempts)), spark.read.parquet(f"{out}/states/batch_id=3"))
 
 
 def test_windows_of_a_stream_end_where_batch_does(spark, item_days, tmp_path):
