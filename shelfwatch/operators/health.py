@@ -180,8 +180,12 @@ def health_report(
     policy: BreakerPolicy = BreakerPolicy(),
     tz: str = "UTC",
     cuts: Cuts | None = None,
+    cached: DataFrame | None = None,
 ) -> DataFrame:
-    """State, counters and quota of each source at ``as_of``; partial aggregates over the breaker log."""
+    """State, counters and quota of each source at ``as_of``; partial aggregates over the breaker log.
+
+    ``cached`` (source_id, cached_requests) adds how many requests the source remembers.
+    """
     now = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
     log = breaker_log(attempts.where(F.col("ts") <= now), policy, cuts)
     newest = F.struct("breaker", "opens", "streak", "total_failures", "open_until_us", "paused", "pause_reason")
@@ -189,6 +193,7 @@ def health_report(
         F.max_by(newest, F.struct(*LOG_ORDER)).alias("_last"),
         F.count_if(F.col("outcome") == "ok").alias("success"),
         F.count_if(F.col("outcome").isin(*V.ANOMALIES)).alias("failure"),
+        F.count_if(F.col("outcome") == "dedup").alias("dedup_hits"),
         F.count_if(
             (local_day(F.col("ts"), tz) == local_day(now, tz))
             & ~F.col("outcome").isin("breaker_open", "paused", "dedup", "quota_exceeded", "resume")
@@ -203,11 +208,17 @@ def health_report(
         .when(last["breaker"].isin("open", "half_open"), "degraded")
         .otherwise("healthy")
     )
-    return at_end.join(sources.select(SOURCE, "daily_quota"), SOURCE, "left").select(
+    joined = at_end.join(sources.select(SOURCE, "daily_quota"), SOURCE, "left")
+    if cached is None:
+        joined = joined.withColumn("cached_requests", F.lit(None).cast("bigint"))
+    else:
+        joined = joined.join(cached, SOURCE, "left")
+    return joined.select(
         SOURCE, state.alias("state"), last["breaker"].alias("breaker"), last["opens"].alias("opens"),
         last["streak"].alias("consecutive_failures"), last["total_failures"].alias("total_failures"),
         F.coalesce(remaining, F.lit(0.0)).alias("open_remaining_s"),
         F.least(F.col("_today"), F.col("daily_quota")).alias("quota_used"),
-        F.col("daily_quota").alias("quota_limit"), last["paused"].alias("paused"),
-        F.coalesce(last["pause_reason"], F.lit("")).alias("paused_reason"), "success", "failure",
+        F.col("daily_quota").alias("quota_limit"), F.coalesce(F.col("cached_requests"), F.lit(0)).alias("cached_requests"),
+        last["paused"].alias("paused"), F.coalesce(last["pause_reason"], F.lit("")).alias("paused_reason"),
+        "success", "failure", "dedup_hits",
     )

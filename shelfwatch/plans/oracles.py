@@ -131,6 +131,11 @@ fold AS (
   CASE WHEN b.ok AND NOT coalesce(b.t - a.anchor < 21600000000, false) THEN b.t ELSE a.anchor END, b.ok
  FROM fold a JOIN req b ON a.source_id = b.source_id AND a.item_id = b.item_id AND b.n = a.n + 1)"""
 
+_ALIVE = """, remembered AS (SELECT source_id, item_id, max(anchor) AS newest FROM fold GROUP BY source_id, item_id HAVING max(anchor) IS NOT NULL),
+ends AS (SELECT source_id, max(newest) AS stop FROM remembered GROUP BY source_id),
+alive AS (SELECT source_id, count(*) AS cached_requests FROM remembered JOIN ends USING (source_id) WHERE stop - newest <= 21600000000 GROUP BY source_id)"""
+_ALIVE_IN_HEALTH = (_HITS + _ALIVE).split("req AS", 1)[1].replace("fold", "hits")
+
 _PRICE_TEXT = "CASE WHEN seq % 7 <> 0 AND seq % 11 = 0 THEN NULL ELSE price END"
 _PAYLOADS = f"""{_RECORDS}, payloads AS ({tables.PAYLOADS_SQL.format(records='f1')})"""
 _ANSWERS = f"""{_RECORDS},
@@ -204,7 +209,7 @@ ORACLES: dict[str, str] = {
  AND title = p_title AND promotion = p_promotion AND review_count <= p_reviews AND p_rating - rating < CAST(0.2 AS DOUBLE)""",
     "top_severity": f"WITH {_CLASSED} SELECT cycle_id, min(severity) AS top_severity FROM classed GROUP BY cycle_id",
     "severity_rollup": f"WITH {_ROLED} SELECT role, severity, count(*) AS events FROM roled GROUP BY ROLLUP (role, severity)",
-    "content_fps": f"""WITH {_RECORDS}, d AS (SELECT DISTINCT {_CONTENT} FROM f1), c AS (SELECT item_id, count(*) AS contents FROM d GROUP BY item_id)
+    "content_fp": f"""WITH {_RECORDS}, d AS (SELECT DISTINCT {_CONTENT} FROM f1), c AS (SELECT item_id, count(*) AS contents FROM d GROUP BY item_id)
  SELECT item_id, contents, records FROM c JOIN (SELECT item_id, count(*) AS records FROM f1 GROUP BY item_id) USING (item_id)""",
     "dedupe_versions": f"WITH {_KEPT} SELECT item_id, seq, price, stock, title FROM kept",
     "dedupe_consecutive": f"""WITH {_RECORDS}, c AS (SELECT *, lag(({_CONTENT})) OVER (PARTITION BY item_id ORDER BY fetched_at, seq) AS p FROM f1)
@@ -259,16 +264,14 @@ ORACLES: dict[str, str] = {
     "alerts": f"WITH {_ANSWERS} SELECT seq, summary, pushed_items FROM roll WHERE need_push",
     "digest": f"WITH {_ANSWERS} SELECT seq, summary, event_count FROM roll WHERE NOT need_push",
     "rule_alerts": f"WITH {_CLASSED} SELECT item_id, seq, field, category FROM classed WHERE severity = 'P0'",
-    "canonical_urls": f"""WITH a AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+    "canonical_url": f"""WITH a AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
  b AS (SELECT page_id, regexp_extract(u, '^([A-Za-z]+://[^/?]*)', 1) AS host, regexp_extract(u, '^[A-Za-z]+://[^/?]*([^?]*)', 1) AS path, regexp_extract(u, '\\?(.*)$', 1) AS query FROM a),
  c AS (SELECT *, array_to_string(list_sort([x FOR x IN string_split(query, '&') IF x <> '' AND lower(split_part(x, '=', 1)) NOT IN ({_in(V.TRACKING_PARAMS)})]), '&') AS kept FROM b)
  SELECT page_id, concat(lower(host), CASE WHEN path = '' THEN '/' ELSE path END, CASE WHEN kept = '' THEN '' ELSE concat('?', kept) END) AS canonical FROM c""",
-    "request_fps": f"""WITH log AS ({_LOG}), f AS (SELECT seq, sha256(concat('GET|https://api.example.com/item?id=', item_id)) AS fp FROM log)
+    "request_fp": f"""WITH log AS ({_LOG}), f AS (SELECT seq, sha256(concat('GET|https://api.example.com/item?id=', item_id)) AS fp FROM log)
  SELECT seq, fp, substr(fp, 1, 12) AS short FROM f""",
-    "request_dedupe_hits": f"{_HITS} SELECT source_id, seq, hit FROM fold WHERE n > 0",
-    "cached_requests": f"""{_HITS}, f AS (SELECT source_id, item_id, max(anchor) AS newest FROM fold GROUP BY source_id, item_id HAVING max(anchor) IS NOT NULL),
- e AS (SELECT source_id, max(newest) AS stop FROM f GROUP BY source_id)
- SELECT source_id, count(*) AS cached_requests FROM f JOIN e USING (source_id) WHERE stop - newest <= 21600000000 GROUP BY source_id""",
+    "request_dedupe": f"{_HITS} SELECT source_id, seq, hit FROM fold WHERE n > 0",
+    "cached_requests": f"""{_HITS}{_ALIVE} SELECT * FROM alive""",
     "classify_response": f"""WITH h AS ({tables.HTTP_SQL.format(events='events')}), j AS (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS d FROM h),
  c AS (SELECT *, upper({_CODES}) AS codes FROM j)
  SELECT seq, {_anomaly('false')} AS anomaly, {_anomaly(' OR '.join(f"contains(codes, '{c.upper()}')" for c in V.RATE_CODES))} AS anomaly_fixed FROM c""",
@@ -288,15 +291,15 @@ ORACLES: dict[str, str] = {
     "breaker_episodes": f"""{_FOLD} SELECT source_id, seq, outcome AS reason, run_failures, opens, cooldown AS cooldown_s,
  epoch_us(ts) + CAST(cooldown * 1000000 AS BIGINT) AS open_until_us FROM fold WHERE opened""",
     "pause_events": f"{_FOLD} SELECT source_id, seq, cause, opens, streak, total AS total_failures, why AS pause_reason FROM fold WHERE newly",
-    "health_report": f"""{_FOLD}, src AS ({_SOURCES}), e AS (SELECT source_id, max(n) AS n, count(*) FILTER (WHERE outcome = 'ok') AS success, count(*) FILTER (WHERE outcome <> 'ok') AS failure,
+    "health_report": f"""{_FOLD}, req AS{_ALIVE_IN_HEALTH}, src AS ({_SOURCES}), e AS (SELECT source_id, max(n) AS n, count(*) FILTER (WHERE outcome = 'ok') AS success, count(*) FILTER (WHERE outcome <> 'ok') AS failure,
   CAST(0 AS BIGINT) AS today FROM fold WHERE n > 0 GROUP BY source_id),
  o AS (SELECT source_id, max(epoch_us(ts) + CAST(cooldown * 1000000 AS BIGINT)) FILTER (WHERE opened) AS until FROM fold GROUP BY source_id),
  s AS (SELECT f.*, e.success, e.failure, e.today, CASE WHEN f.run_failures >= 5 THEN 'open' ELSE 'closed' END AS breaker,
   CASE WHEN f.run_failures >= 5 THEN greatest(0.0, round((until - epoch_us(TIMESTAMP '2024-01-31')) / 1000000.0, 1)) ELSE 0.0 END AS left_s
   FROM e JOIN fold f ON f.source_id = e.source_id AND f.n = e.n JOIN o ON o.source_id = e.source_id)
  SELECT source_id, CASE WHEN paused THEN 'paused' WHEN breaker = 'open' AND left_s > 0 THEN 'open' WHEN breaker = 'open' THEN 'degraded' ELSE 'healthy' END AS state, breaker, opens,
- streak AS consecutive_failures, total AS total_failures, CAST(left_s AS DOUBLE) AS open_remaining_s, least(today, daily_quota) AS quota_used, daily_quota AS quota_limit, paused, why AS paused_reason, success, failure
- FROM s LEFT JOIN src USING (source_id)""",
+ streak AS consecutive_failures, total AS total_failures, CAST(left_s AS DOUBLE) AS open_remaining_s, least(today, daily_quota) AS quota_used, daily_quota AS quota_limit, coalesce(cached_requests, 0) AS cached_requests, paused, why AS paused_reason, success, failure, CAST(0 AS BIGINT) AS dedup_hits
+ FROM s LEFT JOIN src USING (source_id) LEFT JOIN alive USING (source_id)""",
     "cycle_stats": f"""WITH RECURSIVE {_CYCLES} SELECT *, """ + ", ".join(
         f"CAST(sum({c}) OVER (ORDER BY cycle_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS {c}_total" for c in ("fetched", "cached", "skipped", "saved", "events")) + " FROM stats",
     "cycle_report": f"""WITH RECURSIVE {_CYCLES}, targets AS ({_TARGETS}), worst AS (SELECT strftime(fetched_at, '%Y-%m-%d') AS cycle_id, min(severity) AS worst
@@ -306,7 +309,7 @@ ORACLES: dict[str, str] = {
 }
 
 ORACLES["stream_version_diff"] = ORACLES["diff_events"]
-ORACLES["stream_request_dedupe"] = ORACLES["request_dedupe_hits"]
+ORACLES["stream_request_dedupe"] = ORACLES["request_dedupe"]
 ORACLES["stream_source_health"] = f"""{_FOLD} SELECT source_id, seq, opened, run_failures, opens, streak, total AS total_failures,
  CASE WHEN run_failures >= 5 THEN 'open' ELSE 'closed' END AS breaker, paused FROM fold WHERE n > 0"""
 ORACLES["changes_per_day"] = f"""WITH {_EVENTS} SELECT strftime(fetched_at, '%Y-%m-%d') AS day, severity, count(*) AS changes FROM chg GROUP BY ALL"""

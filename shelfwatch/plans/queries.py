@@ -148,7 +148,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.removeprefix("q_")] = fn
     return fn
 
 
@@ -255,7 +255,7 @@ def severity_rollup(i: Inputs) -> DataFrame:
 
 # ---- versions ----
 @query
-def content_fps(i: Inputs) -> DataFrame:
+def q_content_fp(i: Inputs) -> DataFrame:
     fps = i.records.select("item_id", content_fp().alias("fp"))
     return fps.groupBy("item_id").agg(F.count_distinct("fp").alias("contents"), F.count(F.lit(1)).alias("records"))
 
@@ -444,19 +444,19 @@ def rule_alerts(i: Inputs) -> DataFrame:
 
 # ---- requests and fetch log ----
 @query
-def canonical_urls(i: Inputs) -> DataFrame:
+def q_canonical_url(i: Inputs) -> DataFrame:
     pages = tables.table(i.spark, i.dir, "pages")
     return pages.select("page_id", canonical_url(F.col("url")).alias("canonical"))
 
 
 @query
-def request_fps(i: Inputs) -> DataFrame:
+def q_request_fp(i: Inputs) -> DataFrame:
     fp = request_fp(canonical_url(F.col("url")))
     return i.log.select("seq", fp.alias("fp"), short_fp(fp).alias("short"))
 
 
 @query
-def request_dedupe_hits(i: Inputs) -> DataFrame:
+def q_request_dedupe(i: Inputs) -> DataFrame:
     return i.deduped.select("source_id", "seq", "hit")
 
 
@@ -515,7 +515,8 @@ def pause_events(i: Inputs) -> DataFrame:
 
 @query
 def health_report(i: Inputs) -> DataFrame:
-    return health.health_report(i.attempts, i.sources, LOG_AS_OF, cuts=i.source_cuts)
+    cached = request_dedupe.cached_requests(i.deduped, DEDUPE_TTL)
+    return health.health_report(i.attempts, i.sources, LOG_AS_OF, cuts=i.source_cuts, cached=cached)
 
 
 @query
