@@ -78,14 +78,18 @@ def _ordered_pass(rows: DataFrame, ttl_us: int) -> DataFrame:
         for batch in batches:
             if batch.empty:
                 continue
-            names = batch[list(KEY)]
-            starts = np.flatnonzero((names != names.shift()).any(axis=1).to_numpy())
+            names = [batch[c].to_numpy() for c in KEY]
+            changes = np.logical_or.reduce([n[1:] != n[:-1] for n in names])
+            starts = np.concatenate([[0], np.flatnonzero(changes) + 1])
+            ends = np.append(starts[1:], len(batch))
             ts, ok = batch["ts_us"].to_numpy(), batch["ok"].to_numpy(dtype=bool)
             hit = np.zeros(len(batch), dtype=bool)
-            for begin, end in zip(starts, [*starts[1:], len(batch)], strict=True):
-                here = tuple(names.iloc[begin])
+            for begin, end, *here in zip(starts.tolist(), ends.tolist(), *[n[starts] for n in names], strict=True):
                 if here != key:
                     key, anchor = here, None
+                    if end - begin == 1:
+                        anchor = int(ts[begin]) if ok[begin] else None
+                        continue
                 hit[begin:end], anchor = fold_hits(ts[begin:end], ok[begin:end], ttl_us, anchor)
             yield batch.assign(hit=hit)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import content_fp
 from .ordered import Cuts, OrderedScan, last_known, previous
+from .request_dedupe import request_dedupe
 
 ITEM = "item_id"
 FP = "content_fp"
@@ -46,6 +47,28 @@ def changed_versions(records: DataFrame, order: Sequence[str] = ORDER, cuts: Cut
     return scan.result().where(~F.col(FP).eqNullSafe(F.col("_before")[FP])).drop("_before")
 
 
+def versions_within(records: DataFrame, days: int, order: Sequence[str] = ORDER, cuts: Cuts | None = None) -> DataFrame:
+    """``first_versions`` with forgetting: a content counts as new again ``days`` after it was last stored.
+
+    Repeats do not refresh a stored version, so this is the anchored rule of request dedupe with the
+    item as source and the content as request. ``cuts`` are positions per (source_id, request_fp).
+    """
+    time, tie = order
+    rows = records if FP in records.columns else with_content_fp(records)
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    asked = rows.select(
+        F.col(ITEM).cast("string").alias("source_id"), F.col(FP).alias("request_fp"),
+        micros.alias("ts_us"), F.col(tie).cast("bigint").alias("seq"), F.lit(True).alias("ok"),
+    )
+    stored = request_dedupe(asked, days * 86400, cuts).where(~F.col("hit"))
+    keys = stored.select(F.col("source_id").alias("_item"), F.col("request_fp").alias(FP), F.col("ts_us").alias("_us"), F.col("seq").alias("_tie"))
+    same = (
+        (F.col(ITEM).cast("string") == F.col("_item")) & (rows[FP] == keys[FP])
+        & (micros == F.col("_us")) & (F.col(tie) == F.col("_tie"))
+    )
+    return rows.join(keys, same, "left_semi")
+
+
 def new_versions(
     batch: DataFrame, known: DataFrame, order: Sequence[str] = ORDER, cuts: Cuts | None = None
 ) -> DataFrame:

@@ -214,6 +214,12 @@ ORACLES: dict[str, str] = {
     "dedupe_versions": f"WITH {_KEPT} SELECT item_id, seq, price, stock, title FROM kept",
     "dedupe_consecutive": f"""WITH {_RECORDS}, c AS (SELECT *, lag(({_CONTENT})) OVER (PARTITION BY item_id ORDER BY fetched_at, seq) AS p FROM f1)
  SELECT item_id, seq FROM c WHERE p IS NULL OR p <> ({_CONTENT})""",
+    "dedupe_within": f"""WITH RECURSIVE {_RECORDS}, n AS (SELECT item_id, seq, epoch_us(fetched_at) AS t, dense_rank() OVER (ORDER BY {_CONTENT}) AS content,
+  row_number() OVER (PARTITION BY {_CONTENT} ORDER BY fetched_at, seq) AS n FROM f1),
+ fold AS (SELECT content, n, item_id, seq, t AS stored, true AS keep FROM n WHERE n = 1
+  UNION ALL SELECT b.content, b.n, b.item_id, b.seq, CASE WHEN b.t - a.stored < 15552000000000 THEN a.stored ELSE b.t END, b.t - a.stored >= 15552000000000
+  FROM fold a JOIN n b ON a.content = b.content AND b.n = a.n + 1)
+ SELECT item_id, seq FROM fold WHERE keep""",
     "dedupe_incremental": f"WITH {_KEPT} SELECT item_id, seq FROM kept WHERE fetched_at >= TIMESTAMP '2000-01-01'",
     "latest_snapshot": f"""WITH {_KEPT} SELECT item_id, seq, price, stock, listing_status, title FROM
  (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY fetched_at DESC, seq DESC) AS k FROM kept) WHERE k = 1""",

@@ -270,6 +270,17 @@ def dedupe_consecutive(i: Inputs) -> DataFrame:
     return versions.changed_versions(i.records, cuts=i.item_cuts).select("item_id", "seq")
 
 
+@query
+def dedupe_within(i: Inputs) -> DataFrame:
+    seen = versions.with_content_fp(i.records)
+    asked = seen.select(
+        F.col("item_id").cast("string").alias("source_id"), F.col("content_fp").alias("request_fp"),
+        F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("ts_us"), "seq",
+    )
+    cuts = find_cuts(asked, request_dedupe.KEY, request_dedupe.ORDER)
+    return versions.versions_within(seen, 180, cuts=cuts).select("item_id", "seq")
+
+
 @query
 def dedupe_incremental(i: Inputs) -> DataFrame:
     rec = versions.with_content_fp(i.records)

@@ -102,6 +102,12 @@ def test_a_content_seen_before_makes_no_version(spark):
     assert [(r["old_num"], r["new_num"]) for r in rows] == [(89.0, 50.0), (50.0, 89.0)]
 
 
+def test_a_content_is_new_again_after_the_retention_time(spark):
+    a, b = {}, {"price": 50.0}
+    rec = records(spark, [a, b] + [a] * 30)
+    assert [r["seq"] for r in versions.versions_within(rec, 1).orderBy("seq").collect()] == [0, 1, 24]
+
+
 def test_fingerprint_ignores_sku_order_but_not_null(spark):
     kept = versions.first_versions(records(spark, [{}, {"sku_list": ["b", "a"]}, {"promotion": ""}, {"promotion": None}]))
     assert [r["seq"] for r in kept.orderBy("seq").collect()] == [0, 2, 3]

@@ -43,7 +43,7 @@ def test_hot_items_are_reduced_before_the_exchange(inputs):
 def test_no_cross_join_and_no_python_but_where_meant(inputs, name):
     text = plan(QUERIES[name](inputs))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    if name not in ("request_dedupe", "cached_requests", "health_report", "cycle_stats", "cycle_report"):
+    if name not in ("dedupe_within", "request_dedupe", "cached_requests", "health_report", "cycle_stats", "cycle_report"):
         assert "Python" not in text and "InPandas" not in text
 
 

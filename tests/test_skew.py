@@ -129,6 +129,21 @@ def test_request_dedupe_with_a_hot_request(attempts, ttl):
     _same(request_dedupe.request_dedupe(requests, ttl), request_dedupe.request_dedupe(requests, ttl, cuts))
 
 
+def test_forgetful_dedupe_with_a_hot_content(hot_records):
+    # every third record of the hot item repeats one content
+    same_content = F.when(F.col("seq") % 3 == 1, F.lit("same")).otherwise(F.col("content_fp"))
+    rows = hot_records.withColumn("content_fp", same_content)
+    asked = rows.select(
+        F.col("item_id").cast("string").alias("source_id"), F.col("content_fp").alias("request_fp"),
+        F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("ts_us"), "seq",
+    )
+    cuts = find_cuts(asked, request_dedupe.KEY, request_dedupe.ORDER, SMALL)
+    assert cuts is not None
+    plain = versions.versions_within(rows, 30)
+    assert 50 < plain.where("content_fp = 'same'").count() < 120
+    _same(plain.select("item_id", "seq"), versions.versions_within(rows, 30, cuts=cuts).select("item_id", "seq"))
+
+
 def test_busy_cycle_is_split_into_full_parts(hot_records):
     kept = versions.first_versions(hot_records)
     events = changes.diff_events(versions.version_pairs(kept, changes.FIELDS)).withColumns(
