@@ -153,6 +153,21 @@ def diff_events(
     )
 
 
+def summarized(pairs: DataFrame, fields: Sequence[str] = FIELDS, exact: bool = False) -> DataFrame:
+    """Versions with their ``event_count`` and the worst grade among the events their ``role`` shows.
+
+    For counts and grades alone: nothing is exploded. An item's first version brings no event.
+    """
+    count, shown = F.lit(0).cast("bigint"), []
+    rival, paired = F.col("role") == "competitor", F.col("prev").isNotNull()
+    for check in _checks(fields, exact).values():
+        changed = paired & F.coalesce(check.changed, F.lit(False))
+        severity = check.severity if isinstance(check.severity, Column) else F.lit(check.severity)
+        count = count + changed.cast("bigint")
+        shown.append(F.when(changed & (rival | severity.isin("P0", "P1")), severity))
+    return pairs.withColumns({"event_count": count, "top_severity": F.array_min(F.array(*shown))})
+
+
 def baselines(pairs: DataFrame, kept: Sequence[str] = KEPT) -> DataFrame:
     """The silent first-sight event of each item."""
     return pairs.where(F.col("prev").isNull()).select(

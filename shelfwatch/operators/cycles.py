@@ -15,39 +15,34 @@ def cycle_of(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
 
-def cycle_stats(attempts: DataFrame, versions: DataFrame, events: DataFrame, cycle: str = "cycle_id") -> DataFrame:
-    """fetched/cached/skipped/saved/events per cycle, each also as a running total.
+def cycle_report(attempts: DataFrame, versions: DataFrame, cycle: str = "cycle_id") -> DataFrame:
+    """One row per cycle: attempts and their span, counters with running totals, most severe grade.
 
-    ``attempts`` needs ok and cached, ``versions`` every kept version, ``events`` every change event.
-    Each input is counted down to one row per cycle first, so the running total reads cycles, not rows.
+    ``attempts`` needs ts, ok and cached; ``versions`` the kept versions with ``event_count`` and
+    ``top_severity`` (see ``summarized``). Each side is read once and counted down to one row per
+    cycle before anything is merged, so the running totals read cycles, not rows.
     """
     ok, cached = F.col("ok"), F.col("cached")
-    parts = [
-        attempts.groupBy(cycle).agg(
-            F.count_if(ok & ~cached).alias("fetched"),
-            F.count_if(ok & cached).alias("cached"),
-            F.count_if(~ok).alias("skipped"),
-        ),
-        versions.groupBy(cycle).agg(F.count(F.lit(1)).alias("saved")),
-        events.groupBy(cycle).agg(F.count(F.lit(1)).alias("events")),
-    ]
-    merged = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
-    stats = merged.groupBy(cycle).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
-    so_far = Window.orderBy(cycle).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return stats.select("*", *[F.sum(c).over(so_far).alias(f"{c}_total") for c in COUNTERS])
-
-
-def cycle_report(stats: DataFrame, events: DataFrame, attempts: DataFrame, cycle: str = "cycle_id") -> DataFrame:
-    """One row per cycle: counters, most severe grade, span of its attempts."""
-    worst = events.groupBy(cycle).agg(F.min("severity").alias("_worst"))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = attempts.groupBy(cycle).agg(
-        F.floor((F.max(micros) - F.min(micros)) / 1000).alias("elapsed_ms"),
+    tried = attempts.groupBy(cycle).agg(
         F.count(F.lit(1)).alias("results"),
+        F.count_if(ok & ~cached).alias("fetched"),
+        F.count_if(ok & cached).alias("cached"),
+        F.count_if(~ok).alias("skipped"),
+        F.floor((F.max(micros) - F.min(micros)) / 1000).alias("elapsed_ms"),
     )
-    return (
-        stats.join(worst, cycle, "left")
-        .join(span, cycle, "left")
-        .withColumn("top_severity", F.coalesce("_worst", F.lit(V.LOWEST_SEVERITY)))
-        .drop("_worst")
+    changed = versions.groupBy(cycle).agg(
+        F.count(F.lit(1)).alias("saved"), F.sum("event_count").alias("events"), F.min("top_severity").alias("top_severity")
     )
+    merged = tried.unionByName(changed, allowMissingColumns=True).groupBy(cycle).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("results", *COUNTERS)],
+        F.max("elapsed_ms").alias("elapsed_ms"),
+        F.coalesce(F.min("top_severity"), F.lit(V.LOWEST_SEVERITY)).alias("top_severity"),
+    )
+    so_far = Window.orderBy(cycle).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return merged.select("*", *[F.sum(c).over(so_far).alias(f"{c}_total") for c in COUNTERS])
+
+
+def cycle_stats(report: DataFrame, cycle: str = "cycle_id") -> DataFrame:
+    """The counters of a report, per cycle and cumulative."""
+    return report.select(cycle, *COUNTERS, *[f"{c}_total" for c in COUNTERS])

@@ -134,9 +134,10 @@ class Inputs:
         return both.withColumn("cycle_id", cycles.cycle_of(F.col("ts")))
 
     @cached_property
-    def cycle_stats(self) -> DataFrame:
-        by_cycle = lambda df: df.withColumn("cycle_id", cycles.cycle_of(F.col("fetched_at")))
-        return cycles.cycle_stats(self.cycle_attempts, by_cycle(self.kept), by_cycle(self.events))
+    def cycle_report(self) -> DataFrame:
+        owned = changes.with_role(self.pairs, self.targets)
+        stored = changes.summarized(owned).withColumn("cycle_id", cycles.cycle_of(F.col("fetched_at")))
+        return cycles.cycle_report(self.cycle_attempts, stored)
 
     @cached_property
     def parsed(self) -> DataFrame:
@@ -538,14 +539,12 @@ def cached_requests(i: Inputs) -> DataFrame:
 # ---- cycles ----
 @query
 def cycle_stats(i: Inputs) -> DataFrame:
-    return i.cycle_stats
+    return cycles.cycle_stats(i.cycle_report)
 
 
 @query
 def cycle_report(i: Inputs) -> DataFrame:
-    return cycles.cycle_report(i.cycle_stats, i.cycle_events, i.cycle_attempts).select(
-        "cycle_id", "fetched", "saved", "events", "top_severity", "elapsed_ms", "results"
-    )
+    return i.cycle_report.select("cycle_id", "fetched", "saved", "events", "top_severity", "elapsed_ms", "results")
 
 
 # ---- streams: whole tables replayed as streams ----
