@@ -53,10 +53,11 @@ def find_cuts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], slicin
         return None
     one_in = max(1, target // _SAMPLE_PER_SLICE)
     per_slice = target // one_in
-    names = [*keys, *order]
+    # positions differ within a key, so hashing them alone samples each key evenly, and a key that is
+    # costly to work out (a fingerprint) is only computed for the sampled rows
     sample = (
-        rows.select(*names)
-        .where(F.pmod(F.xxhash64(*names), F.lit(one_in)) == 0)
+        rows.select(*keys, *order)
+        .where(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0)
         .select(*keys, F.struct(*order).alias("pos"))
     )
     hot = (

@@ -22,7 +22,7 @@ def _value(v):
     if isinstance(v, float) and math.isnan(v):
         return "NaN"
     if isinstance(v, float):
-        return round(v, 9) + 0.0
+        return repr(v)
     return v
 
 
