@@ -30,7 +30,8 @@ def with_response_class(
 
     Two patterns ignore case, the verification one does not. Listed rate codes are lower case while
     the codes they are compared with are upper-cased, so they never match; ``fix_rate_codes`` mends it.
-    The steps are separate projections so that each body is parsed once.
+    The steps are separate projections so that each body is parsed once and no generated method grows
+    past what the JVM compiles.
     """
     rows = answers.withColumn("_text", F.substring(F.coalesce(F.col(body), F.lit("")), 1, V.BODY_CHARS_READ))
     rows = rows.withColumn("_members", F.try_variant_get(F.try_parse_json("_text"), "$", _CODE_MEMBERS))
@@ -45,7 +46,6 @@ def with_response_class(
     text, codes, code = F.col("_text"), F.col("_codes"), F.col(status)
     auth_text = text.rlike(f"(?iU){V.AUTH_PATTERN}")
     auth_code = codes.contains("INVALIDSESSION") | (codes.contains("SIGN") & codes.contains("ERROR"))
-    rate_codes = [c.upper() for c in V.RATE_CODES] if fix_rate_codes else list(V.RATE_CODES)
     anomaly = (
         F.when(code.isin(*V.RATE_STATUSES), "rate_limited")
         .when(code.isin(*V.AUTH_STATUSES), F.when(auth_text, "auth_expired").otherwise("rate_limited"))
@@ -53,8 +53,11 @@ def with_response_class(
         .when(text.rlike(V.VERIFY_PATTERN), "verify_required")
         .when(contains_any(codes, V.CONTEXT_CODES), "context_mismatch")
         .when(auth_text | auth_code, "auth_expired")
-        .when(text.rlike(f"(?iU){V.RATE_PATTERN}") | contains_any(codes, rate_codes), "rate_limited")
+        .when(text.rlike(f"(?iU){V.RATE_PATTERN}"), "rate_limited")
     )
+    if fix_rate_codes:
+        listed = contains_any(codes, [c.upper() for c in V.RATE_CODES])
+        anomaly = F.coalesce(anomaly, F.when(listed, "rate_limited"))
     return rows.withColumn("anomaly", anomaly).drop("_text", "_members", "_codes")
 
 

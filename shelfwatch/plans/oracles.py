@@ -167,6 +167,9 @@ def _anomaly(rate_codes: str) -> str:
  WHEN regexp_matches(body, {_q(V.RATE_PATTERN)}, 'i') OR {rate_codes} THEN 'rate_limited' END"""
 
 
+_HTTP = f"""WITH h AS ({tables.HTTP_SQL.format(events='events')}), j AS (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS d FROM h),
+ c AS (SELECT *, upper({_CODES}) AS codes FROM j)"""
+
 _CYCLES = _EVENTS + ", " + _HITS.removeprefix("WITH RECURSIVE ") + """,
 att AS (SELECT strftime(fetched_at, '%Y-%m-%d') AS cycle_id, true AS ok, false AS cached, epoch_us(fetched_at) AS t FROM f1
  UNION ALL SELECT strftime(l.ts, '%Y-%m-%d'), l.ok OR f.hit, f.hit, epoch_us(l.ts) FROM fold f JOIN log l ON f.seq = l.seq),
@@ -278,9 +281,8 @@ ORACLES: dict[str, str] = {
  SELECT seq, fp, substr(fp, 1, 12) AS short FROM f""",
     "request_dedupe": f"{_HITS} SELECT source_id, seq, hit FROM fold WHERE n > 0",
     "cached_requests": f"""{_HITS}{_ALIVE} SELECT * FROM alive""",
-    "classify_response": f"""WITH h AS ({tables.HTTP_SQL.format(events='events')}), j AS (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS d FROM h),
- c AS (SELECT *, upper({_CODES}) AS codes FROM j)
- SELECT seq, {_anomaly('false')} AS anomaly, {_anomaly(' OR '.join(f"contains(codes, '{c.upper()}')" for c in V.RATE_CODES))} AS anomaly_fixed FROM c""",
+    "classify_response": f"{_HTTP} SELECT seq, {_anomaly('false')} AS anomaly FROM c",
+    "classify_response_mended": f"{_HTTP} SELECT seq, " + _anomaly(" OR ".join(f"contains(codes, '{c.upper()}')" for c in V.RATE_CODES)) + " AS anomaly FROM c",
     "context_mismatch": f"WITH log AS ({_LOG}) SELECT seq, item_id, returned_item_id FROM log WHERE returned_item_id <> '' AND returned_item_id <> CAST(item_id AS VARCHAR)",
     "attempt_outcome": f"WITH {_OUTCOME} SELECT source_id, seq, outcome FROM attempts",
     "audit_rows": f"WITH {_OUTCOME} SELECT source_id, seq, concat('fail:', outcome) AS outcome, substr(body, 1, 500) AS detail FROM attempts WHERE outcome <> 'ok'",

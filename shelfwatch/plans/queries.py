@@ -474,9 +474,13 @@ def q_request_dedupe(i: Inputs) -> DataFrame:
 
 @query
 def classify_response(i: Inputs) -> DataFrame:
-    answers = fetchlog.with_response_class(tables.http_answers(i.spark, i.dir))
-    mended = fetchlog.with_response_class(answers.withColumnRenamed("anomaly", "plain"), fix_rate_codes=True)
-    return mended.select("seq", F.col("plain").alias("anomaly"), F.col("anomaly").alias("anomaly_fixed"))
+    return fetchlog.with_response_class(tables.http_answers(i.spark, i.dir)).select("seq", "anomaly")
+
+
+@query
+def classify_response_mended(i: Inputs) -> DataFrame:
+    answers = tables.http_answers(i.spark, i.dir)
+    return fetchlog.with_response_class(answers, fix_rate_codes=True).select("seq", "anomaly")
 
 
 @query

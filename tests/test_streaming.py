@@ -46,6 +46,11 @@ def test_version_diff_replay_equals_batch(spark, item_days, tmp_path):
     stored = spark.read.parquet(f"{folder}/snapshots")
     same(kept.select("item_id", "seq", "content_fp"), stored.select("item_id", "seq", "content_fp"))
     assert spark.read.parquet(f"{folder}/late_records").count() == 0
+    urgent = batch.where("severity = 'P0'").count()
+    assert spark.read.parquet(f"{folder}/alerts").count() == urgent
+    assert spark.read.parquet(f"{folder}/digest").agg(F.sum("events")).first()[0] == batch.count() - urgent
+    stats = spark.read.parquet(f"{folder}/stats").agg(F.sum("saved"), F.sum("late"), F.sum("events"), F.min("top_severity")).first()
+    assert tuple(stats) == (kept.count(), 0, batch.count(), "P0")
 
 
 def test_late_rows_go_aside_and_leave_history_alone(spark, tmp_path):
