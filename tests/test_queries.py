@@ -4,8 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
+from shelfwatch.plans import oracles as library_oracles
+from shelfwatch.plans import queries as library_queries
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = library_queries.queries(), library_oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +17,7 @@ def con(sf_dir):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
