@@ -4,7 +4,7 @@ A document is the set of its distinct 3-word shingles (64-bit hashes). Two sets
 if ``100 * |A & B| >= percent * |A | B|``; then ``|A & B| >= percent/100 * max(|A|, |B|)``, from which
 every filter below follows without loss.
 
-1. Equal sets are one node. A set of size n has p(n) = n - ceil(percent * n / 100) + 1 prefix tokens:
+1. Equal sets are one node, named by a 64-bit hash like the shingles. A set of size n has p(n) = n - ceil(percent * n / 100) + 1 prefix tokens:
    linked sets share at least one of them under *any* global order.
 2. Order one is the hash itself. Its prefix is taken p(n) - 1 tokens longer, so linked sets share at
    least p of those tokens; only these are shuffled.
@@ -15,7 +15,7 @@ every filter below follows without loss.
    prefixes. All filters are intersected before the sets are compared.
 
 Large groups of near copies are not expanded into all pairs: in each round the documents of a token
-are compared with a few leaders (the one with fewest tokens of its own, and two by hash), linked ones
+are compared with a leader or two (the one with fewest tokens of its own, then by hash), linked ones
 are merged, and pairs within one component are never compared. The last round compares every
 remaining pair of different components that shares a kept token, so no link between different
 components is lost.
@@ -31,7 +31,8 @@ from ..plans.shared import durable
 from .graph import components
 from .text import grams, let, whole, words
 
-LEADER_ROUNDS = 2
+LEADERS = (1, 2)  # per token and round
+BITMAP_ROWS = 1 << 16
 
 
 def shingle_set(text: Column, width: int = 3) -> Column:
@@ -58,30 +59,50 @@ def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
 
 def _hash_prefix(tokens: Column, seed: int, percent: int) -> Column:
     """The prefix under the order of another hash."""
-    return F.slice(F.sort_array(F.transform(tokens, lambda x: F.xxhash64(x, F.lit(seed)))), 1, _prefix(F.size(tokens), percent))
+    first = F.slice(F.sort_array(F.transform(tokens, lambda x: F.xxhash64(x, F.lit(seed)))), 1, _prefix(F.size(tokens), percent))
+    return F.transform(first, lambda x: F.pmod(x, F.lit(1 << 31)).cast("int"))  # half the bytes; rare clashes only let pairs pass
 
 
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """One row per document: row id, set size and identity, and the longer prefix of order one."""
+    """One row per document: set size, the set's hash as its node, and the longer prefix of order one."""
     rows = docs.select("doc_id", shingle_set(whole("text"), width).alias("s"))
     n = F.size("s")
-    return durable(rows.select(
-        "doc_id", n.alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"),
-        F.slice("s", 1, F.greatest(2 * _prefix(n, percent) - 1, F.lit(0))).alias("ext"), F.monotonically_increasing_id().alias("row"),
-    ))
+    ext = F.slice("s", 1, F.greatest(2 * _prefix(n, percent) - 1, F.lit(0)))
+    return durable(rows.select("doc_id", n.alias("n"), F.xxhash64("s").alias("node"), ext.alias("ext")))
 
 
-def _kept_tokens(nodes: DataFrame, percent: int) -> DataFrame:
-    """(tok, node, n, own): the rarest tokens of each node's longer prefix that another node has too."""
-    tokens = nodes.select("node", "n", F.explode("ext").alias("tok"))
+def _kept_tokens(rows: DataFrame, percent: int) -> DataFrame:
+    """(tok, node, n, own): the rarest tokens of each node's longer prefix that another document has too.
+
+    Documents are counted, copies included: any count of a token serves as a global order.
+    """
+    tokens = rows.select("node", F.explode("ext").alias("tok"))
     shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    found = tokens.join(shared, "tok")
+    found = tokens.join(shared, "tok").distinct()
+    sizes = rows.where("n > 0").select("node", "n").distinct()
     prefix = _prefix(F.col("n"), percent)
     least_shared = _prefix(_needed(F.col("n"), percent), percent)  # with the smallest partner
     longer = 2 * prefix - 1
     by = W.partitionBy("node")
-    ranked = found.withColumn("own", longer - F.count(F.lit(1)).over(by)).withColumn("rank", F.row_number().over(by.orderBy("df", "tok")))
-    return ranked.where(F.col("rank") + F.col("own") <= longer - least_shared + 1).select("tok", "node", "n", "own")
+    counted = found.join(sizes, "node").withColumn("own", longer - F.count(F.lit(1)).over(by)).withColumn("rank", F.row_number().over(by.orderBy("df", "tok")))
+    kept = durable(counted.where(F.col("rank") + F.col("own") <= longer - least_shared + 1).select("tok", "node", "n", "own"))
+    several = kept.groupBy("tok").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("tok")
+    return kept.join(several, "tok")
+
+
+def _maybe(docs: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose key hash is not in ``wanted`` (one bigint column ``h``), before any shuffle.
+
+    A bitmap of fixed size, at most ``BITMAP_ROWS`` rows of 64 bits, is broadcast; where it is full
+    nothing is saved, and rows that pass by chance must be removed by a join.
+    """
+    place = F.pmod(key, F.lit(64 * BITMAP_ROWS))
+    bits = wanted.select(F.pmod("h", F.lit(64 * BITMAP_ROWS)).alias("h")).groupBy(F.shiftright("h", 6).alias("_hi")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("_bits")
+    )
+    at = docs.withColumn("_place", place)
+    met = at.join(F.broadcast(bits), F.shiftright("_place", 6) == F.col("_hi"))
+    return met.where(F.expr("getbit(_bits, cast(_place & 63 as int)) = 1")).select(*docs.columns)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -108,8 +129,8 @@ def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
 def _leader_pairs(state: DataFrame, round_no: int, percent: int) -> DataFrame:
     here = F.struct("node", "n", "comp")
     # the node with the smallest share of tokens of its own is the most central copy
-    ranks = [F.struct((F.col("own") / F.col("n")).alias("x"), F.xxhash64("node", F.lit(round_no)).alias("y"))] if round_no == 0 else []
-    ranks += [F.xxhash64("node", F.lit(10 * round_no + k)) for k in range(1, 4 - len(ranks))]
+    central = F.struct((F.col("own") / F.col("n")).alias("x"), F.xxhash64("node", F.lit(round_no)).alias("y"))
+    ranks = [central if round_no == 0 and k == 0 else F.xxhash64("node", F.lit(10 * round_no + k)) for k in range(LEADERS[round_no])]
     leaders = state.groupBy("tok").agg(*[F.min_by(here, rank).alias(f"l{k}") for k, rank in enumerate(ranks)])
     met = state.join(leaders, "tok").select(
         "node", "n", "comp", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(len(ranks))]))).alias("l")
@@ -136,26 +157,25 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     An empty table gives an empty one; other columns are ignored. Texts are never cut.
     """
     rows = _sets(docs, width, percent)
-    groups = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"))
-    member = durable(rows.select("doc_id", "n", "k1", "k2", "row").join(groups, ["k1", "k2"], "left").drop("k1", "k2"))
-    nodes = rows.select(F.col("row").alias("node"), "n", "ext").join(groups.select("node"), "node", "left_semi")
-    kept = _kept_tokens(nodes, percent)
+    kept = _kept_tokens(rows, percent)
     state = durable(kept.select("tok", "node", "n", "own", F.col("node").alias("comp")))
 
-    wanted = state.select("node").distinct().join(rows.select(F.col("row").alias("node"), "doc_id", "k1", "k2"), "node")
-    ids = wanted.select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    full = texts.select(shingle_set(whole("text"), width).alias("s")).select("s", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"))
+    wanted = state.select("node").distinct()
+    holders = durable(rows.select("doc_id", "node").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    hashed = F.xxhash64("doc_id")
+    texts = _maybe(docs.select("doc_id", "text"), hashed, holders.select(hashed.alias("h")))
+    full = texts.select("doc_id", shingle_set(whole("text"), width).alias("s")).withColumn("node", F.xxhash64("s"))
+    full = full.join(holders.select("node", F.col("doc_id").alias("_holder")), "node").where(F.col("doc_id").eqNullSafe(F.col("_holder")))
     other = [_hash_prefix(F.col("s"), seed, percent).alias(f"p{seed}") for seed in (3, 4)]
-    sets = durable(full.join(wanted.select("node", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["node"]).select("node", "s", *other))
+    sets = durable(full.dropDuplicates(["node"]).select("node", "s", *other))
 
-    for step in range(LEADER_ROUNDS):
+    for step in range(len(LEADERS)):
         state = _merged(state, _verified(_leader_pairs(state, step, percent), sets, percent))
     state = _merged(state, _verified(_rest_pairs(state, percent), sets, percent))
 
     comp = state.select("node", "comp").distinct()
-    placed = member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first_id").alias("component_id"))
+    placed = durable(rows.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp")))
+    smallest = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "comp", "left").select(
         "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
