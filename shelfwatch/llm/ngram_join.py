@@ -11,7 +11,10 @@ every filter below follows without loss.
 3. Order two is rarity (documents that have the token in their longer prefix). Of the longer prefix
    only the rarest tokens are kept, as many as needed for linked sets still to share one. Passages that
    many documents have are common and so fall off; tokens that one document has link nothing.
-4. Orders three and four are two other hashes: a candidate pair must also share a token of those
+4. A parity bitmap of the set (bit ``h mod 512`` flips with each token) bounds the difference from below:
+   the bits in which two bitmaps differ are at most ``|A ^ B|``, which links bound from above. Joins on
+   tokens let only such pairs through, so a group of similar texts that do not link makes no pairs.
+5. Orders three and four are two other hashes: a candidate pair must also share a token of those
    prefixes. All filters are intersected before the sets are compared.
 
 Large groups of near copies are not expanded into all pairs: in each round the documents of a token
@@ -31,8 +34,10 @@ from ..plans.shared import durable
 from .graph import components
 from .text import grams, let, whole, words
 
-LEADERS = (1, 2)  # per token and round
+LEADERS = (1, 3)  # per token and round
 BITMAP_ROWS = 1 << 16
+PARITY_WORDS = 8
+PARITY = [f"b{k}" for k in range(PARITY_WORDS)]
 
 
 def shingle_set(text: Column, width: int = 3) -> Column:
@@ -63,6 +68,21 @@ def _hash_prefix(tokens: Column, seed: int, percent: int) -> Column:
     return F.transform(first, lambda x: F.pmod(x, F.lit(1 << 31)).cast("int"))  # half the bytes; rare clashes only let pairs pass
 
 
+def _parity(tokens: Column) -> list[Column]:
+    """The set's parity bitmap in words of 64 bits."""
+    def word(k: int) -> Column:
+        mine = F.filter(tokens, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(PARITY_WORDS - 1)) == k)
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return [word(k).alias(name) for k, name in enumerate(PARITY)]
+
+
+def _close(n: Column, m: Column, bits: list[Column], others: list[Column], percent: int) -> Column:
+    """Sizes and bitmaps allow a link."""
+    differ = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(bits[1:], others[1:], strict=True)), F.bit_count(bits[0].bitwiseXOR(others[0])))
+    return _sizes_fit(n, m, percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One row per document: set size, the set's hash as its node, and the longer prefix of order one."""
     rows = docs.select("doc_id", shingle_set(whole("text"), width).alias("s"))
@@ -123,19 +143,19 @@ def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(at.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(at.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
     roots = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     moved = state.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
-    return durable(moved.select("tok", "node", "n", "own", F.coalesce("root", "comp").alias("comp")))
+    return durable(moved.select("tok", "node", "n", "own", *PARITY, F.coalesce("root", "comp").alias("comp")))
 
 
 def _leader_pairs(state: DataFrame, round_no: int, percent: int) -> DataFrame:
-    here = F.struct("node", "n", "comp")
+    here = F.struct("node", "n", "comp", *PARITY)
     # the node with the smallest share of tokens of its own is the most central copy
     central = F.struct((F.col("own") / F.col("n")).alias("x"), F.xxhash64("node", F.lit(round_no)).alias("y"))
     ranks = [central if round_no == 0 and k == 0 else F.xxhash64("node", F.lit(10 * round_no + k)) for k in range(LEADERS[round_no])]
     leaders = state.groupBy("tok").agg(*[F.min_by(here, rank).alias(f"l{k}") for k, rank in enumerate(ranks)])
     met = state.join(leaders, "tok").select(
-        "node", "n", "comp", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(len(ranks))]))).alias("l")
+        "node", "n", "comp", *PARITY, F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(len(ranks))]))).alias("l")
     )
-    fits = _sizes_fit(F.col("n"), F.col("l.n"), percent) & (F.col("comp") != F.col("l.comp"))
+    fits = (F.col("comp") != F.col("l.comp")) & _close(F.col("n"), F.col("l.n"), [F.col(b) for b in PARITY], [F.col(f"l.{b}") for b in PARITY], percent)
     return met.where(fits).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
@@ -144,8 +164,9 @@ def _rest_pairs(state: DataFrame, percent: int) -> DataFrame:
     sizes = state.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("m"))
     most = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     several = state.join(most, "tok")
-    few = several.where("comp <> main").select("tok", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    met = several.select("tok", "node", "n", "comp").join(few, "tok").where((F.col("comp") != F.col("cx")) & _sizes_fit(F.col("n"), F.col("nx"), percent))
+    few = several.where("comp <> main").select("tok", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), *[F.col(b).alias(f"x{b}") for b in PARITY])
+    fits = (F.col("comp") != F.col("cx")) & _close(F.col("n"), F.col("nx"), [F.col(b) for b in PARITY], [F.col(f"x{b}") for b in PARITY], percent)
+    met = several.select("tok", "node", "n", "comp", *PARITY).join(few, "tok").where(fits)
     return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
 
 
@@ -158,7 +179,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     """
     rows = _sets(docs, width, percent)
     kept = _kept_tokens(rows, percent)
-    state = durable(kept.select("tok", "node", "n", "own", F.col("node").alias("comp")))
+    state = kept.select("tok", "node", "n", "own", F.col("node").alias("comp"))
 
     wanted = state.select("node").distinct()
     holders = durable(rows.select("doc_id", "node").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
@@ -167,7 +188,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     full = texts.select("doc_id", shingle_set(whole("text"), width).alias("s")).withColumn("node", F.xxhash64("s"))
     full = full.join(holders.select("node", F.col("doc_id").alias("_holder")), "node").where(F.col("doc_id").eqNullSafe(F.col("_holder")))
     other = [_hash_prefix(F.col("s"), seed, percent).alias(f"p{seed}") for seed in (3, 4)]
-    sets = durable(full.dropDuplicates(["node"]).select("node", "s", *other))
+    sets = durable(full.dropDuplicates(["node"]).select("node", "s", *other, *_parity(F.col("s"))))
+    state = durable(state.join(sets.select("node", *PARITY), "node"))
 
     for step in range(len(LEADERS)):
         state = _merged(state, _verified(_leader_pairs(state, step, percent), sets, percent))
