@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,12 +32,12 @@ from ..plans.shared import durable
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SLOTS = 4096  # most frequent subwords with a slot each; the last slots are: rare, begin, end
-CLASSES, ALONE, GROUPS = 128, 40, 512
-DIM, HIDDEN, CONTEXT, SPAN = 16, 32, 16, 16
+CLASSES, ALONE, GROUPS = 96, 30, 512
+DIM, HIDDEN, CONTEXT, SPAN = 16, 24, 16, 16
 RUN_WORDS, RUN_EVERY = 40, 320
 BATCH, RATE = 64, 0.01
 FREQUENT = 200_000  # words whose counts every task holds; the others are joined
-CACHE_WORDS, CHUNK = 400_000, 256
+CACHE_WORDS, CHUNK = 400_000, 64
 RARE, BEGIN, END = SLOTS - 3, SLOTS - 2, SLOTS - 1
 _WIDTH = CONTEXT + SPAN
 
@@ -171,14 +172,15 @@ def initial_weights(seed: int = 3) -> dict[str, np.ndarray]:
 
 # query i stands at position CONTEXT - 1 + i and sees the positions up to its own
 _AWAY = (np.arange(SPAN)[:, None] + CONTEXT - 1) - np.arange(_WIDTH - 1)[None, :]
-_MASK = np.where(_AWAY < 0, np.float32(-1e9), np.float32(0))
+_SEEN = (_AWAY >= 0).astype(np.float32)
 
 
 def _attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     scores = q @ k.transpose(0, 2, 1)
-    scores += near[np.maximum(_AWAY, 0)] + _MASK
+    scores += near[np.maximum(_AWAY, 0)]
     scores -= scores.max(axis=2, keepdims=True)
     np.exp(scores, out=scores)
+    scores *= _SEEN
     scores /= scores.sum(axis=2, keepdims=True)
     return scores, scores @ v
 
@@ -212,9 +214,10 @@ def train_step(w: dict[str, np.ndarray], windows: np.ndarray, targets: np.ndarra
     g["Wq"] = eq.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
     g["Wk"] = e.reshape(-1, DIM).T @ dk.reshape(-1, DIM)
     g["Wv"] = e.reshape(-1, DIM).T @ dv.reshape(-1, HIDDEN)
-    g["E"] = np.zeros_like(w["E"])
-    np.add.at(g["E"], x, dk @ w["Wk"].T + dv @ w["Wv"].T)
-    np.add.at(g["E"], at, dq @ w["Wq"].T + dh @ w["Wr"].T)
+    moved = np.concatenate([(dk @ w["Wk"].T + dv @ w["Wv"].T).reshape(-1, DIM), (dq @ w["Wq"].T + dh @ w["Wr"].T).reshape(-1, DIM)])
+    rows = np.concatenate([x.ravel(), at.ravel()])
+    cells = (rows[:, None].astype(np.int64) * DIM + np.arange(DIM)).ravel()
+    g["E"] = np.bincount(cells, moved.ravel(), minlength=SLOTS * DIM).reshape(SLOTS, DIM).astype(np.float32)
     return float(loss), g
 
 
@@ -307,9 +310,11 @@ class Scorer:
     def __init__(self, w: dict[str, np.ndarray], lexicon: tuple[np.ndarray, ...]):
         self.cls, self.group, self.opens, self.cond = lexicon
         self.q = w["E"] @ w["Wq"] / np.float32(np.sqrt(DIM))
-        self.k, self.v, self.r = w["E"] @ w["Wk"], w["E"] @ w["Wv"], w["E"] @ w["Wr"] + w["b"]
-        self.bias, self.u, self.c = w["near"][np.maximum(_AWAY, 0)] + _MASK, w["U"], w["c"]
-        self.near = w["near"]
+        self.k, self.r = w["E"] @ w["Wk"], w["E"] @ w["Wr"] + w["b"]
+        # a column of ones sums the attention weights in the same product
+        self.v = np.hstack([w["E"] @ w["Wv"], np.ones((SLOTS, 1), dtype=np.float32)])
+        self.bias, self.u, self.c = np.exp(w["near"][np.maximum(_AWAY, 0)]) * _SEEN, w["U"], w["c"]
+        self.ones = np.ones(CLASSES, dtype=np.float32)
 
     def __call__(self, slots: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The natural log probability of each subword slot."""
@@ -318,20 +323,20 @@ class Scorer:
         for a in range(0, len(windows), CHUNK):
             part = windows[a : a + CHUNK]
             x, at, to = part[:, :-1], part[:, CONTEXT - 1 : -1], part[:, CONTEXT:]
-            scores = self.q[at] @ self.k[x].transpose(0, 2, 1)
-            scores += self.bias
-            np.exp(scores, out=scores)  # scores are small: weights of a trained model, no overflow below 80
-            mixed = scores @ self.v[x]
-            mixed /= scores.sum(axis=2, keepdims=True)
-            mixed += self.r[at]
-            np.tanh(mixed, out=mixed)
-            logits = mixed.reshape(-1, HIDDEN) @ self.u
+            scores = np.take(self.q, at, axis=0) @ np.take(self.k, x, axis=0).transpose(0, 2, 1)
+            np.exp(scores, out=scores)  # products of trained weights stay far from overflow at 88
+            scores *= self.bias
+            mixed = scores @ np.take(self.v, x, axis=0)
+            hidden = mixed[..., :HIDDEN] / mixed[..., HIDDEN:]
+            hidden += np.take(self.r, at, axis=0)
+            np.tanh(hidden, out=hidden)
+            logits = hidden.reshape(-1, HIDDEN) @ self.u
             logits += self.c
             goal = to.ravel()
             chosen = logits[np.arange(len(goal)), self.cls[goal]]
             np.exp(logits, out=logits)
             before = np.where(self.opens[goal], 0, self.group[at.ravel()])
-            out[a : a + CHUNK] = (chosen - np.log(logits.sum(axis=1)) + self.cond[before, goal]).reshape(-1, SPAN)
+            out[a : a + CHUNK] = (chosen - np.log(logits @ self.ones) + self.cond[before, goal]).reshape(-1, SPAN)
         return out[live]
 
 
@@ -366,28 +371,31 @@ def lm_scores(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
         counts_of, slot_of, inside, tables, w = shared.value
         segment, scorer = Segmenter(ranks), Scorer(w, tables)
         place: dict[bytes, int] = {}
-        pieces, base, spelled = [], [], []
+        spelled: list[bytes] = []
+        joined, n_pieces, base = array("i"), array("q"), array("d")
         for batch in batches:
             for a in range(0, len(batch), 128):  # bounds the arrays, not the texts
                 part = batch.iloc[a : a + 128]
                 if len(place) > CACHE_WORDS:
-                    place, pieces, base, spelled = {}, [], [], []
+                    place, spelled, joined, n_pieces, base = {}, [], array("i"), array("q"), array("d")
                 each = [split_words(t) for t in part["text"]]
-                for word in set().union(*each) - place.keys():
-                    place[word] = len(pieces)
-                    pieces.append(np.array(segment(word), dtype=np.int32))
-                    base.append(counts_of.get(word, -1))
-                    spelled.append(word)
+                for word in set().union(*each):
+                    if word not in place:
+                        place[word] = len(spelled)
+                        ids = segment(word)
+                        joined.extend(ids)
+                        n_pieces.append(len(ids))
+                        base.append(counts_of.get(word, -1))
+                        spelled.append(word)
                 numbers = [np.fromiter(map(place.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in each]
-                c, n_pieces = np.array(base, dtype=np.float64), np.array([len(p) for p in pieces], dtype=np.int64)
-                joined = np.concatenate([*pieces, np.zeros(0, dtype=np.int32)])
-                begin = np.cumsum(n_pieces) - n_pieces
+                c, sizes, pieces = np.array(base), np.array(n_pieces, dtype=np.int64), np.array(joined, dtype=np.int32)
+                begin = np.cumsum(sizes) - sizes
                 rows = []
                 slots, extra = [], []
                 for number in numbers:
-                    k = n_pieces[number]
+                    k = sizes[number]
                     where = np.arange(k.sum()) + np.repeat(begin[number] - (np.cumsum(k) - k), k)
-                    ids = joined[where]
+                    ids = pieces[where]
                     slots.append(np.append(slot_of[ids], END))
                     extra.append(inside[ids].sum(dtype=np.float64))
                 lengths = np.array([len(s) for s in slots])
