@@ -32,11 +32,11 @@ from ..plans.shared import durable
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SLOTS = 4096  # most frequent subwords with a slot each; the last slots are: rare, begin, end
-CLASSES, ALONE, GROUPS = 96, 30, 512
-DIM, HIDDEN, CONTEXT, SPAN = 16, 24, 16, 16
-RUN_WORDS, RUN_EVERY = 40, 320
+CLASSES, ALONE, GROUPS = 80, 26, 512
+DIM, HIDDEN, CONTEXT, SPAN = 16, 16, 16, 16
+RUN_WORDS, RUN_EVERY = 40, 480
 BATCH, RATE = 64, 0.01
-FREQUENT = 200_000  # words whose counts every task holds; the others are joined
+FREQUENT = 100_000  # words whose counts every task holds; the others are joined
 CACHE_WORDS, CHUNK = 400_000, 64
 RARE, BEGIN, END = SLOTS - 3, SLOTS - 2, SLOTS - 1
 _WIDTH = CONTEXT + SPAN

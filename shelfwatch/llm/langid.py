@@ -46,10 +46,10 @@ _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
-    """(id, text, declared, host, suffix) of documents: their declared language and source."""
+def document_evidence(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """(id, text, declared, host, suffix) of documents: their declared language and source; ``key`` replaces the id."""
     suffix = F.lower(F.regexp_extract(F.coalesce("source", F.lit("")), r"\.([A-Za-z]{2,})$", 1))
-    return docs.select(F.col("doc_id").alias("id"), "text", F.lower("lang").alias("declared"), F.lower("source").alias("host"), F.nullif(suffix, F.lit("")).alias("suffix"))
+    return docs.select((F.col("doc_id") if key is None else key).alias("id"), "text", F.lower("lang").alias("declared"), F.lower("source").alias("host"), F.nullif(suffix, F.lit("")).alias("suffix"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -163,5 +163,5 @@ def identify(rows: DataFrame) -> DataFrame:
 def with_known_language(docs: DataFrame) -> DataFrame:
     """The documents whose language could be told, columns as they were. Rows of one id and text share their fate."""
     key = F.xxhash64("doc_id", "text", "lang", "source")
-    found = identify(document_evidence(docs).withColumn("id", key)).where("NOT kept").select(F.col("id").alias("_k")).distinct()
+    found = identify(document_evidence(docs, key)).where("NOT kept").select(F.col("id").alias("_k")).distinct()
     return docs.withColumn("_key", key).join(found, F.col("_key") == F.col("_k"), "left_anti").select(*docs.columns)
