@@ -6,8 +6,8 @@ every filter below follows without loss.
 
 1. Equal sets are one node, named by a 64-bit hash like the shingles. A set of size n has p(n) = n - ceil(percent * n / 100) + 1 prefix tokens:
    linked sets share at least one of them under *any* global order.
-2. Order one is the hash itself. Its prefix is taken p(n) - 1 tokens longer, so linked sets share at
-   least p of those tokens; only these are shuffled.
+2. Order one is the hash itself. Its prefix is taken l(n) - 1 tokens longer with l = p / 2 rounded up, so
+   linked sets share at least l of those tokens; only these are shuffled.
 3. Order two is rarity (documents that have the token in their longer prefix). Of the longer prefix
    only the rarest tokens are kept, as many as needed for linked sets still to share one. Passages that
    many documents have are common and so fall off; tokens that one document has link nothing.
@@ -53,6 +53,15 @@ def _prefix(n: Column, percent: int) -> Column:
     return n - F.floor((n * percent + 99) / 100).cast("int") + 1
 
 
+def _promised(n: Column, percent: int) -> Column:
+    """How many tokens of the longer prefixes linked sets share at least: half the prefix, so that a third may be common ones."""
+    return F.floor((_prefix(n, percent) + 1) / 2).cast("int")
+
+
+def _longer(n: Column, percent: int) -> Column:
+    return _prefix(n, percent) + _promised(n, percent) - 1
+
+
 def _needed(n: Column, percent: int) -> Column:
     """The smallest size a linked partner may have."""
     return F.floor((n * percent + 99) / 100).cast("int")
@@ -87,7 +96,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One row per document: set size, the set's hash as its node, and the longer prefix of order one."""
     rows = docs.select("doc_id", shingle_set(whole("text"), width).alias("s"))
     n = F.size("s")
-    ext = F.slice("s", 1, F.greatest(2 * _prefix(n, percent) - 1, F.lit(0)))
+    ext = F.slice("s", 1, F.greatest(_longer(n, percent), F.lit(0)))
     return durable(rows.select("doc_id", n.alias("n"), F.xxhash64("s").alias("node"), ext.alias("ext")))
 
 
@@ -100,9 +109,8 @@ def _kept_tokens(rows: DataFrame, percent: int) -> DataFrame:
     shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     found = tokens.join(shared, "tok").distinct()
     sizes = rows.where("n > 0").select("node", "n").distinct()
-    prefix = _prefix(F.col("n"), percent)
-    least_shared = _prefix(_needed(F.col("n"), percent), percent)  # with the smallest partner
-    longer = 2 * prefix - 1
+    least_shared = _promised(_needed(F.col("n"), percent), percent)  # with the smallest partner
+    longer = _longer(F.col("n"), percent)
     by = W.partitionBy("node")
     counted = found.join(sizes, "node").withColumn("own", longer - F.count(F.lit(1)).over(by)).withColumn("rank", F.row_number().over(by.orderBy("df", "tok")))
     kept = durable(counted.where(F.col("rank") + F.col("own") <= longer - least_shared + 1).select("tok", "node", "n", "own"))
