@@ -101,3 +101,8 @@ PAUSE_AFTER_OPENS = 3
 PAUSE_AFTER_FAILURES = 5
 INSTANT_OPEN_ANOMALIES = ("context_mismatch", "verify_required", "auth_expired")
 SYNTHETIC_ID_PREFIX = "SAMPLE"
+
+# fixed values: the policy of a source that nobody declared
+DEFAULT_QPS = 0.5
+DEFAULT_BURST = 3
+DEFAULT_DAILY_QUOTA = 1000

@@ -42,7 +42,20 @@ def relative_change(old: Column, new: Column) -> Column:
 
 
 def signed_percent(ratio: Column) -> Column:
-    return F.format_string("%+.1f%%", ratio * 100)
+    """Percent with one decimal and a sign, rounded as the double's exact value says, ties to even.
+
+    With a = |percent|, 20 a is an odd number only next to a midpoint; which side a is on shows in
+    16 a and 4 a, both exact, as does their distance to that number.
+    """
+    v = ratio * 100
+    a = F.abs(v)
+    twentieths = F.rint(a * 20)
+    lower = F.floor(twentieths / 2)
+    rest = twentieths - a * 16
+    up = F.when(a * 4 > rest, 1).when(a * 4 == rest, lower % 2).otherwise(0)
+    tenths = (lower + F.when(twentieths % 2 == 1, up).otherwise(0)).cast("bigint")
+    text = F.concat(F.when(v < 0, "-").otherwise("+"), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
+    return F.when(a < 1e12, text).otherwise(F.format_string("%+.1f%%", v))
 
 
 def word_changes(old: Column, new: Column, words: Sequence[str] = V.TITLE_SELL_WORDS) -> tuple[Column, Column]:

@@ -76,6 +76,10 @@ def prompt_rows(bundles: DataFrame, template: str, slot: str = "{events}") -> Da
     return bundles.withColumn("prompt", F.replace(F.lit(template), F.lit(slot), F.col("events_json")))
 
 
+# what the scorer says about an event besides its grade
+ADVICE = ("attribution", "action", "priority_reason")
+
+
 def parse_response(responses: DataFrame, text: str = "response") -> DataFrame:
     """Tolerant parse of a scorer's answer into ``events`` and ``summary``.
 
@@ -99,6 +103,7 @@ def parse_response(responses: DataFrame, text: str = "response") -> DataFrame:
             field(e, "severity").alias("severity"),
             field(e, "category").alias("category"),
             field(e, "summary").alias("summary"),
+            *[field(e, name).alias(name) for name in ADVICE],
             # only a JSON boolean counts; null, numbers and the text "false" do not
             F.when(F.schema_of_variant(keep) == "BOOLEAN", F.try_variant_get(e, "$.priority_keep", "boolean")).alias("priority_keep"),
         )
@@ -112,6 +117,7 @@ def parse_response(responses: DataFrame, text: str = "response") -> DataFrame:
             F.filter("_all", lambda e: e["item_id"].isNotNull()),
             lambda e: F.struct(
                 e["item_id"].alias("item_id"), e["severity"].alias("severity"), e["category"].alias("category"),
+                *[e[name].alias(name) for name in ADVICE],
                 e["priority_keep"].alias("priority_keep"),
                 need_push(e["severity"], e["priority_keep"]).alias("need_push"),
             ),

@@ -57,7 +57,7 @@ _BRANCHES = {
                               f"CASE WHEN listing_status = 'on_sale' THEN '{V.TEXT_ON_SALE}' ELSE '{V.TEXT_OFF_SALE}' END"),
     "price": _branch(2, "price", "price <> p_price",
                      f"CASE WHEN {_RATIO} <= CAST(-0.1 AS DOUBLE) THEN 'P0' WHEN {_RATIO} <= CAST(-0.03 AS DOUBLE) OR {_RATIO} >= CAST(0.1 AS DOUBLE) THEN 'P1' ELSE 'P2' END",
-                     "p_price", "price", "''", "p_price", "price", _RATIO),
+                     "p_price", "price", f"concat('{V.TEXT_PRICE}', printf('%+.1f%%', ({_RATIO}) * 100))", "p_price", "price", _RATIO),
     "stock": _branch(3, "stock", "stock <> p_stock",
                      f"CASE WHEN stock = 0 THEN 'P0' WHEN {_STOCK_RATIO} <= CAST(-0.5 AS DOUBLE) THEN 'P1' ELSE 'P3' END",
                      "p_stock", "stock", f"'{V.TEXT_STOCK}'", "p_stock", "stock", _STOCK_RATIO),
@@ -194,7 +194,7 @@ ORACLES: dict[str, str] = {
  WHEN (CAST(new_num AS DECIMAL(18,2)) - CAST(old_num AS DECIMAL(18,2))) * 100 <= -3 * CAST(old_num AS DECIMAL(18,2))
    OR (CAST(new_num AS DECIMAL(18,2)) - CAST(old_num AS DECIMAL(18,2))) * 10 >= CAST(old_num AS DECIMAL(18,2)) THEN 'P1' ELSE 'P2' END AS severity FROM chg""",
     "diff_events_by_role": f"WITH {_ROLED} SELECT {_EVENT}, role FROM roled WHERE role = 'competitor' OR severity IN ('P0', 'P1')",
-    "event_texts": f"WITH {_EVENTS} SELECT item_id, seq, field, event FROM chg WHERE field <> 'price'",
+    "event_texts": f"WITH {_EVENTS} SELECT item_id, seq, field, event FROM chg",
     "version_pairs": f"WITH {_PAIRS} SELECT item_id, seq, p_seq AS prev_seq, p_price AS prev_price FROM pairs",
     "chg_status": _check("listing_status", "old_value, new_value, event"),
     "chg_price": _check("price", "old_num, new_num, ratio"),

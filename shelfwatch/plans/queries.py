@@ -174,7 +174,7 @@ def diff_events_by_role(i: Inputs) -> DataFrame:
 
 @query
 def event_texts(i: Inputs) -> DataFrame:
-    return i.events.where("field <> 'price'").select("item_id", "seq", "field", "event")
+    return i.events.select("item_id", "seq", "field", "event")
 
 
 @query

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import fixed_values as V
+from shelfwatch.functions.scalars import signed_percent
 from shelfwatch.operators import changes, classify, versions
 
 BASE = {
@@ -134,24 +135,24 @@ def test_role_filter(spark):
 
 
 CATEGORY_CASES = [
-    ("self", "price", 89.0, 80.1, "自有降价异常"),
-    ("self", "price", 89.0, 85.0, "自有普通调价"),
-    ("competitor", "price", 79.0, 71.1, "竞品降价"),
-    ("competitor", "price", 71.1, 79.0, "竞品降价"),
-    ("self", "price", 0.0, 5.0, "自有普通调价"),
-    ("self", "price", None, 5.0, "自有普通调价"),
+    ("self", "price", 50.0, 40.0, "自有降价异常"),
+    ("self", "price", 50.0, 49.0, "自有普通调价"),
+    ("competitor", "price", 20.0, 15.0, "竞品降价"),
+    ("competitor", "price", 15.0, 20.0, "竞品降价"),
+    ("self", "price", 0.0, 3.0, "自有普通调价"),
+    ("self", "price", None, 3.0, "自有普通调价"),
     ("self", "listing_status", "on_sale", "off_shelf", "自有下架"),
     ("competitor", "listing_status", "on_sale", "off_shelf", "竞品下架"),
     ("competitor", "listing_status", "off_shelf", "on_sale", ""),
-    ("self", "stock", 10, 0, "自有断货"),
-    ("competitor", "stock", 10, 0, "竞品断货"),
-    ("partner", "stock", 10, 0, "竞品断货"),
+    ("self", "stock", 25, 0, "自有断货"),
+    ("competitor", "stock", 40, 0, "竞品断货"),
+    ("partner", "stock", 8, 0, "竞品断货"),
     ("self", "stock", 10, 3, ""),
     ("self", "main_image", "v1", "v2", "主图换版"),
     ("self", "title", "x", "y", "标题改卖点词"),
-    ("self", "promotion", "满减", "秒杀", "促销机制变化"),
-    ("self", "rating", 4.8, 4.4, "评分下滑"),
-    ("self", "rating", 4.8, 4.7, ""),
+    ("self", "promotion", "买二送一", "会员价", "促销机制变化"),
+    ("self", "rating", 4.6, 4.1, "评分下滑"),
+    ("self", "rating", 4.6, 4.5, ""),
     ("self", "review_count", 1, 2, ""),
     ("unknown", "listing_status", "on_sale", "off_shelf", "归属未知"),
 ]
@@ -219,3 +220,9 @@ def test_set_based_diff_equals_a_plain_fold(spark, states):
     named = [dict(zip(("price", "stock", "title", "rating"), s, strict=True)) for s in states]
     _, rows = events_of(spark, *named)
     assert sorted((r["seq"], r["field"], r["severity"]) for r in rows) == sorted(fold_events(states))
+
+
+def test_percent_texts_round_the_exact_value(spark):
+    ratios = [0.0025, -0.0625, 0.1235, 0.0015, -0.0005, 0.0, 1.0, 0.99951, -0.07125, 1e-9, 12.34567, *[k / 4000 for k in range(-60, 60)], *[k / 997 for k in range(-50, 50)]]
+    rows = spark.createDataFrame([(r,) for r in ratios], "r double").select("r", signed_percent(F.col("r")).alias("t")).collect()
+    assert [(r.r, r.t) for r in rows if r.t != f"{r.r:+.1%}"] == []

@@ -211,3 +211,11 @@ def test_quota_day_follows_the_time_zone(spark):
     assert over("UTC") == [False, True]
     assert over("Asia/Shanghai") == [False, False]
     assert [r["overrun"] for r in fetchlog.quota_days(log, sources).collect()] == [1]
+
+
+def test_undeclared_sources_have_the_default_policy(spark):
+    log = spark.createDataFrame([("nobody", k, datetime(2024, 1, 1, 10)) for k in range(5)], "source_id string, seq bigint, ts timestamp")
+    sources = spark.createDataFrame([("s", 1, 0.1, 1)], "source_id string, daily_quota bigint, qps double, burst bigint")
+    assert [r["over"] for r in fetchlog.quota_ledger(log, sources).collect()] == [False] * 5
+    assert [(r["used"], r["remaining"]) for r in fetchlog.quota_days(log, sources).collect()] == [(5, 995)]
+    assert sorted(r["seq"] for r in fetchlog.rate_audit(log, sources).collect()) == [3, 4]
