@@ -18,10 +18,10 @@ every filter below follows without loss.
    prefixes. All filters are intersected before the sets are compared.
 
 Large groups of near copies are not expanded into all pairs: in each round the documents of a token
-are compared with a leader or two (the one with fewest tokens of its own, then by hash), linked ones
-are merged, and pairs within one component are never compared. The last round compares every
-remaining pair of different components that shares a kept token, so no link between different
-components is lost.
+are compared with a few leaders (the one with fewest tokens of its own, then by hash), linked ones
+share a class from then on, and pairs within one class are never compared: they are connected by links
+already found. The last round compares every remaining pair of different classes that shares a kept
+token, so no link between different classes is lost. Components are those of all links together.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.shared import durable
-from .graph import components
+from .graph import components, neighbourhoods, written
 from .text import grams, let, whole, words
 
 LEADERS = (1, 3)  # per token and round
@@ -134,26 +134,31 @@ def _maybe(docs: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share prefix tokens under the other orders and whose sets link."""
+    """The pairs (a, b) of classes (ca, cb) that share prefix tokens under the other orders and whose sets link."""
     filters = sets.select("node", "p3", "p4")
     for side in ("a", "b"):
         pairs = pairs.join(filters.select(F.col("node").alias(side), F.col("p3").alias(f"{side}3"), F.col("p4").alias(f"{side}4")), side)
-    pairs = pairs.where(F.arrays_overlap("a3", "b3") & F.arrays_overlap("a4", "b4")).select("a", "b")
+    pairs = pairs.where(F.arrays_overlap("a3", "b3") & F.arrays_overlap("a4", "b4")).select("a", "b", "ca", "cb")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("s").alias(f"s{side}")), side)
     common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
+    return written(pairs.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b", "ca", "cb"))
 
 
 def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
-    """The tokens' rows with components after the links (a, b) between nodes."""
-    at = state.select("node", "comp").distinct()
-    ends = links.join(at.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(at.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-    roots = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    """The tokens' rows with classes after the links between them."""
+    roots = neighbourhoods(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     moved = state.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
     return durable(moved.select("tok", "node", "n", "own", *PARITY, F.coalesce("root", "comp").alias("comp")))
 
 
+def _pairs(met: DataFrame, other: str, other_class: str) -> DataFrame:
+    """Distinct unordered pairs of nodes (a, b) and their classes (ca, cb)."""
+    return met.select(
+        F.least("node", other).alias("a"), F.greatest("node", other).alias("b"), F.least("comp", other_class).alias("ca"), F.greatest("comp", other_class).alias("cb")
+    ).distinct()
+
+
 def _leader_pairs(state: DataFrame, round_no: int, percent: int) -> DataFrame:
     here = F.struct("node", "n", "comp", *PARITY)
     # the node with the smallest share of tokens of its own is the most central copy
@@ -164,18 +169,18 @@ def _leader_pairs(state: DataFrame, round_no: int, percent: int) -> DataFrame:
         "node", "n", "comp", *PARITY, F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(len(ranks))]))).alias("l")
     )
     fits = (F.col("comp") != F.col("l.comp")) & _close(F.col("n"), F.col("l.n"), [F.col(b) for b in PARITY], [F.col(f"l.{b}") for b in PARITY], percent)
-    return met.where(fits).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+    return _pairs(met.where(fits), "l.node", "l.comp")
 
 
 def _rest_pairs(state: DataFrame, percent: int) -> DataFrame:
-    """Every pair of different components that shares a token: one side is outside the token's largest component."""
+    """Every pair of different classes that shares a token: one side is outside the token's largest class."""
     sizes = state.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("m"))
     most = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     several = state.join(most, "tok")
     few = several.where("comp <> main").select("tok", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), *[F.col(b).alias(f"x{b}") for b in PARITY])
     fits = (F.col("comp") != F.col("cx")) & _close(F.col("n"), F.col("nx"), [F.col(b) for b in PARITY], [F.col(f"x{b}") for b in PARITY], percent)
     met = several.select("tok", "node", "n", "comp", *PARITY).join(few, "tok").where(fits)
-    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    return _pairs(met, "x", "cx")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -199,11 +204,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     sets = durable(full.dropDuplicates(["node"]).select("node", "s", *other, *_parity(F.col("s"))))
     state = durable(state.join(sets.select("node", *PARITY), "node"))
 
+    links = None
     for step in range(len(LEADERS)):
-        state = _merged(state, _verified(_leader_pairs(state, step, percent), sets, percent))
-    state = _merged(state, _verified(_rest_pairs(state, percent), sets, percent))
+        found = _verified(_leader_pairs(state, step, percent), sets, percent)
+        state = _merged(state, found)
+        links = found if links is None else links.unionAll(found)
+    links = links.unionAll(_verified(_rest_pairs(state, percent), sets, percent))
 
-    comp = state.select("node", "comp").distinct()
+    comp = components(links).withColumnRenamed("root", "comp")
     placed = durable(rows.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp")))
     smallest = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "comp", "left").select(
