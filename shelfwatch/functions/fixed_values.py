@@ -102,6 +102,11 @@ PAUSE_AFTER_FAILURES = 5
 INSTANT_OPEN_ANOMALIES = ("context_mismatch", "verify_required", "auth_expired")
 SYNTHETIC_ID_PREFIX = "SAMPLE"
 
+# fixed values: why a source is paused; {limit} is its daily quota
+PAUSED_BY_QUOTA = "日配额 {limit} 已用尽"
+PAUSED_BY_OPENS = "连续熔断 %d 次，人工确认后恢复"
+PAUSED_BY_FAILURES = "连续 %d 次失败未恢复（累计 %d 次），人工确认后恢复"
+
 # fixed values: the policy of a source that nobody declared
 DEFAULT_QPS = 0.5
 DEFAULT_BURST = 3

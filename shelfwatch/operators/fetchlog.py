@@ -93,7 +93,7 @@ def local_day(ts: Column, tz: str) -> Column:
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), ts.cast("timestamp_ntz")))
 
 
-def _with_policy(log: DataFrame, sources: DataFrame, **defaults: float) -> DataFrame:
+def with_policy(log: DataFrame, sources: DataFrame, **defaults: float) -> DataFrame:
     """The log with its sources' policy columns; undeclared sources have the default policy."""
     policy = sources.select(SOURCE, *defaults)
     return log.join(policy, SOURCE, "left").withColumns({c: F.coalesce(policy[c], F.lit(v).cast(policy.schema[c].dataType)) for c, v in defaults.items()})
@@ -105,7 +105,7 @@ def quota_ledger(log: DataFrame, sources: DataFrame, tz: str = "UTC", cuts: Cuts
     ``cuts`` are positions per (source_id, day).
     """
     days = log.withColumn("day", local_day(F.col("ts"), tz))
-    days = _with_policy(days, sources, daily_quota=V.DEFAULT_DAILY_QUOTA)
+    days = with_policy(days, sources, daily_quota=V.DEFAULT_DAILY_QUOTA)
     ranked = OrderedScan(days, [SOURCE, "day"], LOG_ORDER, cuts).add(used=position()).result()
     return ranked.withColumn("over", F.col("used") > F.col("daily_quota"))
 
@@ -114,7 +114,7 @@ def quota_days(log: DataFrame, sources: DataFrame, tz: str = "UTC") -> DataFrame
     """Used, remaining and overrun per source and day; counted before the shuffle, no ranking needed."""
     used = log.groupBy(SOURCE, local_day(F.col("ts"), tz).alias("day")).agg(F.count(F.lit(1)).alias("used"))
     left = F.col("daily_quota") - F.col("used")
-    return _with_policy(used, sources, daily_quota=V.DEFAULT_DAILY_QUOTA).select(
+    return with_policy(used, sources, daily_quota=V.DEFAULT_DAILY_QUOTA).select(
         SOURCE, "day", "used",
         F.greatest(F.lit(0), left).alias("remaining"),
         F.greatest(F.lit(0), -left).alias("overrun"),
@@ -128,7 +128,7 @@ def rate_audit(log: DataFrame, sources: DataFrame, cuts: Cuts | None = None) ->
     number of tokens taken from the bucket; above ``burst`` the request broke the limit.
     """
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rated = _with_policy(log, sources, qps=V.DEFAULT_QPS, burst=V.DEFAULT_BURST)
+    rated = with_policy(log, sources, qps=V.DEFAULT_QPS, burst=V.DEFAULT_BURST)
     scan = OrderedScan(rated, [SOURCE], LOG_ORDER, cuts).add(_n=position())
     refilled = F.col("qps") * seconds
     scan = scan.add(_floor=running_min((F.col("_n") - 1) - refilled))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from .fetchlog import LOG_ORDER, SOURCE, local_day
+from .fetchlog import LOG_ORDER, SOURCE, local_day, with_policy
 from .ordered import Cuts, OrderedScan, last_known, previous, running_max, running_sum
 
 
@@ -58,7 +58,8 @@ def breaker_log(
     attempts; sources not in it start healthy.
 
     Adds run_failures (breaker failures since the last close), opens, opened, cooldown_s, open_until_us,
-    breaker ('closed'/'open'/'half_open'), streak, total_failures, pause_trigger, paused, pause_reason.
+    breaker ('closed'/'open'/'half_open'), streak, total_failures, pause_trigger, paused, pause_reason
+    (in which ``{limit}`` stands for the daily quota; ``pause_events`` and ``health_report`` fill it in).
     """
     kind = F.col("outcome")
     closes = kind.isin("ok", "resume")
@@ -105,11 +106,11 @@ def breaker_log(
     )
     scan.rows = scan.rows.withColumn("pause_trigger", trigger)
     reason = (
-        F.when(trigger == "quota", F.lit("日配额已用尽"))
-        .when(trigger == "opens", F.format_string("连续熔断 %d 次，人工确认后恢复", F.col("opens")))
+        F.when(trigger == "quota", F.lit(V.PAUSED_BY_QUOTA))
+        .when(trigger == "opens", F.format_string(V.PAUSED_BY_OPENS, F.col("opens")))
         .when(
             trigger == "failures",
-            F.format_string("连续 %d 次失败未恢复（累计 %d 次），人工确认后恢复", F.col("streak"), F.col("total_failures")),
+            F.format_string(V.PAUSED_BY_FAILURES, F.col("streak"), F.col("total_failures")),
         )
     )
     scan = scan.add(
@@ -161,15 +162,24 @@ def breaker_episodes(
     )
 
 
+def _with_limit(reason: Column, limit: Column) -> Column:
+    return F.replace(reason, F.lit("{limit}"), limit.cast("string"))
+
+
 def pause_events(
-    attempts: DataFrame, policy: BreakerPolicy = BreakerPolicy(), cuts: Cuts | None = None
+    attempts: DataFrame, sources: DataFrame, policy: BreakerPolicy = BreakerPolicy(), cuts: Cuts | None = None
 ) -> DataFrame:
-    """The attempts at which a source went from running to paused (a pause holds until a resume row)."""
+    """The attempts at which a source went from running to paused (a pause holds until a resume row).
+
+    ``sources`` has the daily quotas; a source that is not in it has the default one.
+    """
     log = breaker_log(attempts, policy, cuts)
     scan = OrderedScan(log, [SOURCE], LOG_ORDER, cuts).add(_before=previous(F.struct("paused")))
     was_paused = F.coalesce(F.col("_before")["paused"], F.lit(False))
-    return scan.result().where(F.col("paused") & ~was_paused).select(
-        SOURCE, "seq", "ts", F.col("pause_trigger").alias("cause"), "opens", "streak", "total_failures", "pause_reason"
+    newly = with_policy(scan.result().where(F.col("paused") & ~was_paused), sources, daily_quota=V.DEFAULT_DAILY_QUOTA)
+    return newly.select(
+        SOURCE, "seq", "ts", F.col("pause_trigger").alias("cause"), "opens", "streak", "total_failures",
+        _with_limit(F.col("pause_reason"), F.col("daily_quota")).alias("pause_reason"),
     )
 
 
@@ -184,6 +194,8 @@ def health_report(
 ) -> DataFrame:
     """State, counters and quota of each source at ``as_of``; partial aggregates over the breaker log.
 
+    ``sources`` are the registered ones (source_id, daily_quota). Those without an attempt are healthy;
+    a source with attempts that is not among them is reported with the default quota.
     ``cached`` (source_id, cached_requests) adds how many requests the source remembers.
     """
     now = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
@@ -208,17 +220,18 @@ def health_report(
         .when(last["breaker"].isin("open", "half_open"), "degraded")
         .otherwise("healthy")
     )
-    joined = at_end.join(sources.select(SOURCE, "daily_quota"), SOURCE, "left")
+    joined = at_end.join(sources.select(SOURCE, "daily_quota"), SOURCE, "full")
+    limit = F.coalesce("daily_quota", F.lit(V.DEFAULT_DAILY_QUOTA))
     if cached is None:
         joined = joined.withColumn("cached_requests", F.lit(None).cast("bigint"))
     else:
         joined = joined.join(cached, SOURCE, "left")
+    none = lambda value: F.coalesce(value, F.lit(0))
     return joined.select(
-        SOURCE, state.alias("state"), last["breaker"].alias("breaker"), last["opens"].alias("opens"),
-        last["streak"].alias("consecutive_failures"), last["total_failures"].alias("total_failures"),
+        SOURCE, state.alias("state"), F.coalesce(last["breaker"], F.lit("closed")).alias("breaker"), none(last["opens"]).alias("opens"),
+        none(last["streak"]).alias("consecutive_failures"), none(last["total_failures"]).alias("total_failures"),
         F.coalesce(remaining, F.lit(0.0)).alias("open_remaining_s"),
-        F.least(F.col("_today"), F.col("daily_quota")).alias("quota_used"),
-        F.col("daily_quota").alias("quota_limit"), F.coalesce(F.col("cached_requests"), F.lit(0)).alias("cached_requests"),
-        last["paused"].alias("paused"), F.coalesce(last["pause_reason"], F.lit("")).alias("paused_reason"),
-        "success", "failure", "dedup_hits",
+        F.least(none(F.col("_today")), limit).alias("quota_used"), limit.alias("quota_limit"), none(F.col("cached_requests")).alias("cached_requests"),
+        F.coalesce(last["paused"], F.lit(False)).alias("paused"), F.coalesce(_with_limit(last["pause_reason"], limit), F.lit("")).alias("paused_reason"),
+        *[none(F.col(c)).alias(c) for c in ("success", "failure", "dedup_hits")],
     )

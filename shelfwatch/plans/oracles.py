@@ -305,9 +305,12 @@ ORACLES: dict[str, str] = {
  s AS (SELECT f.*, e.success, e.failure, e.today, CASE WHEN f.run_failures >= 5 THEN 'open' ELSE 'closed' END AS breaker,
   CASE WHEN f.run_failures >= 5 THEN greatest(0.0, round((until - epoch_us(TIMESTAMP '2024-01-31')) / 1000000.0, 1)) ELSE 0.0 END AS left_s
   FROM e JOIN fold f ON f.source_id = e.source_id AND f.n = e.n JOIN o ON o.source_id = e.source_id)
- SELECT source_id, CASE WHEN paused THEN 'paused' WHEN breaker = 'open' AND left_s > 0 THEN 'open' WHEN breaker = 'open' THEN 'degraded' ELSE 'healthy' END AS state, breaker, opens,
- streak AS consecutive_failures, total AS total_failures, CAST(left_s AS DOUBLE) AS open_remaining_s, least(today, daily_quota) AS quota_used, daily_quota AS quota_limit, coalesce(cached_requests, 0) AS cached_requests, paused, why AS paused_reason, success, failure, CAST(0 AS BIGINT) AS dedup_hits
- FROM s LEFT JOIN src USING (source_id) LEFT JOIN alive USING (source_id)""",
+ SELECT source_id, CASE WHEN paused THEN 'paused' WHEN breaker = 'open' AND left_s > 0 THEN 'open' WHEN breaker = 'open' THEN 'degraded' ELSE 'healthy' END AS state,
+ coalesce(breaker, 'closed') AS breaker, coalesce(opens, 0) AS opens, coalesce(streak, 0) AS consecutive_failures, coalesce(total, 0) AS total_failures,
+ CAST(coalesce(left_s, 0) AS DOUBLE) AS open_remaining_s, least(coalesce(today, 0), coalesce(daily_quota, {V.DEFAULT_DAILY_QUOTA})) AS quota_used,
+ coalesce(daily_quota, {V.DEFAULT_DAILY_QUOTA}) AS quota_limit, coalesce(cached_requests, 0) AS cached_requests, coalesce(paused, false) AS paused,
+ coalesce(why, '') AS paused_reason, coalesce(success, 0) AS success, coalesce(failure, 0) AS failure, CAST(0 AS BIGINT) AS dedup_hits
+ FROM s FULL JOIN (SELECT * FROM src WHERE enabled) USING (source_id) LEFT JOIN alive USING (source_id)""",
     "cycle_stats": f"""WITH RECURSIVE {_CYCLES} SELECT *, """ + ", ".join(
         f"CAST(sum({c}) OVER (ORDER BY cycle_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS {c}_total" for c in ("fetched", "cached", "skipped", "saved", "events")) + " FROM stats",
     "cycle_report": f"""WITH RECURSIVE {_CYCLES}, targets AS ({_TARGETS}), worst AS (SELECT strftime(fetched_at, '%Y-%m-%d') AS cycle_id, min(severity) AS worst

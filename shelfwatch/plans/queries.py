@@ -76,12 +76,16 @@ class Inputs:
 
     @cached_property
     def log_positions(self) -> DataFrame:
-        return tables.fetch_log_as_stored(self.spark, self.dir).select("source_id", "ts", "seq", "url", "ok")
+        return self.log.select("source_id", "ts", "seq", "url", "ok")
 
     @cached_property
     def sources(self) -> DataFrame:
         return tables.sources(self.spark, self.dir)
 
+    @cached_property
+    def registered(self) -> DataFrame:
+        return self.sources.where("enabled")
+
     @cached_property
     def attempts(self) -> DataFrame:
         return fetchlog.attempt_outcome(self.log)
@@ -526,13 +530,13 @@ def breaker_episodes(i: Inputs) -> DataFrame:
 
 @query
 def pause_events(i: Inputs) -> DataFrame:
-    return health.pause_events(i.attempts, cuts=i.source_cuts).drop("ts")
+    return health.pause_events(i.attempts, i.registered, cuts=i.source_cuts).drop("ts")
 
 
 @query
 def health_report(i: Inputs) -> DataFrame:
     cached = request_dedupe.cached_requests(i.deduped, DEDUPE_TTL)
-    return health.health_report(i.attempts, i.sources, LOG_AS_OF, cuts=i.source_cuts, cached=cached)
+    return health.health_report(i.attempts, i.registered, LOG_AS_OF, cuts=i.source_cuts, cached=cached)
 
 
 @query

@@ -64,21 +64,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Use all cores when a table has fewer splits than the cluster has cores.
-
-    For work that is heavy per row (JSON text) on a few small files; large inputs pass unchanged.
-    Give it a plain table scan, so that counting its splits runs nothing.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def records(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
-    """Item records; ``heavy`` announces costly work per row right behind the scan."""
-    lines = table(spark, sf_dir, "lineitem")
-    lines = spread(lines, "l_orderkey") if heavy else lines
-    return spark.sql(RECORDS_SQL, lineitem=lines, part=table(spark, sf_dir, "part"))
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(RECORDS_SQL, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
 
 
 def record_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +81,8 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TARGETS_SQL, part=table(spark, sf_dir, "part"))
 
 
-def fetch_log_as_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FETCH_LOG_SQL, events=table(spark, sf_dir, "events"))
-
-
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FETCH_LOG_SQL, events=spread(table(spark, sf_dir, "events"), "event_id"))
+    return spark.sql(FETCH_LOG_SQL, events=table(spark, sf_dir, "events"))
 
 
 # sources: suppliers with the policy columns a fetch source declares
@@ -180,7 +163,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PAYLOADS_SQL, records=records(spark, sf_dir, heavy=True))
+    return spark.sql(PAYLOADS_SQL, records=records(spark, sf_dir))
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,12 +171,12 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def http_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(HTTP_SQL, events=spread(table(spark, sf_dir, "events"), "event_id"))
+    return spark.sql(HTTP_SQL, events=table(spark, sf_dir, "events"))
 
 
 def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(EVENT_DOCUMENTS_SQL, records=records(spark, sf_dir, heavy=True))
+    return spark.sql(EVENT_DOCUMENTS_SQL, records=records(spark, sf_dir))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RESPONSES_SQL, records=records(spark, sf_dir, heavy=True))
+    return spark.sql(RESPONSES_SQL, records=records(spark, sf_dir))

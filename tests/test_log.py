@@ -42,6 +42,10 @@ def test_response_class(spark, status, body, expected):
     assert fetchlog.with_response_class(rows).first()["anomaly"] == expected
 
 
+def _undeclared(spark):
+    return spark.createDataFrame([], "source_id string, daily_quota bigint")
+
+
 def test_rate_codes_can_be_mended(spark):
     rows = spark.createDataFrame([(200, '{"sub_code":"isv.limit"}')], "status int, body string")
     assert fetchlog.with_response_class(rows, fix_rate_codes=True).first()["anomaly"] == "rate_limited"
@@ -100,7 +104,7 @@ def test_resume_clears_counters_but_not_opens(spark):
 def test_pause_events_hold_until_resume(spark):
     outcomes = ["auth_expired", "auth_expired", "auth_expired", "resume", "auth_expired"]
     log = attempts(spark, outcomes)
-    found = health.pause_events(log, BreakerPolicy(pause_after_opens=2)).orderBy("seq").collect()
+    found = health.pause_events(log, _undeclared(spark), BreakerPolicy(pause_after_opens=2)).orderBy("seq").collect()
     assert [(r["seq"], r["cause"]) for r in found] == [(1, "opens"), (4, "opens")]
 
 
@@ -140,6 +144,21 @@ def test_health_report_states(spark):
     assert report(["auth_expired", "quota_exceeded"], 61)["state"] == "paused"
     full = report(["ok", "ok", "throttled", "dedup", "transport_error"], 10)
     assert (full["quota_used"], full["quota_limit"], full["success"], full["failure"]) == (3, 3, 2, 1)
+    assert report(["quota_exceeded"], 10)["paused_reason"] == "日配额 3 已用尽"
+
+
+def test_health_report_lists_registered_and_undeclared_sources(spark):
+    sources = spark.createDataFrame([("idle", 3)], "source_id string, daily_quota bigint")
+    rows = health.health_report(attempts(spark, ["ok", "auth_expired"]), sources, START + timedelta(seconds=10)).collect()
+    got = {r["source_id"]: r for r in rows}
+    assert set(got) == {"idle", "s"}
+    assert (got["s"]["state"], got["s"]["quota_limit"], got["s"]["success"]) == ("open", 1000, 1)
+    idle = got["idle"].asDict()
+    assert idle == {
+        "source_id": "idle", "state": "healthy", "breaker": "closed", "opens": 0, "consecutive_failures": 0, "total_failures": 0,
+        "open_remaining_s": 0.0, "quota_used": 0, "quota_limit": 3, "cached_requests": 0, "paused": False, "paused_reason": "",
+        "success": 0, "failure": 0, "dedup_hits": 0,
+    }
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

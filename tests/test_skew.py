@@ -112,7 +112,8 @@ def test_log_scans_with_a_hot_source(spark, sf_dir, attempts):
     assert audit.count() > 0
     _same(audit, fetchlog.rate_audit(attempts, sources, cuts))
     _same(health.breaker_log(attempts), health.breaker_log(attempts, cuts=cuts))
-    _same(health.pause_events(attempts), health.pause_events(attempts, cuts=cuts))
+    none = spark.createDataFrame([], "source_id string, daily_quota bigint")
+    _same(health.pause_events(attempts, none), health.pause_events(attempts, none, cuts=cuts))
     dated = attempts.withColumn("day", fetchlog.local_day(F.col("ts"), "UTC"))
     tiny = Slicing(slice_rows=8, max_slices=1000)
     day_cuts = find_cuts(dated, ["source_id", "day"], fetchlog.LOG_ORDER, tiny)
