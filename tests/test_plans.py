@@ -56,6 +56,11 @@ def test_single_partition_work_is_only_on_aggregated_rows(inputs):
             assert name in ("cycle_stats", "cycle_report", "expired_counts", "resolve_source"), name
 
 
+def test_no_table_is_shuffled_before_its_keyed_work(inputs):
+    for name, count in (("normalize_items", 0), ("classify_response", 0), ("attempt_outcome", 0), ("failure_streaks", 1)):
+        assert plan(QUERIES[name](inputs)).count("Exchange hashpartitioning") == count, name
+
+
 def test_scans_are_pruned_and_filters_pushed(inputs):
     read = re.search(r"ReadSchema: struct<([^>]*)>", plan(inputs.positions)).group(1)
     assert "l_extendedprice" not in read and "l_quantity" not in read
