@@ -9,8 +9,8 @@ counted over the whole training corpus: Spark groups its words, each distinct wo
 and subword and pair counts are weighted sums over the word counts. Both are proper distributions, so
 the score is the log10 probability of the text's subwords and its end.
 
-Training: every training document contributes windows all along its text (one word run of
-``RUN_WORDS`` in every ``RUN_EVERY``), each partition runs Adam over its own, and the weights are averaged by
+Training: the windows of every training text cover all its subwords and its end, each predicted once;
+each partition runs Adam over its own windows, mixed among neighbouring texts, and the weights are averaged by
 grouped aggregation. Scoring: overlapping windows of ``CONTEXT + SPAN`` subwords, of which the last
 ``SPAN`` are scored, so each subword is scored once, with batched masked attention.
 """
@@ -18,10 +18,9 @@ grouped aggregation. Scoring: overlapping windows of ``CONTEXT + SPAN`` subwords
 from __future__ import annotations
 
 import base64
-import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,10 +31,9 @@ from ..plans.shared import durable
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SLOTS = 4096  # most frequent subwords with a slot each; the last slots are: rare, begin, end
-CLASSES, ALONE, GROUPS = 80, 26, 512
-DIM, HIDDEN, CONTEXT, SPAN = 16, 16, 16, 16
-RUN_WORDS, RUN_EVERY = 40, 480
-BATCH, RATE = 64, 0.01
+CLASSES, ALONE, GROUPS = 128, 40, 512
+DIM, HIDDEN, CONTEXT, SPAN = 16, 32, 16, 16
+BATCH, RATE, MIXED = 128, 0.01, 1 << 16  # windows of so many subwords, or of one longer text, are mixed
 FREQUENT = 100_000  # words whose counts every task holds; the others are joined
 CACHE_WORDS, CHUNK = 400_000, 64
 RARE, BEGIN, END = SLOTS - 3, SLOTS - 2, SLOTS - 1
@@ -193,17 +191,21 @@ def train_step(w: dict[str, np.ndarray], windows: np.ndarray, targets: np.ndarra
     q, k, v = eq @ w["Wq"] * scale, e @ w["Wk"], e @ w["Wv"]
     a, mixed = _attend(q, k, v, w["near"])
     h = np.tanh(eq @ w["Wr"] + w["b"] + mixed)
-    logits = h @ w["U"] + w["c"]
-    logits -= logits.max(axis=2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=2, keepdims=True)
-    n = max(live.sum(), 1)
-    picked = np.take_along_axis(p, targets[..., None], 2)[..., 0]
-    loss = -(np.log(picked + 1e-20) * live).sum() / n
-    np.put_along_axis(p, targets[..., None], picked[..., None] - 1, 2)
-    d = p * (live[..., None] / np.float32(n))
-    g = {"U": h.reshape(-1, HIDDEN).T @ d.reshape(-1, CLASSES), "c": d.sum(axis=(0, 1))}
-    dh = (d @ w["U"].T) * (1 - h * h)
+    d = h.reshape(-1, HIDDEN) @ w["U"]
+    d += w["c"]
+    d -= d.max(axis=1, keepdims=True)
+    np.exp(d, out=d)
+    n, cells, goal, lives = max(live.sum(), 1), np.arange(len(d)), targets.ravel(), live.ravel()
+    sums = d @ np.ones(CLASSES, dtype=d.dtype)
+    picked = d[cells, goal]
+    loss = -(np.log(picked / sums + 1e-20) * lives).sum() / n
+    # the gradient of the logits takes the place of the probabilities
+    weight = lives / (sums * np.float32(n))
+    d *= weight[:, None].astype(d.dtype)
+    d[cells, goal] -= lives / np.float32(n)
+    g = {"U": h.reshape(-1, HIDDEN).T @ d, "c": np.ones(len(d), dtype=d.dtype) @ d}
+    dh = (d @ w["U"].T).reshape(h.shape)
+    dh *= 1 - h * h
     g["b"] = dh.sum(axis=(0, 1))
     g["Wr"] = eq.reshape(-1, DIM).T @ dh.reshape(-1, HIDDEN)
     da = dh @ v.transpose(0, 2, 1)
@@ -260,27 +262,12 @@ def _trained(train: DataFrame, lexicon: Lexicon, ranks: str) -> dict[str, np.nda
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slot_of, cls, first = shared.value
-        cut, adam, held, seen = Segmenter(ranks), Adam(first), [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = split_words(text)
-                shift = zlib.crc32(str(doc_id).encode()) % RUN_EVERY
-                for at in {0, *range(shift, len(words), RUN_EVERY)} if shift < RUN_WORDS else range(shift, len(words), RUN_EVERY):
-                    run = words[at : at + RUN_WORDS]
-                    ids = [i for word in run for i in cut(word)]
-                    slots = slot_of[ids].tolist() + ([END] if at + RUN_WORDS >= len(words) else [])
-                    # a run from within a text begins with context that is not predicted
-                    held.append((np.array(slots, dtype=np.int32), at > 0))
-            while len(held) >= 64:
-                seen += _update(adam, held[:64], cls)
-                held = held[64:]
-        if held:
-            seen += _update(adam, held, cls)
+        adam, seen = fitted((text for batch in batches for text in batch["text"]), Segmenter(ranks), slot_of, cls, first)
         if seen:
             flat = np.concatenate([adam.w[k].ravel() for k in sorted(adam.w)]).astype(np.float64) * seen
             yield pd.DataFrame({"i": np.arange(len(flat)), "x": flat, "n": seen})
 
-    parts = train.select("doc_id", "text").mapInPandas(fit, "i int, x double, n bigint")
+    parts = train.select("text").mapInPandas(fit, "i int, x double, n bigint")
     mean = parts.groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas().sort_values("i")["x"].to_numpy()
     if not len(mean):
         return start
@@ -291,15 +278,35 @@ def _trained(train: DataFrame, lexicon: Lexicon, ranks: str) -> dict[str, np.nda
     return out
 
 
-def _update(adam: Adam, runs: list[tuple[np.ndarray, bool]], cls: np.ndarray) -> int:
-    lengths = np.array([len(r) for r, _ in runs])
-    windows, live = windows_of(np.concatenate([r for r, _ in runs]), lengths)
-    heads = np.concatenate([[0], np.cumsum(-(-lengths // SPAN))[:-1]])
-    inner = np.array([inside for _, inside in runs])
-    live[heads[inner & (lengths > SPAN)]] = False
+def fitted(texts: Iterable[str | None], segment: Segmenter, slot_of: np.ndarray, cls: np.ndarray, first: dict[str, np.ndarray]) -> tuple[Adam, int]:
+    """The network after all windows of whole texts, and how many subwords and ends it predicted."""
+    adam, rng, held, size, seen = Adam(first), np.random.default_rng(3), [], 0, 0
+    known: dict[bytes, list[int]] = {}
+    for text in texts:
+        if len(known) > CACHE_WORDS:
+            known = {}
+        slots: list[int] = []
+        for word in split_words(text):
+            if (found := known.get(word)) is None:
+                found = known[word] = slot_of[segment(word)].tolist()
+            slots += found
+        held.append(np.array([*slots, END], dtype=np.int32))
+        size += len(held[-1])
+        if size >= MIXED:
+            seen += _update(adam, held, cls, rng)
+            held, size = [], 0
+    if held:
+        seen += _update(adam, held, cls, rng)
+    return adam, seen
+
+
+def _update(adam: Adam, texts: list[np.ndarray], cls: np.ndarray, rng: np.random.Generator) -> int:
+    windows, live = windows_of(np.concatenate(texts), np.array([len(t) for t in texts]))
+    order = rng.permutation(len(windows))  # windows of one text are alike
     for a in range(0, len(windows), BATCH):
-        part = windows[a : a + BATCH]
-        _, g = train_step(adam.w, part, cls[part[:, CONTEXT:]], live[a : a + BATCH])
+        at = order[a : a + BATCH]
+        part = windows[at]
+        _, g = train_step(adam.w, part, cls[part[:, CONTEXT:]], live[at])
         adam.step(g)
     return int(live.sum())
 

@@ -59,6 +59,20 @@ def test_attention_scores(odd, none):
     assert attention_lm.lm_scores(none).count() == 0
 
 
+def test_attention_trains_on_every_word():
+    texts = ["one two three", None, "", "Word " * 70, " ".join(f"w{k}" for k in range(700))]
+    cut = attention_lm.Segmenter(attention_lm.RANKS)
+    slot_of = np.arange(cut.size, dtype=np.int32) % attention_lm.RARE
+    classes = np.arange(attention_lm.SLOTS, dtype=np.int32) % attention_lm.CLASSES
+    first = attention_lm.initial_weights()
+    adam, seen = attention_lm.fitted(texts, cut, slot_of, classes, first)
+    assert seen == sum(len(cut(w)) for t in texts for w in attention_lm.split_words(t)) + len(texts)
+    for text in texts[:1] + texts[3:]:  # each text alone moves the embeddings of its own last subword
+        alone, _ = attention_lm.fitted([text], cut, slot_of, classes, first)
+        last = slot_of[cut(attention_lm.split_words(text)[-1])[-1]]
+        assert (alone.w["E"][last] != first["E"][last]).any()
+
+
 def test_attention_gradients():
     w = {k: x.astype(np.float64) for k, x in attention_lm.initial_weights().items()}
     rng = np.random.default_rng(1)
