@@ -153,6 +153,39 @@ def test_licence_scan(spark, none):
     assert licences.licence_scan(none).count() == 0
 
 
+def test_licence_windows(spark):
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    prose = " ".join(f"w{k}" for k in range(300))
+    wrapped = "Some words before it. This work is licensed under the\nGNU General Public License, version 3. Some words\nafter it, and more of them."
+    rows = {
+        1: ("Copyright 2020 Foo. Released under the MIT License.", "MIT"), 2: ("This project is released under the MIT License, see below.", "MIT"),
+        3: (f"{gpl} Another sentence follows here.", "GPL-3.0"), 4: (wrapped, "GPL-3.0"), 5: (f"{prose} {gpl} {prose} released under the MIT license {prose}", "GPL-3.0,MIT"),
+        6: (prose, ""), 7: ("under the MIT students' work a license of the public was released", ""), 8: ("Licensed under CC BY-SA 4.0. " * 3, "CC-BY-SA-4.0"),
+    }
+    rows |= {100 + k: (f"{prose}\n{t.replace('<year> <copyright holders>', '2020 Foo Bar')}\n{prose}", name) for k, (name, (t,)) in enumerate(licences.full_texts().items())}
+    got = licences.licence_scan(spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id bigint, text string")).collect()
+    want = {i: name for i, (_, name) in rows.items()}
+    assert {r.doc_id: r.licences for r in got if r.doc_id < 100} == {i: n for i, n in want.items() if i < 100}
+    assert all(want[r.doc_id] in r.licences.split(",") and r.score > 0.9 for r in got if r.doc_id >= 100)
+
+
+def test_licence_windows_against_all_windows():
+    import random
+
+    rng = random.Random(8)
+    template = "a b c a b d e f"
+    known = licences.Templates({"x": (template,)}, 0.8)
+    want = licences.bigrams(licences.normalised(template))
+    hits = 0
+    for _ in range(300):
+        tokens = [rng.choice("abcdefz") for _ in range(6)] + [w if rng.random() < 0.85 else "z" for w in template.split()] + [rng.choice("abcdef") for _ in range(6)]
+        best = max(licences.dice(licences.bigrams(tokens[i:j]), want) for i in range(len(tokens)) for j in range(i + 2, len(tokens) + 1))
+        names, score, _ = known.scan(" ".join(tokens))
+        assert (names, score) == ((["x"], pytest.approx(best)) if best >= 0.8 else ([], 0.0))
+        hits += best >= 0.8
+    assert 30 < hits < 290
+
+
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
 def test_ngram_join(odd, none, spark, sf_dir, width, percent):
     rows = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None]
