@@ -8,7 +8,8 @@ log P(l | row) = text log likelihood + log P(declared | l) + log P(l | host), no
 * Host prior: masses of the text's posteriors grouped by host, smoothed towards those of the address
   suffix, which are smoothed towards those of all rows.
 
-Languages are the declared values that at least ``LEAST_SHARE`` of the rows have, hence 1,000 at most.
+Languages are all declared values of rows with letters, however few. The model has ``BUCKETS`` numbers per
+language, on the driver and in every task, so memory grows with the number of distinct declarations.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from ..plans.shared import durable
 
 BUCKETS = 1 << 13
-LEAST_SHARE = 0.001
+# smoothing counts per bucket, and their sum as a share of a small language's trigrams: unseen trigrams
+# stay below LEAST_FIT in every model, so a language of few rows does not claim whatever is unlike the others
+SMOOTH, SMOOTH_SHARE = 0.5, 0.1
 GRAM_WEIGHT, MOST_GRAMS = 0.3, 60.0
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 10.0, 20.0, 5.0
 LEAST_CONFIDENCE = 0.5
@@ -64,29 +67,30 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def languages(rows: DataFrame) -> list[str]:
-    counts = rows.groupBy("declared").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
-    total = rows.count()
-    kept = counts.where("declared IS NOT NULL AND chars > 0").where(F.col("n") >= total * LEAST_SHARE)
-    return sorted(r.declared for r in kept.select("declared").collect())
+    return sorted(r.declared for r in rows.where("declared IS NOT NULL AND length(text) > 0").select("declared").distinct().collect())
 
 
-def text_model(rows: DataFrame, langs: list[str]) -> np.ndarray:
-    """Log probabilities (language, bucket), smoothed by half a count."""
-    place = {name: i for i, name in enumerate(langs)}
+def text_model(rows: DataFrame, declared: list[str]) -> tuple[list[str], np.ndarray]:
+    """The declared languages that have trigrams, and their smoothed log probabilities (language, bucket)."""
+    place = {name: i for i, name in enumerate(declared)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((len(langs), BUCKETS), dtype=np.int64)
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for text, declared in zip(batch["text"], batch["declared"], strict=True):
-                if text and declared in place:
-                    sums[place[declared]] += gram_counts(text)
-        at = sums.nonzero()
-        yield pd.DataFrame({"l": at[0].astype(np.int32), "b": at[1].astype(np.int32), "n": sums[at]})
+            for text, name in zip(batch["text"], batch["declared"], strict=True):
+                if text and name in place:
+                    sums.setdefault(place[name], np.zeros(BUCKETS, dtype=np.int64))
+                    sums[place[name]] += gram_counts(text)
+        for i, each in sums.items():
+            at = each.nonzero()[0]
+            yield pd.DataFrame({"l": np.full(len(at), i, dtype=np.int32), "b": at.astype(np.int32), "n": each[at]})
 
     found = rows.select("text", "declared").mapInPandas(count, "l int, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.full((len(langs), BUCKETS), 0.5)
-    sums[found["l"], found["b"]] += found["n"]
-    return np.log(sums / sums.sum(axis=1, keepdims=True)).astype(np.float32)
+    have, at = np.unique(found["l"].to_numpy(), return_inverse=True)
+    sums = np.zeros((len(have), BUCKETS))
+    sums[at, found["b"]] = found["n"]
+    sums += np.minimum(SMOOTH, SMOOTH_SHARE * sums.sum(axis=1, keepdims=True) / BUCKETS)
+    return [declared[i] for i in have], np.log(sums / sums.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def _text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
@@ -127,10 +131,10 @@ def identify(rows: DataFrame) -> DataFrame:
     gives none. Whole texts are read.
     """
     rows = rows.select(F.col("id").cast("bigint").alias("id"), "text", "declared", "host", "suffix")
-    langs = languages(rows)
+    langs, model = text_model(rows, languages(rows))
     if not langs:
         return rows.select("id", *[F.lit(None).cast(t).alias(c) for c, t in (("language", "string"), ("confidence", "double"), ("text_language", "string"))], F.lit(False).alias("kept"))
-    scored = durable(_text_likelihoods(rows, text_model(rows, langs)))
+    scored = durable(_text_likelihoods(rows, model))
     every = F.sequence(F.lit(0), F.lit(len(langs) - 1))
     whole = _masses(scored.withColumn("_all", F.lit(1)), "_all").collect()
     mass, total = (whole[0]["m"], whole[0]["sum"]) if whole else ({}, 0.0)

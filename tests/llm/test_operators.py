@@ -102,6 +102,24 @@ def test_language_fusion(odd, none, spark):
     assert (second.declared, second.host, second.suffix, second.text) == (None,) * 4
 
 
+def test_languages_of_few_rows(spark):
+    import random
+
+    rng = random.Random(5)
+
+    def prose(letters, n=40):
+        return " ".join("".join(rng.choices(letters, k=rng.randint(2, 4))) for _ in range(n))
+
+    rows = [(i, prose(["the", "re", "on", "ti", "an"]), "en", "a.example", 0) for i in range(2400)]
+    rows += [(5000, prose("αβγδε"), "el", "b.example", 0), (5001, prose("アイウエオ"), "ja", "c.example", 0), (5002, prose("בגדהו"), None, "d.example", 0), (5003, "12 34", "xx", "e.example", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.id: r for r in langid.identify(langid.document_evidence(docs)).where("id >= 5000 OR id < 50").collect()}
+    assert all(got[i].language == "en" and got[i].kept for i in range(50))
+    assert [(got[i].language, got[i].text_language, got[i].kept) for i in (5000, 5001)] == [("el", "el", True), ("ja", "ja", True)]
+    assert not got[5002].kept and not got[5003].kept  # unlike every language; no letters
+    assert {r.doc_id for r in langid.with_known_language(docs).where("doc_id >= 5000").collect()} == {5000, 5001}
+
+
 def test_mixing_targets_and_reruns(odd, none):
     got = mixing.mix(odd).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(odd).collect()))
