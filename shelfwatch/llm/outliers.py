@@ -7,8 +7,9 @@ covariance of those vectors; a document is rejected if its squared Mahalanobis d
 The estimate is a deterministic FAST-MCD: start from coordinate-wise medians and absolute
 deviations, then repeat concentration steps (mean and covariance of the ``HALF`` share of rows that
 are nearest, then new distances). Each step is two aggregations per group, combined before the
-shuffle, so a group of any size is no single task's work. Groups of fewer than ``LEAST_ROWS`` rows
-use their language's rows, and those of such a language all rows. Covariances get a ridge
+shuffle, so a group of any size is no single task's work. Estimates are made at
+three levels: language and source, all rows of a language, all rows. A row is judged by the finest
+level at which ``LEAST_ROWS`` rows enter the fit, or else by all rows. Covariances get a ridge
 of ``FLOOR`` squared per statistic, so constant statistics are no division by zero and tiny
 differences no outliers.
 """
@@ -69,15 +70,25 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 
 def _with_group(rows: DataFrame) -> DataFrame:
-    """``glang`` and ``gsource``: the group whose estimate judges the row, null where pooled."""
-    sized = rows.where("n_words > 0").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    small = sized.groupBy("lang").agg(F.sum(F.when(F.col("n") < LEAST_ROWS, F.col("n"))).alias("rest"))
-    groups = sized.join(small.withColumnRenamed("lang", "_sl"), sized["lang"].eqNullSafe(F.col("_sl")))
-    level = F.when(F.col("n") >= LEAST_ROWS, 2).when(F.col("rest") >= LEAST_ROWS, 1).otherwise(0)
-    groups = durable(groups.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), level.alias("level")))
+    """``grp``, the group whose estimate judges the row, and ``fits``, the groups whose estimates it enters.
+
+    Of the coarser levels only groups that judge a row are estimated. Rows that failed the base rules
+    are judged but enter nothing, nor are they counted.
+    """
+    enters = F.count(F.when(~F.col("base_failed"), 1))
+    sized = rows.where("n_words > 0").groupBy("lang", "source").agg(enters.alias("n"))
+    langs = sized.groupBy(F.col("lang").alias("_sl")).agg(F.sum("n").alias("of_lang"), F.min("n").alias("least"))
+    groups = sized.join(langs, sized["lang"].eqNullSafe(F.col("_sl")))
+    level = F.when(F.col("n") >= LEAST_ROWS, 2).when(F.col("of_lang") >= LEAST_ROWS, 1).otherwise(0)
+    by_lang = (F.col("of_lang") >= LEAST_ROWS) & (F.col("least") < LEAST_ROWS)
+    groups = durable(groups.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), level.alias("level"), by_lang.alias("by_lang")))
+    by_all = F.lit(not groups.where("level = 0").isEmpty())
     met = rows.join(groups, rows["lang"].eqNullSafe(groups["_l"]) & rows["source"].eqNullSafe(groups["_s"]), "left")
-    name = F.when(F.col("level") == 2, F.to_json(F.struct("lang", "source"))).when(F.col("level") == 1, F.to_json(F.struct("lang"))).when(F.col("level") == 0, "")
-    return met.withColumn("grp", name).drop("_l", "_s", "level")
+    fine, coarse = F.to_json(F.struct("lang", "source")), F.to_json(F.struct(F.lit("all").alias("of"), "lang"))
+    name = F.when(F.col("level") == 2, fine).when(F.col("level") == 1, coarse).when(F.col("level") == 0, "")
+    fits = F.array_compact(F.array(F.when(F.col("level") == 2, fine), F.when(F.col("by_lang"), coarse), F.when(F.col("level").isNotNull() & by_all, F.lit(""))))
+    none = F.array().cast("array<string>")
+    return met.withColumn("grp", name).withColumn("fits", F.when(~F.col("base_failed"), fits).otherwise(none)).drop("_l", "_s", "level", "by_lang")
 
 
 def _distance(rows: DataFrame) -> Column:
@@ -159,7 +170,7 @@ def quality_outliers(docs: DataFrame, least_words: int = 50, most_repeated: int
     """
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated)
     stats = durable(_with_group(vectors(durable(statistics(docs))).withColumn("base_failed", failed)))
-    fit = stats.where("grp IS NOT NULL AND NOT base_failed").select("grp", *STATS)
+    fit = stats.where("n_words > 0").select(F.explode("fits").alias("grp"), *STATS)
     estimate = robust_estimates(fit)
     judged = stats.join(estimate, "grp", "left").withColumn("distance", _distance(stats))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)

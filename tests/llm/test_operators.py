@@ -29,6 +29,22 @@ def test_outliers_reject_a_far_document(spark):
     assert {r.doc_id for r in got if not r.kept} == {999}
 
 
+def test_outliers_small_groups_use_larger_ones(spark):
+    def plain(i):
+        return " ".join(f"w{(i * 7 + k * k) % 997}" for k in range(80 + i % 40))
+
+    def junk(i):
+        return " ".join(f"###w{(i * 5 + k * k) % 991}***" for k in range(100 + i % 9))
+
+    rows = [(i, plain(i), "en", "big") for i in range(120)]
+    rows += [(1000 + i, junk(i), "en", "new") for i in range(10)]  # all of a new source alike
+    rows += [(2000 + i, plain(i) if i < 2 else "few words", "en", "failed") for i in range(60)] + [(2100, junk(3), "en", "failed")]
+    rows += [(3000, junk(4), "xx", "alone"), (3001, plain(4), "yy", None), (3002, junk(5), None, None)]
+    got = {r.doc_id: r for r in outliers.quality_outliers(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows)
+    assert {i for i, r in got.items() if r.kept} == {*range(120), 2000, 2001, 3001}
+
+
 def test_sharding_exact_sizes(odd, none):
     got = sharding.shard(odd, 8, seed=1)
     rows = got.collect()
