@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 
 from ..plans.shared import durable
 from .graph import components, neighbourhoods, written
-from .text import grams, let, whole, words
+from .text import free_name, grams, let, whole, words
 
 LEADERS = (1, 3)  # per token and round
 BITMAP_ROWS = 1 << 16
@@ -220,12 +220,21 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 
 
 def one_per_group(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """The documents without their near duplicates: each component keeps its smallest id, once.
+    """The documents without their near duplicates: each component keeps its smallest (id, text hash), once.
 
-    Rows of equal id and text are one; documents without words are no near duplicates and all stay.
-    Columns are those of ``docs``.
+    Rows are told apart by id and text, so different texts of one id are judged singly and null ids,
+    which come last, take part. Rows of equal id and text are one; documents without words are no near
+    duplicates and all stay. Columns are those of ``docs``.
     """
-    found = ngram_jaccard_join(docs, width, percent)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    mark = free_name(docs.columns, "_key")
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    found = ngram_jaccard_join(docs.select(key.alias("doc_id"), "text"), width, percent)
+    # a component of one key needs no choice; the others are known by members that are not its smallest key
+    several = durable(found.where("component_id <> doc_id").select(F.col("component_id").alias("comp"), F.col("doc_id").alias("k")).distinct())
+    members = several.unionAll(several.select("comp", F.col("comp").alias("k")).distinct())
+    ids = docs.select(key.alias("k"), "doc_id").distinct()
+    placed = durable(members.join(ids, "k"))
+    best = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")).alias("best"))
+    gone = placed.join(best, "comp").where("k <> best.k").select(F.col("k").alias("_gone")).distinct()
+    left = docs.withColumn(mark, key).join(gone, F.col(mark) == F.col("_gone"), "left_anti").drop(mark)
     return left.dropDuplicates(["doc_id", "text"])
