@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, cotraining, fingerprints, langid, licences, line_spread, mixing, ngram_join, outliers, sharding, winnowing
+from . import attention_lm, cotraining, divergence, fingerprints, langid, licences, line_spread, mixing, ngram_join, outliers, sharding, winnowing
 from .text import whole, words
 
 
@@ -74,9 +74,13 @@ def op11_winnowed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_quality_outliers, op2_hypergeometric_shards, op3_attention_scores, op4_language_fusion, op5_source_mix, op6_winnowing,
-    op7_line_spread, op8_licence_dice, op9_ngram_join, op10_cotraining, op11_winnowed_fingerprints, page_languages,
+    op7_line_spread, op8_licence_dice, op9_ngram_join, op10_cotraining, op11_winnowed_fingerprints, op13_source_divergence, page_languages,
 )
 
 # every window of ten words (or a whole shorter item), joined with every document position
@@ -94,11 +98,11 @@ WITH d AS (
     FROM (SELECT item, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)
 ), lens AS (
     SELECT DISTINCT m FROM wins
-), at AS (
+), places AS (
     SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS span
     FROM (SELECT r, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, lens WHERE len(w) >= m)
 ), hits AS (
-    SELECT at.r, at.m, at.i, wins.item FROM at JOIN wins USING (m, span)
+    SELECT places.r, places.m, places.i, wins.item FROM places JOIN wins USING (m, span)
 ), covered AS (
     SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + m - 1)) AS p FROM (SELECT DISTINCT r, m, i FROM hits)) GROUP BY r
 ), items AS (
@@ -129,10 +133,52 @@ SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(
 FROM d LEFT JOIN cleaned c USING (r)
 """
 
+OP13_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), t AS (
+    SELECT r, lang, source, unnest(w) AS term FROM d
+), kept AS (
+    SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), sizes AS (
+    SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+    SELECT DISTINCT lang, source FROM d
+), totals AS (
+    SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM groups g LEFT JOIN counts c USING (lang, source) GROUP BY g.lang, g.source
+), shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (g.total + 2 * s.v) AS p
+    FROM totals g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), langs AS (
+    SELECT k.lang, k.term, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(sum(c.n), 0) + 2)) // (max(l.total) + 2 * max(s.v)) AS q
+    FROM kept k JOIN sizes s USING (lang) JOIN (SELECT lang, sum(total) AS total FROM totals GROUP BY lang) l USING (lang) LEFT JOIN counts c USING (lang, term)
+    GROUP BY k.lang, k.term
+), sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), tops AS (
+    SELECT s.lang, s.source, 'term' AS part, s.term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value
+    FROM shares s JOIN langs USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM tops)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {fn.__name__: fn for fn in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_winnowing": OP6_SQL, "op7_line_spread": OP7_SQL}
+    return {"op6_winnowing": OP6_SQL, "op7_line_spread": OP7_SQL, "op13_source_divergence": OP13_SQL}
