@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, cotraining, divergence, fingerprints, langid, licences, line_spread, mixing, ngram_join, outliers, sharding, winnowing
+from . import attention_lm, cotraining, divergence, fingerprints, langid, licences, line_spread, mixing, ngram_join, outliers, sharding, whitening, winnowing
 from .text import whole, words
 
 
@@ -74,13 +74,18 @@ def op11_winnowed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op12_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = (
     op1_quality_outliers, op2_hypergeometric_shards, op3_attention_scores, op4_language_fusion, op5_source_mix, op6_winnowing,
-    op7_line_spread, op8_licence_dice, op9_ngram_join, op10_cotraining, op11_winnowed_fingerprints, op13_source_divergence, page_languages,
+    op7_line_spread, op8_licence_dice, op9_ngram_join, op10_cotraining, op11_winnowed_fingerprints, op12_sliced_whitening, op13_source_divergence,
+    page_languages,
 )
 
 # every window of ten words (or a whole shorter item), joined with every document position
