@@ -134,7 +134,7 @@ WITH d AS (
     FROM marked GROUP BY r
 )
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(len(list_filter(regexp_split_to_array(coalesce(c.text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')) AS BIGINT) AS words_left, md5(coalesce(c.text, '')) AS text_md5
+       CAST(len(regexp_extract_all(coalesce(c.text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words_left, md5(coalesce(c.text, '')) AS text_md5
 FROM d LEFT JOIN cleaned c USING (r)
 """
 
