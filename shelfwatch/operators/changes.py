@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ FIELDS = (
     "listing_status", "price", "stock", "main_image", "title", "promotion", "review_count", "rating",
 )
 KEPT = ("item_id", "source_id", "fetched_at", "seq")
+TIME = "fetched_at"
 
 
 def _number(column: Column) -> Column:
@@ -119,18 +121,22 @@ def _checks(fields: Sequence[str], exact: bool) -> dict[int, Check]:
 
 
 def diff_events(
-    pairs: DataFrame, fields: Sequence[str] = FIELDS, kept: Sequence[str] = KEPT, exact: bool = False
+    pairs: DataFrame, fields: Sequence[str] = FIELDS, kept: Sequence[str] = KEPT, exact: bool = False, as_of: datetime | None = None
 ) -> DataFrame:
     """One row per changed field, in check order; an item's first version gives none.
 
+    ``detected_at`` is ``as_of``, or when the newer version was fetched.
+
     Only check numbers are exploded. The columns of an event are worked out behind the explode, so
     columns nobody selects cost nothing.
     """
     checks = _checks(fields, exact)
     found = F.array(*[F.when(check.changed, F.lit(no)) for no, check in checks.items()])
+    moment = F.col(TIME) if as_of is None else F.lit(as_of.isoformat(sep=" ")).cast(pairs.schema[TIME].dataType)
+    carried = [c for c in dict.fromkeys([*kept, *fields, TIME]) if c in kept or c in fields or as_of is None]
     hits = (
         pairs.where(F.col("prev").isNotNull())
-        .select(*kept, *[f for f in fields if f not in kept], "prev", F.explode(found).alias("check_no"))
+        .select(*carried, "prev", F.explode(found).alias("check_no"))
         .where(F.col("check_no").isNotNull())
     )
 
@@ -150,6 +156,7 @@ def diff_events(
         *[pick(part, "string") for part in ("severity", "old_value", "new_value")],
         *[pick(part, "double") for part in ("old_num", "new_num", "ratio")],
         pick("event", "string"),
+        moment.alias("detected_at"),
     )
 
 

@@ -324,6 +324,40 @@ ORACLES["stream_request_dedupe"] = ORACLES["request_dedupe"]
 ORACLES["stream_source_health"] = f"""{_FOLD} SELECT source_id, seq, opened, run_failures, opens, streak, total AS total_failures,
  CASE WHEN run_failures >= 5 THEN 'open' ELSE 'closed' END AS breaker, paused FROM fold WHERE n > 0"""
 ORACLES["changes_per_day"] = f"""WITH {_EVENTS} SELECT strftime(fetched_at, '%Y-%m-%d') AS day, severity, count(*) AS changes FROM chg GROUP BY ALL"""
+ORACLES["top_severity_overall"] = f"WITH {_EVENTS} SELECT coalesce(min(severity), 'P3') AS top_severity FROM chg"
+ORACLES["diff_incremental"] = f"WITH {_EVENTS} SELECT {_EVENT} FROM chg WHERE fetched_at >= TIMESTAMP '2000-01-01'"
+ORACLES["appended_tables"] = f"""WITH {_EVENTS}, {_OUTCOME}
+ SELECT 'snapshot' AS kind, CAST(item_id AS VARCHAR) AS key, seq, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS at, listing_status AS what FROM kept
+ UNION ALL SELECT 'event', CAST(item_id AS VARCHAR), seq, strftime(fetched_at, '%Y-%m-%d %H:%M:%S'), concat(field, ':', severity) FROM chg
+ UNION ALL SELECT 'audit', source_id, seq, strftime(ts, '%Y-%m-%d %H:%M:%S'), concat('fail:', outcome) FROM attempts WHERE outcome <> 'ok'"""
+_LEFT = "count(*) FILTER (WHERE old) AS deleted, count(*) FILTER (WHERE NOT old) AS left_rows, CAST(sum(seq) FILTER (WHERE NOT old) AS BIGINT) AS left_seq"
+_OLD = "seq, fetched_at < TIMESTAMP '2001-11-04' - INTERVAL 180 DAY AS old"
+ORACLES["retention_at_rest"] = f"""WITH {_EVENTS} SELECT 'snapshots' AS kind, {_LEFT} FROM (SELECT {_OLD} FROM kept)
+ UNION ALL SELECT 'events', {_LEFT} FROM (SELECT {_OLD} FROM chg)"""
+ORACLES["stream_tables"] = f"""WITH {_EVENTS}, n AS (SELECT (SELECT count(*) FROM f1) AS fetched, (SELECT count(*) FROM kept) AS saved,
+  (SELECT count(*) FROM chg) AS events, (SELECT count(*) FROM chg WHERE severity = 'P0') AS alerts)
+ SELECT unnest(['counter_fetched', 'counter_saved', 'counter_late', 'counter_events', 'digest', 'snapshots', 'events', 'alerts', 'late_records']) AS name,
+  unnest([fetched, saved, 0, events, events - alerts, saved, events, alerts, 0]) AS n FROM n"""
+# two portions: what came before the cut, and the rest; a content counts from where it came first
+ORACLES["stream_late_records"] = f"""WITH {_RECORDS}, arrived AS (SELECT *, CASE WHEN seq % 5 = 0 THEN fetched_at + INTERVAL 3 MONTH ELSE fetched_at END >= TIMESTAMP '1998-01-01' AS second FROM f1),
+ firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_CONTENT} ORDER BY second, fetched_at, seq) AS nth FROM arrived) WHERE nth = 1),
+ latest AS (SELECT item_id, max((fetched_at, seq)) AS mark FROM firsts WHERE NOT second GROUP BY item_id)
+ SELECT item_id, seq FROM firsts JOIN latest USING (item_id) WHERE second AND (fetched_at, seq) <= mark"""
+_LOG_PART = " + ".join(f"CAST({{t}} >= TIMESTAMP '2024-01-{d}' AS INTEGER)" for d in ("07", "13", "19", "25"))
+ORACLES["stream_request_state"] = _HITS + f""", came AS (SELECT r.source_id, r.item_id, r.t, f.ok AND NOT f.hit AS anchor, {_LOG_PART.format(t="make_timestamp(r.t)")} AS part
+  FROM fold f JOIN req r ON f.source_id = r.source_id AND f.item_id = r.item_id AND f.n = r.n),
+ marks AS (SELECT g.b, coalesce(max(came.t) // 1000, 0) AS clock FROM range(0, 6) AS g(b) LEFT JOIN came ON came.part < g.b GROUP BY g.b),
+ held AS (SELECT marks.b, clock, source_id, item_id, max(t) AS newest FROM marks JOIN came ON part <= marks.b AND anchor GROUP BY ALL)
+ SELECT b AS batch, count(*) AS remembered FROM held WHERE (newest + 21600000000 + 999) // 1000 > clock GROUP BY b"""
+ORACLES["stream_breaker_timers"] = f"""{_FOLD}, moves AS (SELECT source_id, opened, epoch_us(ts) + CAST(cooldown * 1000000 AS BIGINT) AS until,
+  lead(epoch_us(ts)) OVER (PARTITION BY source_id ORDER BY n) AS next_us FROM fold WHERE n > 0)
+ SELECT source_id, until AS at_us, 'open' AS from_state, 'degraded' AS to_state FROM moves
+ WHERE opened AND until <= coalesce(next_us, (SELECT max(epoch_us(ts)) + 1 FROM attempts))"""
+ORACLES["stream_late_attempts"] = f"""WITH log AS ({_LOG}), came AS (SELECT source_id, seq, ts,
+  ts + CASE WHEN seq % 97 = 0 THEN INTERVAL 2 DAY ELSE (seq * 7919 % 3600) * INTERVAL 1 SECOND END AS arrives FROM log),
+ parted AS (SELECT *, {_LOG_PART.format(t="arrives")} AS part FROM came),
+ marks AS (SELECT g.p, max(ts) - INTERVAL 1 HOUR AS clock FROM range(1, 5) AS g(p) JOIN parted ON part < g.p GROUP BY g.p)
+ SELECT source_id, seq FROM parted JOIN marks ON part = p WHERE ts < clock"""
 
 
 def oracle_sql() -> dict[str, str]:

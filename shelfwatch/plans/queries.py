@@ -6,19 +6,27 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_url, content_fp, request_fp, short_fp, word_changes
-from ..operators import changes, classify, cycles, fetchlog, health, request_dedupe, responses, versions
+from ..operators import changes, classify, cycles, fetchlog, health, incremental, request_dedupe, responses, versions
 from ..operators.ordered import Cuts, find_cuts
 from ..sources import declarations, payloads, sinks, tables
+from ..sources.committed import CommittedTables
+from ..sources.version_store import VersionStore
 from ..streaming import health as streaming_health
 from ..streaming import jobs, requests, windows
 
 RETENTION_AS_OF = datetime(2001, 11, 4)
 LOG_AS_OF = datetime(2024, 1, 31)
 DEDUPE_TTL = 6 * 3600
+# how the tables are replayed as streams: when the micro-batches end, and how late an attempt may be
+RECORD_CUTS = ("1996-06-01", "1998-01-01", "1999-06-01", "2000-12-01")
+LOG_CUTS = ("2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25")
+LATENESS = 3600
+# a handful of files for seven years of records
+STORE = {"buckets": 8, "blocks": 16, "period": "year"}
 PROMPT = "Events of this cycle:\n{events}\nAnswer in JSON."
 
 
@@ -253,6 +261,11 @@ def top_severity(i: Inputs) -> DataFrame:
     return changes.top_severity(i.cycle_events, ["cycle_id"])
 
 
+@query
+def top_severity_overall(i: Inputs) -> DataFrame:
+    return changes.top_severity(i.events_with_role)
+
+
 @query
 def severity_rollup(i: Inputs) -> DataFrame:
     return changes.severity_rollup(i.events_with_role)
@@ -320,7 +333,7 @@ def history_topn(i: Inputs) -> DataFrame:
 
 @query
 def recent_events(i: Inputs) -> DataFrame:
-    order = ("fetched_at", "seq", "item_id", "check_no")
+    order = ("detected_at", "seq", "item_id", "check_no")
     return versions.recent(i.events, 100, order).select("item_id", "seq", "check_no", "field", "severity")
 
 
@@ -555,37 +568,146 @@ def cycle_report(i: Inputs) -> DataFrame:
     return i.cycle_report.select("cycle_id", "fetched", "saved", "events", "top_severity", "elapsed_ms", "results")
 
 
-# ---- streams: whole tables replayed as streams ----
+# ---- stored versions and tables at rest ----
+@query
+def diff_incremental(i: Inputs) -> DataFrame:
+    rec = versions.with_content_fp(i.records)
+    border = F.lit("2000-01-01").cast("timestamp_ntz")
+    store = VersionStore(rec, jobs.work_folder(i.spark, "version-store"), **STORE)
+    store.append(versions.first_versions(rec.where(F.col("fetched_at") < border), cuts=i.item_cuts), 0)
+    found = incremental.new_versions_of_batch(rec.where(F.col("fetched_at") >= border), store, 1)
+    return changes.diff_events(found.pairs).select(*_EVENT)
+
+
+@query
+def appended_tables(i: Inputs) -> DataFrame:
+    """Snapshots, events and audit rows appended in two runs and read back."""
+    folder = jobs.work_folder(i.spark, "at-rest")
+    for early in (True, False):
+        run = lambda rows: rows.where((F.col("fetched_at") < F.lit("2000-01-01").cast("timestamp_ntz")) == early)  # noqa: E731, B023
+        sinks.append_snapshots(run(i.kept), f"{folder}/snapshots", "year")
+        sinks.append_events(run(i.events), f"{folder}/events", "year")
+    sinks.append_audit(fetchlog.audit_rows(i.attempts), f"{folder}/audit")
+    back = {name: i.spark.read.parquet(f"{folder}/{name}") for name in ("snapshots", "events", "audit")}
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias("at")
+    rows = back["snapshots"].select(F.lit("snapshot").alias("kind"), F.col("item_id").cast("string").alias("key"), "seq", at("fetched_at"), F.col("listing_status").alias("what"))
+    rows = rows.unionByName(back["events"].select(F.lit("event").alias("kind"), F.col("item_id").cast("string").alias("key"), "seq", at("detected_at"), F.concat_ws(":", "field", "severity").alias("what")))
+    return rows.unionByName(back["audit"].select(F.lit("audit").alias("kind"), F.col("source_id").alias("key"), "seq", at("ts"), F.col("outcome").alias("what")))
+
+
+@query
+def retention_at_rest(i: Inputs) -> DataFrame:
+    """Snapshots and events stored by month, expired, and what is left."""
+    folder = jobs.work_folder(i.spark, "retention")
+    sinks.append_snapshots(i.kept, f"{folder}/snapshots", "year")
+    sinks.append_events(i.events, f"{folder}/events", "year")
+    out = None
+    for kind, time, column in (("snapshots", "fetched_at", "fetch_date"), ("events", "detected_at", "event_date")):
+        deleted = sinks.drop_expired(i.spark, f"{folder}/{kind}", time, column, RETENTION_AS_OF, 180, "year")
+        left = i.spark.read.parquet(f"{folder}/{kind}").agg(F.count(F.lit(1)).alias("left_rows"), F.sum("seq").alias("left_seq"))
+        row = left.select(F.lit(kind).alias("kind"), F.lit(deleted).cast("bigint").alias("deleted"), "left_rows", "left_seq")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# ---- streams: whole tables replayed as streams of several micro-batches ----
+def _record_stream(i: Inputs, folder: str) -> DataFrame:
+    return jobs.replayed(versions.with_content_fp(i.records), F.col("fetched_at"), RECORD_CUTS, f"{folder}/arriving", files=4)
+
+
 @query
 def stream_version_diff(i: Inputs) -> DataFrame:
-    lines = jobs.as_stream(i.spark, i.dir, "lineitem.parquet")
-    arriving = i.spark.sql(tables.RECORDS_SQL, lineitem=lines, part=tables.table(i.spark, i.dir, "part"))
-    folder = jobs.version_diff(versions.with_content_fp(arriving), jobs.work_folder(i.spark, "version-diff"))
-    return i.spark.read.parquet(f"{folder}/events").select(*_EVENT)
+    folder = jobs.work_folder(i.spark, "version-diff")
+    return jobs.version_diff(_record_stream(i, folder), folder, **STORE).read("events").select(*_EVENT)
 
 
-def _log_stream(i: Inputs) -> DataFrame:
+@query
+def stream_tables(i: Inputs) -> DataFrame:
+    """All tables of the version diff, read back after compaction, and the counters."""
+    folder = jobs.work_folder(i.spark, "version-tables")
+    done = jobs.version_diff(_record_stream(i, folder), folder, **STORE)
+    by_time = dict.fromkeys(("snapshots", "events", "alerts", "late_records"), "fetched_at")
+    done.compact({**by_time, "digest": None, "stats": None}, period="year")
+    counted = lambda name: done.read(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    digest = done.read("digest").agg(F.sum("events").alias("n")).select(F.lit("digest").alias("name"), "n")
+    sums = done.read("stats").agg(*[F.sum(c).alias(c) for c in ("fetched", "saved", "late", "events")])
+    stats = sums.unpivot([], list(sums.columns), "name", "n").select(F.concat(F.lit("counter_"), "name").alias("name"), "n")
+    out = stats.unionByName(digest)
+    for name in by_time:
+        out = out.unionByName(counted(name))
+    return out
+
+
+@query
+def stream_late_records(i: Inputs) -> DataFrame:
+    """Every fifth record comes three months late: those no newer than the stored latest go aside."""
+    folder = jobs.work_folder(i.spark, "late-records")
+    arrives = F.when(F.col("seq") % 5 == 0, F.col("fetched_at") + F.make_ym_interval(F.lit(0), F.lit(3))).otherwise(F.col("fetched_at"))
+    arriving = jobs.replayed(versions.with_content_fp(i.records), arrives, RECORD_CUTS[1:2], f"{folder}/arriving", files=4)
+    return jobs.version_diff(arriving, folder, **STORE).read("late_records").select("item_id", "seq")
+
+
+def _log_stream(i: Inputs, folder: str, late: Column | int = 0) -> DataFrame:
+    """The fetch log in the order in which it arrives, ``late`` seconds after the attempt."""
     jobs.use_rocksdb(i.spark)
-    return i.spark.sql(tables.FETCH_LOG_SQL, events=jobs.as_stream(i.spark, i.dir, "events.parquet"))
+    arrives = F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(secs=F.lit(late) if isinstance(late, int) else late)
+    return jobs.replayed(i.log, arrives, LOG_CUTS, f"{folder}/arriving")
+
+
+def _dedupe_stream(i: Inputs) -> tuple[DataFrame, str]:
+    folder = jobs.work_folder(i.spark, "request-dedupe")
+    hits = requests.request_dedupe_stream(i._requests(_log_stream(i, folder)), DEDUPE_TTL)
+    return jobs.run_to_table(hits, f"{folder}/hits", f"{folder}/checkpoint"), f"{folder}/checkpoint"
 
 
 @query
 def stream_request_dedupe(i: Inputs) -> DataFrame:
-    arriving = _log_stream(i).withColumn("request_fp", request_fp(canonical_url(F.col("url"))))
-    hits = requests.request_dedupe_stream(request_dedupe.dedupe_input(arriving), DEDUPE_TTL)
-    folder = jobs.work_folder(i.spark, "request-dedupe")
-    return jobs.run_to_table(hits, f"{folder}/hits", f"{folder}/checkpoint").select("source_id", "seq", "hit")
+    return _dedupe_stream(i)[0].select("source_id", "seq", "hit")
 
 
 @query
-def stream_source_health(i: Inputs) -> DataFrame:
+def stream_request_state(i: Inputs) -> DataFrame:
+    """How many requests are remembered after each micro-batch; the last one only moves the clock."""
+    _, checkpoint = _dedupe_stream(i)
+    out = None
+    for batch in range(len(LOG_CUTS) + 2):
+        held = requests.remembered(i.spark, checkpoint, batch).select(F.lit(batch).cast("bigint").alias("batch"))
+        out = held if out is None else out.unionByName(held)
+    return out.groupBy("batch").agg(F.count(F.lit(1)).alias("remembered"))
+
+
+def _health_tables(i: Inputs, late: Column) -> CommittedTables:
     folder = jobs.work_folder(i.spark, "source-health")
-    arriving = fetchlog.attempt_outcome(_log_stream(i))
-    streaming_health.start_source_health(arriving, folder, f"{folder}/checkpoint").awaitTermination()
-    done = i.spark.read.parquet(f"{folder}/attempts")
+    arriving = fetchlog.attempt_outcome(_log_stream(i, folder, late))
+    streaming_health.start_source_health(arriving, f"{folder}/tables", f"{folder}/checkpoint", lateness_seconds=LATENESS).awaitTermination()
+    done = CommittedTables(i.spark, f"{folder}/tables")
+    streaming_health.finish_source_health(done)
+    return done
+
+
+def _out_of_order() -> Column:
+    """Up to an hour late, each attempt differently."""
+    return F.pmod(F.col("seq") * 7919, F.lit(LATENESS))
+
+
+@query
+def stream_source_health(i: Inputs) -> DataFrame:
+    done = _health_tables(i, _out_of_order()).read("attempts")
     return done.select("source_id", "seq", "opened", "run_failures", "opens", "streak", "total_failures", "breaker", "paused")
 
 
+@query
+def stream_breaker_timers(i: Inputs) -> DataFrame:
+    return _health_tables(i, _out_of_order()).read("transitions")
+
+
+@query
+def stream_late_attempts(i: Inputs) -> DataFrame:
+    """Some attempts come two days late, behind the watermark."""
+    late = F.when(F.col("seq") % 97 == 0, 2 * 86400).otherwise(_out_of_order())
+    return _health_tables(i, late).read("late").select("source_id", "seq")
+
+
 @query
 def changes_per_day(i: Inputs) -> DataFrame:
     counts = windows.changes_per_window(i.events, width="1 day")
