@@ -10,7 +10,9 @@ joined back. Results equal those of the plain window.
 only places the borders; no row is left out. Sizes are bounded whatever the data: at most about
 ``max_slices`` cuts exist in total, so the cut table and the per-slice aggregates can be broadcast
 (tens of thousands of rows at 10^12 input rows, where a slice then holds some 30 million).
-With no hot key the scan is the plain window, with nothing added to its plan.
+With no hot key the scan is the plain window, with nothing added to its plan. With hot keys the rows are
+written once before each ``add``, so that the log itself is read once and the work grows with the number
+of ``add`` calls.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..plans.shared import durable
+
 SLICE = "_slice"
 _SAMPLE_PER_SLICE = 64
 
@@ -172,6 +176,8 @@ class OrderedScan:
     def add(self, **scans: Scan) -> OrderedScan:
         parts = self.keys + ([SLICE] if self.hot else [])
         inside = Window.partitionBy(*parts).orderBy(*self.order)
+        if self.hot:  # read twice below; left lazy, every further ``add`` would double the plan
+            self.rows = durable(self.rows)
         local = self.rows.select("*", *[s.local(inside).alias(name) for name, s in scans.items()])
         if self.hot:
             local = self._carried(local, parts, scans)

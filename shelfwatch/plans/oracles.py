@@ -319,6 +319,8 @@ ORACLES: dict[str, str] = {
  SELECT cycle_id, fetched, saved, events, coalesce(worst, 'P3') AS top_severity, elapsed_ms, results FROM stats LEFT JOIN worst USING (cycle_id) LEFT JOIN span USING (cycle_id)""",
 }
 
+for _name in ("breaker_episodes", "pause_events", "request_dedupe", "rate_audit"):
+    ORACLES[f"{_name}_sliced"] = ORACLES[_name]
 ORACLES["stream_version_diff"] = ORACLES["diff_events"]
 ORACLES["stream_request_dedupe"] = ORACLES["request_dedupe"]
 ORACLES["stream_source_health"] = f"""{_FOLD} SELECT source_id, seq, opened, run_failures, opens, streak, total AS total_failures,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_url, content_fp, request_fp, short_fp, word_changes
 from ..operators import changes, classify, cycles, fetchlog, health, incremental, request_dedupe, responses, versions
-from ..operators.ordered import Cuts, find_cuts
+from ..operators.ordered import Cuts, Slicing, find_cuts
 from ..sources import declarations, payloads, sinks, tables
 from ..sources.committed import CommittedTables
 from ..sources.version_store import VersionStore
@@ -22,7 +22,7 @@ RETENTION_AS_OF = datetime(2001, 11, 4)
 LOG_AS_OF = datetime(2024, 1, 31)
 DEDUPE_TTL = 6 * 3600
 # how the tables are replayed as streams: when the micro-batches end, and how late an attempt may be
-RECORD_CUTS = ("1996-06-01", "1998-01-01", "1999-06-01", "2000-12-01")
+RECORD_CUTS = ("1996-06-01", "1998-01-01", "2000-01-01")
 LOG_CUTS = ("2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25")
 LATENESS = 3600
 # a handful of files for seven years of records
@@ -541,6 +541,32 @@ def breaker_episodes(i: Inputs) -> DataFrame:
     return health.breaker_episodes(i.attempts, cuts=i.source_cuts).drop("ts")
 
 
+def _source_slices(i: Inputs) -> Cuts | None:
+    """Slices far smaller than a task's, so that every source of the log is cut."""
+    return find_cuts(i.log_positions, ["source_id"], fetchlog.LOG_ORDER, Slicing(slice_rows=60, max_slices=200))
+
+
+@query
+def breaker_episodes_sliced(i: Inputs) -> DataFrame:
+    return health.breaker_episodes(i.attempts, cuts=_source_slices(i)).drop("ts")
+
+
+@query
+def pause_events_sliced(i: Inputs) -> DataFrame:
+    return health.pause_events(i.attempts, i.registered, cuts=_source_slices(i)).drop("ts")
+
+
+@query
+def request_dedupe_sliced(i: Inputs) -> DataFrame:
+    cuts = find_cuts(i._requests(i.log_positions), request_dedupe.KEY, request_dedupe.ORDER, Slicing(slice_rows=2, max_slices=2000))
+    return request_dedupe.request_dedupe(i.requests, DEDUPE_TTL, cuts).select("source_id", "seq", "hit")
+
+
+@query
+def rate_audit_sliced(i: Inputs) -> DataFrame:
+    return fetchlog.rate_audit(i.log, i.sources, _source_slices(i)).select("source_id", "seq")
+
+
 @query
 def pause_events(i: Inputs) -> DataFrame:
     return health.pause_events(i.attempts, i.registered, cuts=i.source_cuts).drop("ts")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.fetchlog import LOG_ORDER, SOURCE
 from ..operators.health import STATE, BreakerPolicy, breaker_log, last_state
 from ..operators.ordered import Cuts, OrderedScan, Slicing, find_cuts, previous
-from ..sources.committed import CommittedTables
+from ..sources.committed import CommittedTables, one_row
 
 _NEVER = -(2**62)
 
@@ -109,7 +109,7 @@ def health_of_batch(
     log = breaker_log(ready, policy, cuts, states_before).persist()
     states = _states_after(log, states_before)
     moves = clock_moves(log, states_before, states, passed, now, cuts)
-    clock = batch.sparkSession.createDataFrame([(now, newest)], "passed_us bigint, newest_us bigint")
+    clock = one_row(batch.sparkSession, passed_us=now, newest_us=newest)
     return HealthBatch(log, moves, batch.where(_us() < passed), states, pool.where(_us() >= now), clock)
 
 

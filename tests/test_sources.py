@@ -120,20 +120,18 @@ def test_request_fp_ignores_tracking_and_case_of_method(spark):
 
 def test_tables_at_rest(spark, tmp_path):
     start = datetime(2024, 1, 1)
-    rows = [("i", "s", n, start + timedelta(days=n), float(n)) for n in range(5)]
+    rows = [("i", "s", n, start + timedelta(days=n // 2, hours=12 * (n % 2)), float(n)) for n in range(10)]
     frame = spark.createDataFrame(rows, "item_id string, source_id string, seq bigint, fetched_at timestamp, price double")
     path = str(tmp_path / "snap")
-    sinks.append_by_day(frame, path, "fetched_at", "fetch_date")
-    sinks.append_by_day(frame.where("seq = 4"), path, "fetched_at", "fetch_date")
-    assert spark.read.parquet(path).count() == 6
+    for part in (frame, frame.where("seq = 9")):
+        sinks.append_by_period(part, path, "fetched_at", "fetch_date")
+    assert spark.read.parquet(path).count() == 11
     plan = spark.read.parquet(path).where("fetch_date >= '2024-01-04'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(fetch_date" in plan
-    assert sinks.drop_expired_days(spark, path, "fetch_date", start + timedelta(days=5), 2) == 3
-    assert {r["seq"] for r in spark.read.parquet(path).collect()} == {3, 4}
-
-
-def test_a_replayed_batch_writes_no_duplicates(spark, tmp_path):
-    frame, path = spark.range(3), str(tmp_path / "out")
-    for batch_id in (0, 1, 1):
-        sinks.write_batch(frame, path, batch_id)
-    assert spark.read.parquet(path).count() == 6
+    as_of = start + timedelta(days=5, hours=6)
+    for expected in (7, 0):  # three whole days, the first half of the fourth; then nothing more
+        assert sinks.drop_expired(spark, path, "fetched_at", "fetch_date", as_of, 2) == expected
+        left = spark.read.parquet(path)
+        assert sorted(r["seq"] for r in left.collect()) == [7, 8, 9, 9] and left.columns[-1] == "fetch_date"
+    assert sinks.drop_expired(spark, path, "fetched_at", "fetch_date", as_of, -30) == 4
+    assert spark.read.parquet(path).count() == 0
