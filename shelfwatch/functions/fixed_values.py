@@ -87,6 +87,7 @@ RATE_CODES = (
 RATE_PATTERN = r"ISV_LIMIT|TRAFFIC_LIMIT|RESOURCE_EXCEED|API\s*调用频繁|访问过于频繁|too\s+many\s+requests"
 AUTH_PATTERN = r"invalid\s+session|未授权|登录失效|请重新登录|签名错误|appkey\s+不在白名单|missing\s+appkey"
 VERIFY_PATTERN = r"验证码|captcha|滑块|punish|风控校验|人机验证"
+AUDIT_BODY_CHARS = 160
 AUDIT_DETAIL_CHARS = 500
 
 # --- fixed values: default policy ---------------------------------------------

@@ -24,7 +24,7 @@ TIME = "fetched_at"
 
 
 def _number(column: Column) -> Column:
-    return column.cast("double")
+    return column.try_cast("double")
 
 
 @dataclass(frozen=True)

@@ -80,12 +80,17 @@ def attempt_outcome(log: DataFrame) -> DataFrame:
     return with_response_class(log).withColumn("outcome", outcome).drop("anomaly")
 
 
-def audit_rows(attempts: DataFrame, detail: str = "body") -> DataFrame:
-    """Fetch-audit rows of the failed attempts."""
+def audit_rows(attempts: DataFrame, body: str = "body") -> DataFrame:
+    """Fetch-audit rows of the failed attempts; the detail says what the answer was classed as and how it began.
+
+    ``counted`` is true where the attempt went to the source and counts towards its failures, and not
+    for one that was refused before it was sent.
+    """
+    what = F.coalesce(F.col("outcome"), F.lit("blocked"))
+    began = F.substring(F.coalesce(F.col(body), F.lit("")), 1, V.AUDIT_BODY_CHARS)
+    detail = F.substring(F.concat_ws(":", what, began), 1, V.AUDIT_DETAIL_CHARS)
     return attempts.where(F.col("outcome") != "ok").select(
-        SOURCE, "seq", "ts",
-        F.concat(F.lit("fail:"), F.coalesce(F.col("outcome"), F.lit("blocked"))).alias("outcome"),
-        F.substring(F.coalesce(F.col(detail), F.lit("")), 1, V.AUDIT_DETAIL_CHARS).alias("detail"),
+        SOURCE, "seq", "ts", F.concat(F.lit("fail:"), what).alias("outcome"), detail.alias("detail"), what.isin(*V.ANOMALIES).alias("counted")
     )
 
 

@@ -140,10 +140,10 @@ _PRICE_TEXT = "CASE WHEN seq % 7 <> 0 AND seq % 11 = 0 THEN NULL ELSE price END"
 _PAYLOADS = f"""{_RECORDS}, payloads AS ({tables.PAYLOADS_SQL.format(records='f1')})"""
 _ANSWERS = f"""{_RECORDS},
 ans AS (SELECT seq, seq % 8 AS kind, concat('a', item_id) AS ida, concat('b', item_id) AS idb, CASE stock WHEN 0 THEN 'P0' WHEN 20 THEN 'p0' ELSE 'P2' END AS sva,
-  stock < 50 AS pusha, item_id % 5 = 1 AS pushb, CASE item_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS keepb FROM f1),
+  stock < 50 AS pusha, concat('moved by ', stock) AS why, CASE WHEN item_id % 3 = 0 THEN 'match price' END AS todo, item_id % 5 = 1 AS pushb, CASE item_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS keepb FROM f1),
 summ AS (SELECT *, CASE kind WHEN 0 THEN 'all' WHEN 2 THEN 'two' WHEN 3 THEN concat('kept ', seq) WHEN 4 THEN 'x' ELSE '' END AS summary FROM ans),
-evs AS (SELECT seq, summary, 0 AS pos, ida AS item_id, sva AS severity, true AS priority_keep, pusha AS need_push FROM summ WHERE kind IN (0, 1, 3)
- UNION ALL SELECT seq, summary, CASE kind WHEN 0 THEN 1 ELSE 0 END, idb, 'P1', keepb, pushb FROM summ WHERE kind IN (0, 2)),
+evs AS (SELECT seq, summary, 0 AS pos, ida AS item_id, sva AS severity, true AS priority_keep, pusha AS need_push, why AS attribution, todo AS action, 'rule' AS priority_reason FROM summ WHERE kind IN (0, 1, 3)
+ UNION ALL SELECT seq, summary, CASE kind WHEN 0 THEN 1 ELSE 0 END, idb, 'P1', keepb, pushb, NULL, NULL, NULL FROM summ WHERE kind IN (0, 2)),
 roll AS (SELECT s.seq, s.summary, count(e.seq) AS event_count, coalesce(bool_or(e.need_push), false) AS need_push,
   coalesce(string_agg(e.item_id, ',' ORDER BY e.pos) FILTER (WHERE e.need_push), '') AS pushed_items
   FROM summ s LEFT JOIN evs e USING (seq) GROUP BY s.seq, s.summary)"""
@@ -263,11 +263,12 @@ ORACLES: dict[str, str] = {
    CASE item_id % 4 WHEN 0 THEN 'self' WHEN 1 THEN 'competitor' ELSE 'unknown' END AS role, 'price' AS field, original_price AS old_num, price AS new_num, '' AS new_value FROM f1 WHERE seq % 9 > 2
   UNION ALL SELECT seq, item_id, 2, CAST(item_id AS VARCHAR), 'self', 'stock', CAST(10 AS DOUBLE), CASE WHEN seq % 4 <> 0 THEN CAST(stock AS DOUBLE) END, '' FROM f1 WHERE seq % 9 > 2)
  SELECT seq, asked, pos, item_id, role, field, old_num, new_num, {_category('role', 'field', 'new_value', 'old_num', 'new_num')} AS category FROM e""",
-    "events_bundle": f"""WITH {_CLASSED}, n AS (SELECT cycle_id, (row_number() OVER (PARTITION BY cycle_id ORDER BY item_id, seq, check_no) - 1) // 50 AS part_no FROM classed)
- SELECT cycle_id, part_no, count(*) AS event_count, count(*) AS in_json FROM n GROUP BY cycle_id, part_no""",
-    "prompt_rows": f"""WITH {_CLASSED}, n AS (SELECT DISTINCT cycle_id, (row_number() OVER (PARTITION BY cycle_id ORDER BY item_id, seq, check_no) - 1) // 50 AS part_no FROM classed)
- SELECT cycle_id, part_no, CAST(length('Events of this cycle:\n\nAnswer in JSON.') AS INTEGER) AS frame_chars FROM n""",
-    "parse_response": f"WITH {_ANSWERS} SELECT seq, summary, item_id, severity, priority_keep, need_push FROM evs",
+    "events_bundle": f"""WITH {_CLASSED}, n AS (SELECT *, (row_number() OVER (PARTITION BY cycle_id ORDER BY item_id, seq, check_no) - 1) // 50 AS part_no FROM classed)
+ SELECT cycle_id, part_no, count(*) OVER w AS event_count, CAST(row_number() OVER (PARTITION BY cycle_id, part_no ORDER BY item_id, seq, check_no) - 1 AS INTEGER) AS pos,
+  CAST(item_id AS VARCHAR) AS item_id, role, severity, field, old_value, new_value, event, category FROM n WINDOW w AS (PARTITION BY cycle_id, part_no)""",
+    "prompt_rows": f"""WITH {_CLASSED}, n AS (SELECT cycle_id, (row_number() OVER (PARTITION BY cycle_id ORDER BY item_id, seq, check_no) - 1) // 50 AS part_no FROM classed)
+ SELECT cycle_id, part_no, md5(concat('Events of this cycle:', chr(10), '<events>', chr(10), 'Answer in JSON.')) AS frame, count(*) AS in_json FROM n GROUP BY cycle_id, part_no""",
+    "parse_response": f"WITH {_ANSWERS} SELECT seq, summary, item_id, severity, priority_keep, need_push, attribution, action, priority_reason FROM evs",
     "need_push": f"WITH {_ANSWERS} SELECT seq, CAST(pos AS INTEGER) AS pos, need_push FROM evs",
     "push_rollup": f"WITH {_ANSWERS} SELECT seq, summary, event_count, need_push, pushed_items FROM roll",
     "alerts": f"WITH {_ANSWERS} SELECT seq, summary, pushed_items FROM roll WHERE need_push",
@@ -285,11 +286,12 @@ ORACLES: dict[str, str] = {
     "classify_response_mended": f"{_HTTP} SELECT seq, " + _anomaly(" OR ".join(f"contains(codes, '{c.upper()}')" for c in V.RATE_CODES)) + " AS anomaly FROM c",
     "context_mismatch": f"WITH log AS ({_LOG}) SELECT seq, item_id, returned_item_id FROM log WHERE returned_item_id <> '' AND returned_item_id <> CAST(item_id AS VARCHAR)",
     "attempt_outcome": f"WITH {_OUTCOME} SELECT source_id, seq, outcome FROM attempts",
-    "audit_rows": f"WITH {_OUTCOME} SELECT source_id, seq, concat('fail:', outcome) AS outcome, substr(body, 1, 500) AS detail FROM attempts WHERE outcome <> 'ok'",
-    "quota_ledger": f"""WITH log AS ({_LOG}), src AS ({_SOURCES}), r AS (SELECT source_id, seq, row_number() OVER (PARTITION BY source_id, CAST(ts AS DATE) ORDER BY ts, seq) AS used FROM log)
- SELECT source_id, seq, used, used > daily_quota AS over FROM r JOIN src USING (source_id)""",
-    "quota_days": f"""WITH log AS ({_LOG}), src AS ({_SOURCES}), r AS (SELECT source_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS used FROM log GROUP BY ALL)
- SELECT source_id, day, used, greatest(0, daily_quota - used) AS remaining, greatest(0, used - daily_quota) AS overrun FROM r JOIN src USING (source_id)""",
+    "audit_rows": f"WITH {_OUTCOME} SELECT source_id, seq, concat('fail:', outcome) AS outcome, concat(outcome, ':', substr(body, 1, 160)) AS detail, true AS counted FROM attempts WHERE outcome <> 'ok'",
+    "quota_ledger": f"""WITH log AS ({_LOG}), src AS (SELECT * FROM ({_SOURCES}) WHERE source_id <> 'src7'), r AS (SELECT source_id, seq, row_number() OVER (PARTITION BY source_id, CAST(ts AS DATE) ORDER BY ts, seq) AS used FROM log)
+ SELECT source_id, seq, used, used > coalesce(daily_quota, {V.DEFAULT_DAILY_QUOTA}) AS over FROM r LEFT JOIN src USING (source_id)""",
+    "quota_days": f"""WITH log AS ({_LOG}), src AS (SELECT * FROM ({_SOURCES}) WHERE source_id <> 'src7'), r AS (SELECT source_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS used FROM log GROUP BY ALL)
+ SELECT source_id, day, used, greatest(0, coalesce(daily_quota, {V.DEFAULT_DAILY_QUOTA}) - used) AS remaining,
+ greatest(0, used - coalesce(daily_quota, {V.DEFAULT_DAILY_QUOTA})) AS overrun FROM r LEFT JOIN src USING (source_id)""",
     "rate_audit": f"""WITH log AS ({_LOG}), a AS (SELECT source_id, seq, ts, row_number() OVER (PARTITION BY source_id ORDER BY ts, seq) AS n, CAST(0.002 AS DOUBLE) * (epoch_us(ts) / CAST(1000000 AS DOUBLE)) AS rt FROM log),
  b AS (SELECT *, min((n - 1) - rt) OVER (PARTITION BY source_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS low FROM a)
  SELECT source_id, seq FROM b WHERE (n - rt) - low > 3""",
@@ -319,6 +321,14 @@ ORACLES: dict[str, str] = {
  SELECT cycle_id, fetched, saved, events, coalesce(worst, 'P3') AS top_severity, elapsed_ms, results FROM stats LEFT JOIN worst USING (cycle_id) LEFT JOIN span USING (cycle_id)""",
 }
 
+ORACLES["normalize_stored_items"] = ORACLES["normalize_routed"] = ORACLES["normalize_items"]
+_SRC_KIND = "s_suppkey % 11"
+ORACLES["checked_declarations"] = f"""SELECT s_suppkey AS ord, CASE WHEN {_SRC_KIND} NOT IN (1, 2, 3) THEN concat('src', s_suppkey) END AS source_id,
+ {_SRC_KIND} IN (0, 3, 6, 7, 8, 9, 10) AS enabled, CASE {_SRC_KIND} WHEN 1 THEN '' WHEN 2 THEN '' WHEN 5 THEN '' WHEN 6 THEN '' WHEN 7 THEN 'scraped' ELSE 'vendor' END AS compliance,
+ CAST(CASE {_SRC_KIND} WHEN 9 THEN 2 WHEN 10 THEN 0.25 ELSE {V.DEFAULT_QPS} END AS DOUBLE) AS qps,
+ CAST(CASE {_SRC_KIND} WHEN 9 THEN 1 WHEN 10 THEN 77 ELSE {V.DEFAULT_DAILY_QUOTA} END AS BIGINT) AS daily_quota,
+ CASE {_SRC_KIND} WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not an object' WHEN 3 THEN 'no id' WHEN 4 THEN 'enabled is not a boolean' WHEN 6 THEN 'no compliance declared'
+  WHEN 7 THEN 'compliance not in the allowed list' WHEN 8 THEN 'qps is not a number' WHEN 9 THEN 'daily_quota is not a whole number' END AS reason FROM supplier"""
 for _name in ("breaker_episodes", "pause_events", "request_dedupe", "rate_audit"):
     ORACLES[f"{_name}_sliced"] = ORACLES[_name]
 ORACLES["stream_version_diff"] = ORACLES["diff_events"]

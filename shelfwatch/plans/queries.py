@@ -94,6 +94,11 @@ class Inputs:
     def registered(self) -> DataFrame:
         return self.sources.where("enabled")
 
+    @cached_property
+    def declared(self) -> DataFrame:
+        """The sources without one that the log has attempts of: it has the default policy."""
+        return self.sources.where("source_id <> 'src7'")
+
     @cached_property
     def attempts(self) -> DataFrame:
         return fetchlog.attempt_outcome(self.log)
@@ -352,13 +357,42 @@ def expired_counts(i: Inputs) -> DataFrame:
 # ---- payloads, declarations, snapshots ----
 @query
 def normalize_items(i: Inputs) -> DataFrame:
-    rec = payloads.normalize_items(tables.payloads(i.spark, i.dir))
+    return _records_of(payloads.normalize_items(tables.payloads(i.spark, i.dir)))
+
+
+def _records_of(rec: DataFrame) -> DataFrame:
     return rec.select(
         "item_id", "source_id", "seq", "title", "price", "original_price", "stock", "listing_status", "main_image",
         "promotion", "review_count", "rating", F.array_join("sku_list", ",").alias("skus"),
     )
 
 
+@query
+def normalize_stored_items(i: Inputs) -> DataFrame:
+    """Payloads parsed once when they are stored, and normalised from there."""
+    folder = jobs.work_folder(i.spark, "payloads")
+    payloads.parsed(tables.payloads(i.spark, i.dir)).write.parquet(folder)
+    return _records_of(payloads.normalize_items(i.spark.read.parquet(folder)))
+
+
+@query
+def normalize_routed(i: Inputs) -> DataFrame:
+    """Two adapters in one pass: one sends the item inside an object, the other the bare item."""
+    known = payloads.Normalisers()
+    known.register("bare_item", lambda payload, asked: payloads.item_record(F.concat(F.lit('{"item":'), payload, F.lit("}")), asked))
+    bare = F.col("seq") % 2 == 1
+    sent = tables.payloads(i.spark, i.dir).withColumns({
+        "adapter": F.when(bare, "bare_item").otherwise("item_payload"),
+        "payload": F.when(bare, F.substring("payload", F.lit(9), F.length("payload") - 9)).otherwise(F.col("payload")),
+    })
+    return _records_of(known.apply(sent, ["item_payload", "bare_item"]))
+
+
+@query
+def checked_declarations(i: Inputs) -> DataFrame:
+    return declarations.checked_declarations(tables.declarations(i.spark, i.dir)).drop("place", "dedupe_ttl_seconds", "burst")
+
+
 @query
 def unwrap_envelope(i: Inputs) -> DataFrame:
     return payloads.unwrap_envelope(tables.envelopes(i.spark, i.dir))
@@ -426,19 +460,22 @@ def parse_events_json(i: Inputs) -> DataFrame:
 
 @query
 def events_bundle(i: Inputs) -> DataFrame:
-    return i.bundles.select("cycle_id", "part_no", "event_count", F.json_array_length("events_json").cast("bigint").alias("in_json"))
+    """Every event of every document, member by member."""
+    members = "array<struct<item_id string, role string, severity string, field string, old_value string, new_value string, event string, category string>>"
+    each = i.bundles.select("cycle_id", "part_no", "event_count", F.posexplode(F.from_json("events_json", members)).alias("pos", "e"))
+    return each.select("cycle_id", "part_no", "event_count", "pos", "e.*")
 
 
 @query
 def prompt_rows(i: Inputs) -> DataFrame:
     prompts = responses.prompt_rows(i.bundles, PROMPT)
-    return prompts.select("cycle_id", "part_no", (F.length("prompt") - F.length("events_json")).alias("frame_chars"))
+    return prompts.select("cycle_id", "part_no", F.md5(F.replace("prompt", F.col("events_json"), F.lit("<events>"))).alias("frame"), F.json_array_length("events_json").cast("bigint").alias("in_json"))
 
 
 @query
 def parse_response(i: Inputs) -> DataFrame:
     return i.parsed.select("seq", "summary", F.explode("events").alias("e")).select(
-        "seq", "summary", "e.item_id", "e.severity", "e.priority_keep", "e.need_push"
+        "seq", "summary", "e.item_id", "e.severity", "e.priority_keep", "e.need_push", "e.attribution", "e.action", "e.priority_reason"
     )
 
 
@@ -517,13 +554,13 @@ def audit_rows(i: Inputs) -> DataFrame:
 
 @query
 def quota_ledger(i: Inputs) -> DataFrame:
-    ledger = fetchlog.quota_ledger(i.log, i.sources, cuts=i.source_day_cuts)
+    ledger = fetchlog.quota_ledger(i.log, i.declared, cuts=i.source_day_cuts)
     return ledger.select("source_id", "seq", "used", "over")
 
 
 @query
 def quota_days(i: Inputs) -> DataFrame:
-    return fetchlog.quota_days(i.log, i.sources).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return fetchlog.quota_days(i.log, i.declared).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query

@@ -30,6 +30,45 @@ def load_sources(spark: SparkSession, path: str) -> DataFrame:
     return filled.where("enabled").withColumnRenamed("id", "source_id")
 
 
+_TYPED = {  # member -> type it must have where it is present, as JSON tells types
+    "enabled": ("BOOLEAN", "enabled is not a boolean"),
+    "qps": ("BIGINT|DOUBLE|FLOAT|DECIMAL.*", "qps is not a number"),
+    "burst": ("BIGINT", "burst is not a whole number"),
+    "daily_quota": ("BIGINT", "daily_quota is not a whole number"),
+    "dedupe_ttl_seconds": ("BIGINT", "dedupe_ttl_seconds is not a whole number"),
+}
+
+
+def checked_declarations(documents: DataFrame, text: str = "declaration") -> DataFrame:
+    """Every source declared in JSON documents (one, or a list of them under ``sources``), valid or not.
+
+    Adds ``place`` in the document, the typed members with their defaults, and ``reason``: null for a
+    valid declaration, otherwise the first thing wrong with it. Nothing that was declared is lost: a
+    document that is no JSON gives one row, an element that is no object too. Split by ``reason`` into
+    what to load and what to report.
+    """
+    kept = [c for c in documents.columns if c != text]
+    parsed = documents.select(*kept, F.try_parse_json(text).alias("_doc"))
+    listed = F.coalesce(F.try_variant_get("_doc", "$.sources", "array<variant>"), F.array("_doc"))
+    each = parsed.select(*kept, F.posexplode(listed).alias("place", "_s"))
+    member = lambda name, kind: F.try_variant_get("_s", f"$.{name}", kind)
+    wrong = F.when(F.col("_s").isNull(), "not JSON").when(~F.schema_of_variant("_s").startswith("OBJECT"), "not an object")
+    wrong = wrong.when(F.coalesce(member("id", "string"), F.lit("")) == "", "no id")
+    for name, (kinds, reason) in _TYPED.items():
+        kind = F.schema_of_variant(member(name, "variant"))
+        wrong = wrong.when(kind.isNotNull() & (kind != "VOID") & ~kind.rlike(f"^({kinds})$"), reason)
+    is_flag = F.schema_of_variant(member("enabled", "variant")) == "BOOLEAN"  # the text "yes" is none
+    enabled, compliance = F.coalesce(is_flag & member("enabled", "boolean"), F.lit(False)), F.coalesce(member("compliance", "string"), F.lit(""))
+    wrong = wrong.when(enabled & (compliance == ""), "no compliance declared")
+    wrong = wrong.when(enabled & _rejected(compliance), "compliance not in the allowed list")
+    return each.select(
+        *kept, "place", member("id", "string").alias("source_id"), enabled.alias("enabled"), compliance.alias("compliance"),
+        F.coalesce(member("qps", "double"), F.lit(V.DEFAULT_QPS)).alias("qps"),
+        *[F.coalesce(member(c, "bigint"), F.lit(d)).alias(c) for c, d in (("burst", V.DEFAULT_BURST), ("daily_quota", V.DEFAULT_DAILY_QUOTA), ("dedupe_ttl_seconds", 7200))],
+        wrong.alias("reason"),
+    )
+
+
 def load_targets(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(DECLARATION_SCHEMA).json(path, multiLine=True)
     return raw.select(F.explode("targets").alias("t")).select("t.*").withColumns({
@@ -51,9 +90,9 @@ def compliance_rejects(sources: DataFrame) -> DataFrame:
 
 def require_compliance(sources: DataFrame) -> DataFrame:
     """Fail before any work starts when an enabled source is not allowed."""
-    bad = [r["source_id"] for r in compliance_rejects(sources).select("source_id").limit(20).collect()]
-    if bad:
-        raise ValueError(f"sources without a valid compliance declaration: {bad}")
+    rejected = compliance_rejects(sources).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.slice(F.collect_list("source_id"), 1, 20)).alias("some")).first()
+    if rejected["n"]:
+        raise ValueError(f"{rejected['n']} sources without a valid compliance declaration, among them {rejected['some']}")
     return sources
 
 

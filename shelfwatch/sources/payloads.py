@@ -4,28 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lenient_double, lenient_long
 
-ITEM_SCHEMA = (
-    "item struct<item_id string, title string, price string, original_price string, stock string, status string, "
+_ITEM = (
+    "struct<item_id string, title string, price string, original_price string, stock string, status string, "
     "main_image string, promotion string, review_count string, rating string, skus array<struct<sku_id string>>>"
 )
+ITEM_SCHEMA = f"item {_ITEM}"
+RECORD = (
+    "item_id", "title", "price", "original_price", "stock", "listing_status", "main_image", "promotion",
+    "review_count", "rating", "sku_list", "raw",
+)
 
 
-def normalize_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Typed records from JSON item payloads; the asked-for ``item_id`` fills in a missing one."""
-    parsed = payloads.withColumn("_item", F.from_json(payload, ITEM_SCHEMA)["item"])
-    item = F.col("_item")
+def item_record(payload: Column, asked: Column) -> Column:
+    """One item payload (JSON text or VARIANT) as a record struct; ``asked`` fills in a missing item id."""
+    return _record(F.from_json(payload, ITEM_SCHEMA)["item"], payload, asked)
+
+
+def stored_item_record(document: Column, asked: Column) -> Column:
+    """The same from a payload that was parsed when it was stored (VARIANT)."""
+    return _record(F.try_variant_get(document, "$.item", _ITEM), F.to_json(document), asked)
+
+
+def _record(item: Column, raw: Column, asked: Column) -> Column:
     blank_to_null = lambda c: F.nullif(c, F.lit(""))
     list_price = F.when(~blank_to_null(item["original_price"]).try_cast("double").eqNullSafe(F.lit(0.0)), blank_to_null(item["original_price"]))
     skus = F.coalesce(F.transform(item["skus"], lambda s: F.coalesce(s["sku_id"], F.lit(""))), F.array().cast("array<string>"))
-    kept = [c for c in payloads.columns if c not in (payload, "item_id")]
-    return parsed.select(
-        F.coalesce(blank_to_null(item["item_id"]), F.col("item_id").cast("string")).alias("item_id"),
-        *kept,
+    return F.struct(
+        F.coalesce(blank_to_null(item["item_id"]), asked.cast("string")).alias("item_id"),
         F.coalesce(item["title"], F.lit("")).alias("title"),
         lenient_double(item["price"]).alias("price"),
         lenient_double(F.coalesce(list_price, item["price"])).alias("original_price"),
@@ -36,32 +46,50 @@ def normalize_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
         lenient_long(item["review_count"]).alias("review_count"),
         lenient_double(item["rating"]).alias("rating"),
         skus.alias("sku_list"),
-        F.col(payload).alias("raw"),
+        raw.alias("raw"),
     )
 
 
+def _with_record(payloads: DataFrame, payload: str, record: Column) -> DataFrame:
+    kept = [c for c in payloads.columns if c not in (payload, "item_id")]
+    return payloads.select(*kept, record.alias("_record")).select("_record.item_id", *kept, *[f"_record.{c}" for c in RECORD if c != "item_id"])
+
+
+def normalize_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Typed records from JSON item payloads (text, or VARIANT as stored); the asked-for ``item_id`` fills in a missing one."""
+    stored = dict(payloads.dtypes)[payload] == "variant"
+    return _with_record(payloads, payload, (stored_item_record if stored else item_record)(F.col(payload), F.col("item_id")))
+
+
+def parsed(rows: DataFrame, text: str = "payload") -> DataFrame:
+    """The rows with their JSON text parsed once, for good: a VARIANT column of the same name, null if it is broken."""
+    return rows.withColumn(text, F.try_parse_json(text))
+
+
 def unwrap_envelope(envelopes: DataFrame, body: str = "body") -> DataFrame:
     """``code``, ``ok`` and the inner ``content``: the result of a success, the error part of a failure."""
     text = F.col(body)
-    code = F.coalesce(
-        F.get_json_object(text, "$.code"), F.get_json_object(text, "$.error_response.code"), F.lit("1")
-    )
-    ok = code.isin("0", "200")
-    inside = F.when(ok, F.get_json_object(text, "$.result")).otherwise(F.get_json_object(text, "$.error_response"))
-    return envelopes.select(
-        *[c for c in envelopes.columns if c != body],
-        code.alias("code"), ok.alias("ok"), F.coalesce(inside, text).alias("content"),
-    )
+    rows = envelopes.withColumn("_e", F.from_json(body, "code string, result string, error_response string"))
+    outer, failure = F.col("_e")["code"], F.col("_e")["error_response"]
+    # the error part is small and looked into only where there is no code outside
+    code = F.coalesce(outer, F.when(outer.isNull(), F.get_json_object(failure, "$.code")), F.lit("1"))
+    ok = F.col("code").isin("0", "200")
+    kept = [c for c in envelopes.columns if c != body]
+    coded = rows.select(*kept, text.alias("_text"), code.alias("code"), F.col("_e")["result"].alias("_result"), failure.alias("_failure"))
+    return coded.select(*kept, "code", ok.alias("ok"), F.coalesce(F.when(ok, F.col("_result")).otherwise(F.col("_failure")), F.col("_text")).alias("content"))
 
 
-Normaliser = Callable[[DataFrame], DataFrame]
+Normaliser = Callable[[Column, Column], Column]
 
 
 class Normalisers:
-    """Adapter name -> normaliser. Each adapter's rows take one filtered branch; branches are unioned."""
+    """Adapter name -> how it makes a record struct (see ``item_record``) of a payload and the asked-for item id.
+
+    ``apply`` reads the payloads once, whatever the number of adapters: each row takes its adapter's branch.
+    """
 
     def __init__(self) -> None:
-        self._known: dict[str, Normaliser] = {"item_payload": normalize_items}
+        self._known: dict[str, Normaliser] = {"item_payload": item_record}
 
     def register(self, adapter: str, normaliser: Normaliser) -> None:
         self._known[adapter] = normaliser
@@ -71,9 +99,9 @@ class Normalisers:
             raise KeyError(f"unknown adapter {adapter!r}, known: {sorted(self._known)}")
         return self._known[adapter]
 
-    def apply(self, payloads: DataFrame, adapters: list[str]) -> DataFrame:
-        branches = [self.get(a)(payloads.where(F.col("adapter") == a)) for a in adapters]
-        merged = branches[0]
-        for branch in branches[1:]:
-            merged = merged.unionByName(branch, allowMissingColumns=True)
-        return merged
+    def apply(self, payloads: DataFrame, adapters: list[str], payload: str = "payload") -> DataFrame:
+        """Records of the rows of these adapters (column ``adapter``)."""
+        record = F.lit(None)
+        for name in reversed(adapters):
+            record = F.when(F.col("adapter") == name, self.get(name)(F.col(payload), F.col("item_id"))).otherwise(record)
+        return _with_record(payloads.where(F.col("adapter").isin(adapters)), payload, record)

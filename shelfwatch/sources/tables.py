@@ -95,6 +95,16 @@ SELECT concat('src', CAST(s_suppkey AS STRING)) AS source_id, s_suppkey AS ord,
 FROM {supplier}
 """
 
+# declarations: each supplier's source as the JSON document it declares itself with, some of them broken
+DECLARATIONS_SQL = """
+SELECT s_suppkey AS ord, CASE s_suppkey % 11
+ WHEN 1 THEN '{{"id":"cut off' WHEN 2 THEN '[7]' WHEN 3 THEN '{{"enabled":true,"compliance":"vendor"}}'
+ ELSE concat('{{"id":"src', CAST(s_suppkey AS STRING), '","enabled":', CASE s_suppkey % 11 WHEN 4 THEN '"yes"' WHEN 5 THEN 'false' ELSE 'true' END,
+  ',"compliance":"', CASE s_suppkey % 11 WHEN 5 THEN '' WHEN 6 THEN '' WHEN 7 THEN 'scraped' ELSE 'vendor' END, '"',
+  CASE s_suppkey % 11 WHEN 8 THEN ',"qps":"fast"' WHEN 9 THEN ',"qps":2,"daily_quota":1.5' WHEN 10 THEN ',"qps":0.25,"daily_quota":77' ELSE '' END, '}}') END AS declaration
+FROM {supplier}
+"""
+
 # payloads: each record as the JSON a remote catalogue would send, with currency signs, text numbers and junk
 PAYLOADS_SQL = """
 SELECT item_id, source_id, seq, concat(
@@ -151,7 +161,8 @@ SELECT seq, CASE kind WHEN 0 THEN concat('{{"events":[', a, ',', b, '],"summary"
 FROM (
  SELECT seq, seq % 8 AS kind,
   concat('{{"item_id":"a', CAST(item_id AS STRING), '","severity":"', CASE stock WHEN 0 THEN 'P0' WHEN 20 THEN 'p0' ELSE 'P2' END,
-   '","priority_keep":true}}') AS a,
+   '","attribution":"moved by ', CAST(stock AS STRING), '","action":"', CASE WHEN item_id % 3 = 0 THEN 'match price' ELSE '' END,
+   '","priority_reason":"rule","priority_keep":true}}') AS a,
   concat('{{"item_id":"b', CAST(item_id AS STRING), '","severity":"P1","priority_keep":', CASE item_id % 5 WHEN 0 THEN 'true'
    WHEN 1 THEN 'false' WHEN 2 THEN 'null' WHEN 3 THEN '"false"' ELSE '0' END, '}}') AS b
  FROM {records})
@@ -162,6 +173,10 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SOURCES_SQL, supplier=table(spark, sf_dir, "supplier"))
 
 
+def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(DECLARATIONS_SQL, supplier=table(spark, sf_dir, "supplier"))
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PAYLOADS_SQL, records=records(spark, sf_dir))
 

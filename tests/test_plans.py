@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwatch.operators import changes, ordered, versions
+from shelfwatch.operators import changes, fetchlog, health, ordered, versions
 from shelfwatch.plans.queries import QUERIES, Inputs
 
 
@@ -43,7 +43,7 @@ def test_hot_items_are_reduced_before_the_exchange(inputs):
 def test_no_cross_join_and_no_python_but_where_meant(inputs, name):
     text = plan(QUERIES[name](inputs))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    if name not in ("dedupe_within", "request_dedupe", "cached_requests", "health_report", "cycle_stats", "cycle_report"):
+    if name not in ("dedupe_within", "request_dedupe", "request_dedupe_sliced", "cached_requests", "health_report", "cycle_stats", "cycle_report"):
         assert "Python" not in text and "InPandas" not in text
 
 
@@ -53,7 +53,7 @@ def test_single_partition_work_is_only_on_aggregated_rows(inputs):
             continue
         text = plan(QUERIES[name](inputs))
         if "Exchange SinglePartition" in text:
-            assert name in ("cycle_stats", "cycle_report", "expired_counts", "resolve_source"), name
+            assert name in ("cycle_stats", "cycle_report", "expired_counts", "resolve_source", "retention_at_rest", "top_severity_overall"), name
 
 
 def test_no_table_is_shuffled_before_its_keyed_work(inputs):
@@ -61,6 +61,13 @@ def test_no_table_is_shuffled_before_its_keyed_work(inputs):
         assert plan(QUERIES[name](inputs)).count("Exchange hashpartitioning") == count, name
 
 
+def test_sliced_breaker_log_grows_with_its_steps_only(inputs):
+    cuts = ordered.find_cuts(inputs.log_positions, ["source_id"], fetchlog.LOG_ORDER, ordered.Slicing(60, 200))
+    text = plan(health.pause_events(inputs.attempts, inputs.registered, cuts=cuts))
+    # the log was read and written before; left are the last step's windows, its summary and the policy join
+    assert "events.parquet" not in text and len(exchanges(text)) <= 5
+
+
 def test_scans_are_pruned_and_filters_pushed(inputs):
     read = re.search(r"ReadSchema: struct<([^>]*)>", plan(inputs.positions)).group(1)
     assert "l_extendedprice" not in read and "l_quantity" not in read

@@ -44,12 +44,13 @@ def test_unwrap_envelope(spark):
 
 def test_normaliser_lookup(spark):
     known = payloads.Normalisers()
-    known.register("flat", lambda df: df.select("item_id", F.lit("flat").alias("title")))
+    known.register("bare", lambda payload, asked: payloads.item_record(F.concat(F.lit('{"item":'), payload, F.lit("}")), asked))
     frame = spark.createDataFrame(
-        [("1", "item_payload", '{"item":{"title":"a"}}'), ("2", "flat", "")], "item_id string, adapter string, payload string")
-    rows = known.apply(frame, ["item_payload", "flat"]).orderBy("item_id").collect()
-    assert [r["title"] for r in rows] == ["a", "flat"]
-    with pytest.raises(KeyError, match="own_shop.*flat.*item_payload"):
+        [("1", "item_payload", '{"item":{"title":"a"}}'), ("2", "bare", '{"title":"b"}'), ("3", "other", "{}")], "item_id string, adapter string, payload string")
+    records = known.apply(frame, ["item_payload", "bare"])
+    assert [(r["item_id"], r["title"]) for r in records.orderBy("item_id").collect()] == [("1", "a"), ("2", "b")]
+    assert records._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
+    with pytest.raises(KeyError, match="own_shop.*bare.*item_payload"):
         known.get("own_shop")
 
 
@@ -118,6 +119,26 @@ def test_request_fp_ignores_tracking_and_case_of_method(spark):
     assert frame.select(request_fp(canonical_url(F.col("u")), F.col("m"))).distinct().count() == 1
 
 
+def test_payloads_parsed_when_stored(spark, tmp_path):
+    bodies = [json.dumps({"item": {"item_id": "7", "title": "t", "price": 69.5, "stock": 3, "skus": [{"sku_id": "b"}]}}), "not json", None, json.dumps({"item": {"price": "5元"}})]
+    frame = spark.createDataFrame([("asked", n, b) for n, b in enumerate(bodies)], "item_id string, seq int, payload string")
+    payloads.parsed(frame).write.parquet(str(tmp_path / "p"))
+    stored = payloads.normalize_items(spark.read.parquet(str(tmp_path / "p")))
+    fields = [c for c in stored.columns if c != "raw"]
+    assert sorted(map(str, stored.select(fields).collect())) == sorted(map(str, payloads.normalize_items(frame).select(fields).collect()))
+
+
+def test_broken_declarations_are_listed(spark):
+    texts = ['{"id":"a","enabled":true,"compliance":"vendor"}', "{", '{"sources":[{"id":"b"},5,{"id":"","enabled":true},{"id":"c","qps":"1"}]}', None,
+             '{"id":"d","enabled":true,"compliance":""}', '{"id":"e","enabled":true,"compliance":"hearsay"}', '{"id":"f","daily_quota":2.5}', '{"sources":[]}']
+    rows = declarations.checked_declarations(spark.createDataFrame(list(enumerate(texts)), "n int, declaration string"))
+    assert [(r["n"], r["source_id"], r["reason"]) for r in rows.orderBy("n", "place").collect()] == [
+        (0, "a", None), (1, None, "not JSON"), (2, "b", None), (2, None, "not an object"), (2, "", "no id"), (2, "c", "qps is not a number"),
+        (3, None, "not JSON"), (4, "d", "no compliance declared"), (5, "e", "compliance not in the allowed list"), (6, "f", "daily_quota is not a whole number")]
+    with pytest.raises(ValueError, match="3 sources .*'d', 'e'"):
+        declarations.require_compliance(rows.withColumn("compliance", F.coalesce("compliance", F.lit(""))))
+
+
 def test_tables_at_rest(spark, tmp_path):
     start = datetime(2024, 1, 1)
     rows = [("i", "s", n, start + timedelta(days=n // 2, hours=12 * (n % 2)), float(n)) for n in range(10)]
