@@ -33,17 +33,6 @@ def _near_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(told, "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
 
 
-def neighbourhoods(links: DataFrame) -> DataFrame:
-    """(a, b) links -> (node, root): the smallest id within two links of the node.
-
-    Nodes with one root are connected, so a star becomes one class; longer chains may keep several.
-    """
-    edges = written(_both_ways(links))
-    labels = _first_labels(edges)
-    near = _near_labels(edges, labels)
-    return written(labels.join(near, "node").select("node", F.least("root", "near").alias("root")))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links of comparable ids -> (node, root): the smallest id of the node's component.
 

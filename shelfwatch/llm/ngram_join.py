@@ -18,10 +18,12 @@ every filter below follows without loss.
    prefixes. All filters are intersected before the sets are compared.
 
 Large groups of near copies are not expanded into all pairs: in each round the documents of a token
-are compared with a few leaders (the one with fewest tokens of its own, then by hash), linked ones
-share a class from then on, and pairs within one class are never compared: they are connected by links
-already found. The last round compares every remaining pair of different classes that shares a kept
-token, so no link between different classes is lost. Components are those of all links together.
+that still has several classes are compared with a few leaders (the one with fewest tokens of its own
+first, then one of the token's first and last class and one by hash), linked ones share a class from
+then on, and pairs within one class are never compared: they are connected by links already found.
+Rounds go on while they find links. The last step compares every remaining pair of different classes
+that shares a kept token, once, at the first token that both kept, so no link between different
+classes is lost. Components are those of all links together.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.shared import durable
-from .graph import components, neighbourhoods, written
+from .graph import components, written
 from .text import free_name, grams, let, whole, words
 
-LEADERS = (1, 3)  # per token and round
+MOST_ROUNDS = 6  # what they leave, however much, the last step compares
 BITMAP_ROWS = 1 << 16
 PARITY_WORDS = 8
 PARITY = [f"b{k}" for k in range(PARITY_WORDS)]
@@ -146,10 +148,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
-    """The tokens' rows with classes after the links between them."""
-    roots = neighbourhoods(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    moved = state.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
-    return durable(moved.select("tok", "node", "n", "own", *PARITY, F.coalesce("root", "comp").alias("comp")))
+    """The tokens' rows with classes after the links between them, without tokens of a single class."""
+    roots = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    moved = state.join(roots.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    return durable(_of_several(moved))
+
+
+def _of_several(state: DataFrame) -> DataFrame:
+    """The rows of tokens that nodes of different classes have: no others can bring a pair."""
+    several = state.groupBy("tok").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("tok")
+    return state.join(several, "tok").select("tok", "node", "n", "own", *PARITY, "comp")
 
 
 def _pairs(met: DataFrame, other: str, other_class: str) -> DataFrame:
@@ -161,25 +169,39 @@ def _pairs(met: DataFrame, other: str, other_class: str) -> DataFrame:
 
 def _leader_pairs(state: DataFrame, round_no: int, percent: int) -> DataFrame:
     here = F.struct("node", "n", "comp", *PARITY)
-    # the node with the smallest share of tokens of its own is the most central copy
-    central = F.struct((F.col("own") / F.col("n")).alias("x"), F.xxhash64("node", F.lit(round_no)).alias("y"))
-    ranks = [central if round_no == 0 and k == 0 else F.xxhash64("node", F.lit(10 * round_no + k)) for k in range(LEADERS[round_no])]
-    leaders = state.groupBy("tok").agg(*[F.min_by(here, rank).alias(f"l{k}") for k, rank in enumerate(ranks)])
+    by_hash = F.xxhash64("node", F.lit(round_no))
+    if round_no == 0:
+        # the node with the smallest share of tokens of its own is the most central copy
+        chosen = [F.min_by(here, F.struct((F.col("own") / F.col("n")).alias("x"), by_hash.alias("y")))]
+    else:
+        ends = F.struct(F.col("comp").alias("x"), by_hash.alias("y"))
+        chosen = [F.min_by(here, ends), F.max_by(here, ends), F.min_by(here, by_hash)]
+    leaders = state.groupBy("tok").agg(*[c.alias(f"l{k}") for k, c in enumerate(chosen)])
     met = state.join(leaders, "tok").select(
-        "node", "n", "comp", *PARITY, F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(len(ranks))]))).alias("l")
+        "node", "n", "comp", *PARITY, F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(len(chosen))]))).alias("l")
     )
     fits = (F.col("comp") != F.col("l.comp")) & _close(F.col("n"), F.col("l.n"), [F.col(b) for b in PARITY], [F.col(f"l.{b}") for b in PARITY], percent)
     return _pairs(met.where(fits), "l.node", "l.comp")
 
 
 def _rest_pairs(state: DataFrame, percent: int) -> DataFrame:
-    """Every pair of different classes that shares a token: one side is outside the token's largest class."""
+    """Every pair of different classes that shares a token: one side is outside the token's largest class.
+
+    A pair comes out at the first of the tokens that both still have.
+    """
+    mine = state.groupBy("node").agg(F.sort_array(F.collect_set("tok")).alias("toks"))
+    listed = state.join(mine, "node")
     sizes = state.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("m"))
-    most = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    several = state.join(most, "tok")
-    few = several.where("comp <> main").select("tok", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), *[F.col(b).alias(f"x{b}") for b in PARITY])
+    most = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    several = listed.join(most, "tok")
+    few = several.where("comp <> main").select(
+        "tok", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("main").alias("mainx"), F.col("toks").alias("toksx"), *[F.col(b).alias(f"x{b}") for b in PARITY]
+    )
     fits = (F.col("comp") != F.col("cx")) & _close(F.col("n"), F.col("nx"), [F.col(b) for b in PARITY], [F.col(f"x{b}") for b in PARITY], percent)
-    met = several.select("tok", "node", "n", "comp", *PARITY).join(few, "tok").where(fits)
+    # of two sides outside the largest class one order is enough
+    once = (F.col("comp") == F.col("mainx")) | (F.col("node") < F.col("x"))
+    first = F.array_min(F.array_intersect("toks", "toksx")) == F.col("tok")
+    met = several.select("tok", "node", "n", "comp", "toks", *PARITY).join(few, "tok").where(fits & once & first)
     return _pairs(met, "x", "cx")
 
 
@@ -204,12 +226,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     sets = durable(full.dropDuplicates(["node"]).select("node", "s", *other, *_parity(F.col("s"))))
     state = durable(state.join(sets.select("node", *PARITY), "node"))
 
-    links = None
-    for step in range(len(LEADERS)):
-        found = _verified(_leader_pairs(state, step, percent), sets, percent)
+    links = _verified(_leader_pairs(state, 0, percent), sets, percent)
+    found, step = links, 1
+    while step < MOST_ROUNDS and not found.isEmpty():
         state = _merged(state, found)
-        links = found if links is None else links.unionAll(found)
-    links = links.unionAll(_verified(_rest_pairs(state, percent), sets, percent))
+        found = _verified(_leader_pairs(state, step, percent), sets, percent)
+        links, step = links.unionAll(found), step + 1
+    state = _of_several(state) if found.isEmpty() else _merged(state, found)
+    links = links.unionAll(_verified(_rest_pairs(durable(state), percent), sets, percent))
 
     comp = components(links).withColumnRenamed("root", "comp")
     placed = durable(rows.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp")))
