@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import durable
+from .text import free_name, row_key
 
 BUCKETS = 1 << 13
 # smoothing counts per bucket, and their sum as a share of a small language's trigrams: unseen trigrams
@@ -107,7 +108,7 @@ def _text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
             soft /= soft.sum(axis=1, keepdims=True)
             yield batch.drop(columns="text").assign(ll=list(out), soft=list(soft), fit=mean)
 
-    return rows.mapInPandas(score, "id bigint, declared string, host string, suffix string, ll array<double>, soft array<double>, fit double")
+    return rows.mapInPandas(score, "id string, declared string, host string, suffix string, ll array<double>, soft array<double>, fit double")
 
 
 def _masses(scored: DataFrame, *keys: str) -> DataFrame:
@@ -130,10 +131,12 @@ def identify(rows: DataFrame) -> DataFrame:
     be identified: language is null and no row is kept. Equal rows get equal results; an empty table
     gives none. Whole texts are read.
     """
-    rows = rows.select(F.col("id").cast("bigint").alias("id"), "text", "declared", "host", "suffix")
+    kind = rows.schema["id"].dataType
+    # as text, an id is the same in pandas whatever else is in the batch
+    rows = rows.select(F.col("id").cast("string").alias("id"), "text", "declared", "host", "suffix")
     langs, model = text_model(rows, languages(rows))
     if not langs:
-        return rows.select("id", *[F.lit(None).cast(t).alias(c) for c, t in (("language", "string"), ("confidence", "double"), ("text_language", "string"))], F.lit(False).alias("kept"))
+        return rows.select(F.col("id").cast(kind).alias("id"), *[F.lit(None).cast(t).alias(c) for c, t in (("language", "string"), ("confidence", "double"), ("text_language", "string"))], F.lit(False).alias("kept"))
     scored = durable(_text_likelihoods(rows, model))
     every = F.sequence(F.lit(0), F.lit(len(langs) - 1))
     whole = _masses(scored.withColumn("_all", F.lit(1)), "_all").collect()
@@ -161,11 +164,16 @@ def identify(rows: DataFrame) -> DataFrame:
         F.when(F.col("fit").isNotNull(), F.get(names, F.array_position("ll", F.array_max("ll")).cast("int") - 1)).alias("text_language"),
     )
     kept = F.coalesce((F.col("fit") > LEAST_FIT - float(np.log(BUCKETS))) & (F.col("confidence") >= LEAST_CONFIDENCE), F.lit(False))
-    return best.select("id", "language", "confidence", "text_language", kept.alias("kept"))
+    return best.select(F.col("id").cast(kind).alias("id"), "language", "confidence", "text_language", kept.alias("kept"))
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """The documents whose language could be told, columns as they were. Rows of one id and text share their fate."""
-    key = F.xxhash64("doc_id", "text", "lang", "source")
-    found = identify(document_evidence(docs, key)).where("NOT kept").select(F.col("id").alias("_k")).distinct()
-    return docs.withColumn("_key", key).join(found, F.col("_key") == F.col("_k"), "left_anti").select(*docs.columns)
+    """The documents whose language could be told, columns as they were, whatever their names.
+
+    Rows of one id, text, language and source share their fate; nulls are values of their own.
+    """
+    key = row_key("doc_id", "text", "lang", "source")
+    mark = free_name(docs.columns, "_key")
+    found = identify(document_evidence(docs, key)).where("NOT kept").select(F.col("id").alias("_gone")).distinct()
+    marked = docs.withColumn(mark, key)
+    return marked.join(found, marked[mark] == found["_gone"], "left_anti").select(*[marked[c] for c in docs.columns])

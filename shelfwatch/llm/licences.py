@@ -18,6 +18,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
@@ -169,4 +170,6 @@ def licence_scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[
             found = [known.scan(text) if text else ([], 0.0, 0) for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "licences": [",".join(f[0]) for f in found], "score": [f[1] for f in found], "n_lines": [f[2] for f in found]})
 
-    return docs.select(docs["doc_id"].cast("bigint"), "text").mapInPandas(scan, "doc_id bigint, licences string, score double, n_lines bigint")
+    # as text, an id is the same in pandas whatever else is in the batch
+    found = docs.select(docs["doc_id"].cast("string"), "text").mapInPandas(scan, "doc_id string, licences string, score double, n_lines bigint")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import durable
-from .text import SPACES, whole
+from .text import SPACES, free_name, whole
 
 LOG_BUCKETS = 10
 MARGIN = 4.0
@@ -56,15 +56,17 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", site: str = "source", text:
     """
     docs = docs.drop("n_lines", "n_removed")
     common = durable(boilerplate(docs, site, text, least_sites))
-    ids = [F.xxhash64(key, text).alias("_k1"), F.xxhash64(F.lit(1), text, key).alias("_k2")]
-    lines = docs.select(*ids, F.explode(F.array_distinct(_hashes(whole(text)))).alias("l")).select("_k1", "_k2", "l.h1", "l.h2").distinct()
-    met = lines.join(common.select("h1", "h2"), ["h1", "h2"]).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("h1", "h2")).alias("_out"))
-    marked = docs.withColumns({"_k1": ids[0], "_k2": ids[1]}).join(met, ["_k1", "_k2"], "left")
+    names = [free_name(docs.columns, x) for x in ("_k1", "_k2", "_out", "_left")]
+    k1, k2, out, left = names
+    ids = [F.xxhash64(key, text).alias(k1), F.xxhash64(F.lit(1), text, key).alias(k2)]
+    lines = docs.select(*ids, F.explode(F.array_distinct(_hashes(whole(text)))).alias("l")).select(k1, k2, "l.h1", "l.h2").distinct()
+    met = lines.join(common.select("h1", "h2"), ["h1", "h2"]).groupBy(k1, k2).agg(F.collect_set(F.struct("h1", "h2")).alias(out))
+    marked = docs.withColumns({k1: ids[0], k2: ids[1]}).join(met, [k1, k2], "left")
     split = F.split(F.col(text), "\n")
-    stays = F.filter(split, lambda x: (_line(x) == "") | ~F.array_contains("_out", F.struct(F.xxhash64(_line(x)).alias("h1"), F.xxhash64(F.lit(1), _line(x)).alias("h2"))))
-    cleaned = marked.withColumn("_left", F.when(F.col("_out").isNotNull(), stays).otherwise(split))
+    stays = F.filter(split, lambda x: (_line(x) == "") | ~F.array_contains(out, F.struct(F.xxhash64(_line(x)).alias("h1"), F.xxhash64(F.lit(1), _line(x)).alias("h2"))))
+    cleaned = marked.withColumn(left, F.when(F.col(out).isNotNull(), stays).otherwise(split))
     return cleaned.select(
-        *[F.when(F.col("_out").isNull(), F.col(c)).otherwise(F.array_join("_left", "\n")).alias(c) if c == text else F.col(c) for c in docs.columns],
+        *[F.when(F.col(out).isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text else F.col(c) for c in docs.columns],
         F.coalesce(F.size(split), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size(split) - F.size("_left"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(F.size(split) - F.size(left), F.lit(0)).cast("bigint").alias("n_removed"),
     )

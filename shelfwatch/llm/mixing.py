@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.shared import durable
-from .text import whole, words
+from .text import row_key, whole, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_EPOCHS = 1.5, 2.0
@@ -54,20 +54,23 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return levels.withColumn("target", target).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, seed: int = 5, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times, row key k1, k2) per document of ``doc_id, text, source``.
+def _keys(docs: DataFrame, seed: int) -> list[Column]:
+    """Two hashes of a whole row (of the columns that can be hashed), nulls being values of their own."""
+    whole_row = ["doc_id", "source", "text"] + [c for c, t in docs.dtypes if c not in ("doc_id", "source", "text") and not any(x in t for x in ("map<", "variant", "void"))]
+    return [row_key(*[f"`{c}`" for c in whole_row], seed=seed), row_key(*[f"`{c}`" for c in reversed(whole_row)], seed=seed + 1)]
 
-    ``times`` is how often the mix takes the document. Sizes are words; a null or empty text has size 0
-    and is taken as often as its source's whole epochs. The document at the border of the budget is
-    taken if more than half of it fits. Keys depend on id, text and seed only: reruns agree, and equal
-    rows, being interchangeable, may be taken a different number of times. An empty table gives none.
+
+def _groups(docs: DataFrame, seed: int, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """One row per distinct row of ``docs`` and what the mix takes of it.
+
+    doc_id, source, size, source_size, target, k1, k2, copies, epochs (takes of each copy) and extra (how
+    many of the copies are taken once more; only one row of a source may have some extra and not all).
     """
     text = whole("text")
-    rows = durable(docs.select(
-        "doc_id", "source", F.size(words(text)).cast("bigint").alias("size"), quality_weight(text).alias("w"),
-        F.xxhash64("doc_id", "text", F.lit(seed)).alias("k1"), F.xxhash64(F.lit(seed), "text", "doc_id").alias("k2"),
-    ))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg("w").alias("mean_w"))
+    k1, k2 = _keys(docs, seed)
+    every = docs.select("doc_id", "source", F.size(words(text)).cast("bigint").alias("size"), quality_weight(text).alias("w"), k1.alias("k1"), k2.alias("k2"))
+    rows = durable(every.groupBy("doc_id", "source", "size", "w", "k1", "k2").agg(F.count(F.lit(1)).alias("copies")))
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg("w").alias("mean_w"))
     targets = source_targets(sizes.select("source", "source_size"), weights, share, most)
     plan = durable(sizes.join(targets.select(F.col("source").alias("_s"), "target"), F.col("source").eqNullSafe(F.col("_s"))).select(
         F.col("source").alias("_s"), "source_size", "target", "mean_w",
@@ -78,30 +81,49 @@ def mix(docs: DataFrame, seed: int = 5, weights: tuple[float, ...] = WEIGHTS, sh
     keyed = rows.join(plan, rows["source"].eqNullSafe(plan["_s"])).withColumn("key", -F.log(u) / F.col("w"))
     # 1 - exp(-key * mean weight) is close to uniform, so slices are close to even
     placed = keyed.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key") * F.col("mean_w"))) * F.col("slices")), F.col("slices") - 1))
+    total = F.col("size") * F.col("copies")
     ahead = W.partitionBy("_s").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = placed.groupBy("_s", "slice").agg(F.sum("size").alias("in_slice")).select(
+    starts = placed.groupBy("_s", "slice").agg(F.sum(total).alias("in_slice")).select(
         F.col("_s").alias("_t"), F.col("slice").alias("_l"), F.coalesce(F.sum("in_slice").over(ahead), F.lit(0)).alias("start")
     )
     within = W.partitionBy("_s", "slice").orderBy("key", "k1", "k2").rowsBetween(W.unboundedPreceding, -1)
-    summed = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    summed = placed.withColumn("inside", F.coalesce(F.sum(total).over(within), F.lit(0)))
     met = summed.join(starts, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("slice") == F.col("_l")))
-    left = F.col("target") - F.col("epochs") * F.col("source_size")
-    extra = (F.col("size") > 0) & (F.col("start") + F.col("inside") + F.col("size") / 2.0 <= left)
-    return met.select(
-        "doc_id", "source", "size", "source_size", "target", "k1", "k2", (F.col("epochs") + extra.cast("bigint")).alias("times")
-    )
+    left = F.col("target") - F.col("epochs") * F.col("source_size") - F.col("start") - F.col("inside")
+    # one more copy as long as more than half of it fits
+    fits = F.greatest(F.lit(0), F.least(F.col("copies"), F.floor(left / F.greatest("size", F.lit(1)) + 0.5))).cast("bigint")
+    extra = F.when(F.col("size") > 0, fits).otherwise(0)
+    return met.select("doc_id", "source", "size", "source_size", "target", "k1", "k2", "copies", "epochs", extra.alias("extra"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 5, **options) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, with the columns of ``docs``."""
-    taken = mix(docs, seed, **options).where("times > 0").groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(
-        F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows")
-    )
-    k1, k2 = F.xxhash64("doc_id", "text", F.lit(seed)), F.xxhash64(F.lit(seed), "text", "doc_id")
-    numbered = docs.withColumns({"_k1": k1, "_k2": k2})
-    met = numbered.join(taken, ["_k1", "_k2"])
-    # equal rows share their takes evenly, the first ones one more
-    nth = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0)))
-    again = F.floor(F.col("_times") / F.col("_rows")) + (nth <= F.col("_times") % F.col("_rows")).cast("bigint")
-    repeated = met.withColumn("_again", again).where("_again > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_again")))
-    return repeated.select(*docs.columns)
+def mix(docs: DataFrame, seed: int = 5, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, times, row key k1, k2) per document of ``doc_id, text, source``.
+
+    ``times`` is how often the mix takes the document. Sizes are words; a null or empty text has size 0
+    and is taken as often as its source's whole epochs. The document at the border of the budget is
+    taken if more than half of it fits. Keys depend on the row and the seed only: reruns agree, and rows
+    that are equal in all columns, being interchangeable, may be taken a different number of times. An
+    empty table gives none.
+    """
+    groups = _groups(docs, seed, weights, share, most)
+    each = groups.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    times = F.col("epochs") + (F.col("_nth") <= F.col("extra")).cast("bigint")
+    return each.select("doc_id", "source", "size", "source_size", "target", "k1", "k2", times.alias("times"))
+
+
+def mixed_documents(
+    docs: DataFrame, seed: int = 5, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS
+) -> DataFrame:
+    """The mix itself: each document as many times as it is taken, with the columns of ``docs``, whatever their names."""
+    groups = _groups(docs, seed, weights, share, most).where("epochs > 0 OR extra > 0")
+    taken = durable(groups.select(F.col("k1").alias("_a"), F.col("k2").alias("_b"), "copies", "epochs", "extra"))
+    k1, k2 = _keys(docs, seed)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1.alias("k1"), k2.alias("k2"))
+    met = rows.join(taken, (F.col("k1") == F.col("_a")) & (F.col("k2") == F.col("_b")))
+    # every copy alike, and once more where all are; the few left of a border group come from one of its copies
+    alike = F.col("epochs") + (F.col("extra") == F.col("copies")).cast("bigint")
+    border = (F.col("extra") > 0) & (F.col("extra") < F.col("copies"))
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("bigint"), n))
+    most_of = met.where(alike > 0).select("row", times(alike).alias("_n"))
+    rest = met.where(border).dropDuplicates(["k1", "k2"]).select("row", times(F.col("extra")).alias("_n"))
+    return most_of.unionAll(rest).select("row.*")

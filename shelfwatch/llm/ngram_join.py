@@ -260,5 +260,6 @@ def one_per_group(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFra
     placed = durable(members.join(ids, "k"))
     best = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")).alias("best"))
     gone = placed.join(best, "comp").where("k <> best.k").select(F.col("k").alias("_gone")).distinct()
-    left = docs.withColumn(mark, key).join(gone, F.col(mark) == F.col("_gone"), "left_anti").drop(mark)
+    marked = docs.withColumn(mark, key)
+    left = marked.join(gone, marked[mark] == gone["_gone"], "left_anti").drop(mark)
     return left.dropDuplicates(["doc_id", "text"])

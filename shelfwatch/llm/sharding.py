@@ -81,8 +81,10 @@ def shard(rows: DataFrame, shards: int = 8, seed: int = 2) -> DataFrame:
     The driver sees one count per written file, never rows.
     """
     rows = rows.drop("shard", "slot")
-    spark = rows.sparkSession
+    spark, columns = rows.sparkSession, rows.columns
     folder = f"{shared_dir(spark)}/shard-{uuid.uuid4().hex}"
+    # a column of this name would hide the files' own
+    rows = rows.withColumnsRenamed({c: f"{free_name(columns, '_own')}{k}" for k, c in enumerate(columns) if c.lower() == "_metadata"})
     rows.write.parquet(folder)
     names = {x: free_name(rows.columns, x) for x in ("_file", "_at", "_u", "_block")}
     file, at, u, block = names.values()
@@ -116,4 +118,4 @@ def shard(rows: DataFrame, shards: int = 8, seed: int = 2) -> DataFrame:
     starts = labels.groupBy("shard", block).agg(F.count(F.lit(1)).alias("n")).select("shard", block, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
     nth = F.row_number().over(W.partitionBy("shard", block).orderBy(u, file, at)) - 1
     slots = labels.withColumn("nth", nth).join(starts, ["shard", block]).select(file, at, "shard", (F.col("start") + F.col("nth")).alias("slot"))
-    return placed.join(slots, [file, at]).drop(file, at)
+    return placed.join(slots, [file, at]).drop(file, at).toDF(*columns, "shard", "slot")

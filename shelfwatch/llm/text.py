@@ -41,6 +41,11 @@ def grams(tokens: Column, k: int) -> Column:
     return let(tokens, hashes)
 
 
+def row_key(*columns: str, seed: int = 0) -> Column:
+    """A 64-bit hash in which a null is a value of its own (``xxhash64`` alone passes over nulls)."""
+    return F.xxhash64(F.lit(seed), *[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+
+
 def free_name(frame_columns: list[str], wanted: str) -> str:
     """``wanted``, or with underscores before it if the frame has such a column (names ignore case)."""
     taken = {c.lower() for c in frame_columns}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import durable
-from .text import LOWER, UPPER, grams, let, whole
+from .text import LOWER, UPPER, free_name, grams, let, row_key, whole
 
 WINDOW, GRAM = 10, 5
 # a word is letters, digits and anything beyond ASCII; the breaks are listed for the translation
@@ -83,29 +83,30 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         for m in lengths
     ]
     spark = docs.sparkSession
-    windows = spark.createDataFrame([], "len int, item string, span string, fp bigint")
+    windows = spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (("len", "int"), ("item", "string"), ("span", "string"), ("fp", "bigint"))])
     for part in parts:
         windows = windows.unionByName(part)
     windows = durable(windows.distinct())
-    prints = windows.select("len", "fp").distinct().unionByName(spark.range(1).select(F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("fp")))
+    prints = windows.select("len", "fp").distinct()
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), plain_words(whole("text")).alias("w"))
-    # every document carries one print of length 0, which always joins, so all of them are counted here
-    own = [F.array(F.struct(F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("fp")))]
-    own += [F.transform(F.array_distinct(window_minima(F.col("w"), m)), _with_length(m)) for m in lengths]
-    seen = keyed.select("doc_id", "k1", "k2", F.size("w").alias("n_words"), F.explode(F.concat(*own)).alias("p"))
-    met = seen.select("doc_id", "k1", "k2", "n_words", "p.len", "p.fp").join(prints, ["len", "fp"])
-    marks = F.when(F.col("len") > 0, F.struct("len", "fp"))
-    found = durable(met.groupBy("doc_id", "k1", "k2", "n_words").agg(
-        F.count_if(F.col("len") == 0).alias("copies"), F.collect_set(marks).alias("marks")
-    ))
+    own = [F.transform(F.array_distinct(window_minima(F.col("w"), m)), _with_length(m)) for m in lengths]
+    own = own or [F.array().cast("array<struct<len:int,fp:bigint>>")]
+    seen = keyed.select("doc_id", "k1", "k2", F.explode(F.concat(*own)).alias("p"))
+    met = seen.select("doc_id", "k1", "k2", "p.len", "p.fp").join(prints, ["len", "fp"])
+    marks = met.groupBy("doc_id", "k1", "k2").agg(F.collect_set(F.struct("len", "fp")).alias("marks"))
+    # documents are counted beside that join, copies reduced before the shuffle
+    every = keyed.groupBy("doc_id", "k1", "k2", F.size("w").alias("n_words")).agg(F.count(F.lit(1)).alias("copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2"))
+    named_marks = marks.select(F.col("doc_id").alias("_i"), F.col("k1").alias("_1"), F.col("k2").alias("_2"), "marks")
+    found = durable(every.join(named_marks, same, "left").drop("_i", "_1", "_2"))
 
     suspects = found.where(F.size("marks") > 0).select(F.col("doc_id").alias("s_id"), F.col("k1").alias("s1"), F.col("k2").alias("s2"), "marks")
     texts = docs.join(suspects, docs["doc_id"].eqNullSafe(suspects["s_id"]) & (F.xxhash64(docs["text"]) == suspects["s1"]) & (F.xxhash64(F.lit(1), docs["text"]) == suspects["s2"]))
     texts = texts.select("s_id", "s1", "s2", "marks", plain_words(whole("text")).alias("w"))
     spans = [_extended(texts, m) for m in lengths]
-    hits = spark.createDataFrame([], "s_id bigint, s1 bigint, s2 bigint, len int, start int, span string")
-    hits = hits.withColumn("s_id", F.col("s_id").cast(dict(docs.dtypes)["doc_id"]))
+    kinds = (("s_id", dict(docs.dtypes)["doc_id"]), ("s1", "bigint"), ("s2", "bigint"), ("len", "int"), ("start", "int"), ("span", "string"))
+    hits = spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in kinds])
     for part in spans:
         hits = hits.unionByName(part)
     true = durable(hits.join(windows.select("len", "span").distinct(), ["len", "span"]).distinct())
@@ -113,8 +114,9 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     covered = true.groupBy(*key).agg(F.collect_set(F.struct("start", "len")).alias("at")).select(
         *key, F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))).alias("n_hit")
     )
-    named = true.select(*key, "len", "span").distinct().join(windows.select("len", "span", "item").distinct(), ["len", "span"])
-    listed = named.groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    of_span = windows.groupBy("len", "span").agg(F.collect_set("item").alias("of"))
+    named = true.select(*key, "len", "span").distinct().join(of_span, ["len", "span"])
+    listed = named.groupBy(*key).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"))
     out = found
     for side in (covered, listed):
         side = side.select(F.col("s_id").alias("_i"), F.col("s1").alias("_1"), F.col("s2").alias("_2"), side.columns[-1])
@@ -129,8 +131,9 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that no item's window occurs in, columns as they were; equal rows share their fate."""
-    key = F.xxhash64("doc_id", "text")
-    ids = docs.select(key.alias("doc_id"), "text")
-    hit = decontaminate(ids, items).where("contaminated").select(F.col("doc_id").alias("_k")).distinct()
-    return docs.withColumn("_key", key).join(hit, F.col("_key") == F.col("_k"), "left_anti").select(*docs.columns)
+    """The documents that no item's window occurs in, columns as they were, whatever their names; equal rows share their fate."""
+    key = row_key("doc_id", "text")
+    hit = decontaminate(docs.select(key.alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
+    mark = free_name(docs.columns, "_key")
+    marked = docs.withColumn(mark, key)
+    return marked.join(hit, marked[mark] == hit["_gone"], "left_anti").select(*[marked[c] for c in docs.columns])

@@ -227,3 +227,70 @@ def test_perfect_hash():
 def test_registered_sql(spark, sf_dir, name):
     ours, theirs, only_ours, only_theirs = compare(queries.queries()[name](spark, sf_dir), duck(sf_dir), queries.oracle_sql()[name])
     assert (ours, only_ours, only_theirs) == (theirs, [], [])
+
+
+CLASHING = ("_key", "_k", "_k1", "_times", "_again", "_out", "y", "_metadata", "_gone", "_left", "row", "k1", "copies", "_a")
+
+
+def test_stages_keep_rows_and_columns_of_any_name(spark, odd):
+    import corpus_pipeline
+    from shelfwatch.llm import line_spread, sharding
+
+    docs = odd.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for c in CLASHING})
+    given = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        got = [tuple(r) for r in out.collect()]
+        assert got and set(got) <= given, name
+    docs = docs.drop("shard")
+    out = sharding.shard(docs, 3)
+    assert out.columns == [*docs.columns, "shard", "slot"]
+    assert Counter(tuple(r)[:-2] for r in out.collect()) == Counter(tuple(r) for r in docs.collect())
+    assert line_spread.line_dedup(docs).columns == [*docs.columns, "n_lines", "n_removed"]
+
+
+def test_mixed_documents_are_what_the_mix_decided(spark):
+    from shelfwatch.llm import mixing
+
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(20 + i % 30))
+    rows = [(i, text(i), "A") for i in range(30)] + [(None, text(i), s) for s in ("A", "B", None) for i in range(4)] + [(99, text(5), "B")] * 25 + [(7, None, "B"), (8, "", "A")]
+    docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id bigint, text string, source string, extra int").repartition(3)
+    decided = Counter()
+    for r in mixing.mix(docs).collect():
+        decided[r.doc_id, r.size, r.source] += r.times
+    given = Counter((r.doc_id, len((r.text or "").split()), r.source) for r in mixing.mixed_documents(docs).collect())
+    assert given == Counter({k: n for k, n in decided.items() if n})
+    for source in ("A", "B", None):
+        target = next(r.target for r in mixing.mix(docs).collect() if r.source == source)
+        assert abs(sum(k[1] * n for k, n in given.items() if k[2] == source) - target) <= 25
+
+
+def test_ids_come_back_as_they_were(spark, sf_dir):
+    from shelfwatch.llm import cotraining, langid, licences
+
+    ids = [None, BIG + 1, BIG + 3, -5, 2**63 - 1]
+    docs = spark.createDataFrame([(i, "the cat sat on the mat and the dog ran", "en", "a.example", 40) for i in ids], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for got in (licences.licence_scan(docs), langid.identify(langid.document_evidence(docs)).withColumnRenamed("id", "doc_id"), cotraining.quality_scores(docs, labels)):
+        assert Counter(r.doc_id for r in got.collect()) == Counter(ids) and got.schema["doc_id"].dataType.typeName() == "long"
+
+
+def test_cotraining_against_one_process(spark, sf_dir):
+    from shelfwatch.llm import cotraining
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.withColumn("y", F.lit("of its own")).union(docs.limit(3).withColumn("y", F.lit("again")))
+    got = {r.doc_id: r for r in cotraining.quality_scores(docs, labels).collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in rows and r.quality is not None}
+    views = lambda ids: (np.stack([cotraining.text_features(rows[i].text) for i in ids]), np.stack([cotraining.meta_features(rows[i].lang, rows[i].source, float(rows[i].n_chars)) for i in ids]))
+    known = sorted(y, key=str)
+    known = [known[k] for k in np.random.default_rng(10).permutation(len(known))]
+    rest = [r.doc_id for r in docs.collect() if r.doc_id not in y]  # repeated rows count each
+    pool = views(rest)
+    model = cotraining.co_train(*views(known), np.array([float(y[i]) for i in known]), lambda teachers, weights: cotraining.pool_sums(pool, teachers, weights))
+    for i, (t, m) in zip(rows, zip(*views(list(rows)), strict=True), strict=True):
+        odds = [s[0] * (x @ model[v][:-1] + model[v][-1]) + s[1] for x, v, s in zip((t, m), ("text", "meta"), model["scales"], strict=True)]
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, odds[0] + odds[1] - model["prior"])))), abs=1e-5)
+    assert len(rest) > len(known) / 2
