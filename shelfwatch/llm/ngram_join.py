@@ -21,7 +21,7 @@ Large groups of near copies are not expanded into all pairs: in each round the d
 that still has several classes are compared with a few leaders (the one with fewest tokens of its own
 first, then one of the token's first and last class and one by hash), linked ones share a class from
 then on, and pairs within one class are never compared: they are connected by links already found.
-Rounds go on while they find links. The last step compares every remaining pair of different classes
+A round is made while the one before found links, at most two of them. The last step compares every remaining pair of different classes
 that shares a kept token, once, at the first token that both kept, so no link between different
 classes is lost. Components are those of all links together.
 """
@@ -36,7 +36,7 @@ from ..plans.shared import durable
 from .graph import components, written
 from .text import free_name, grams, let, whole, words
 
-MOST_ROUNDS = 6  # what they leave, however much, the last step compares
+ROUNDS = 2  # what they leave, however much, the last step compares
 BITMAP_ROWS = 1 << 16
 PARITY_WORDS = 8
 PARITY = [f"b{k}" for k in range(PARITY_WORDS)]
@@ -107,10 +107,11 @@ def _kept_tokens(rows: DataFrame, percent: int) -> DataFrame:
 
     Documents are counted, copies included: any count of a token serves as a global order.
     """
-    tokens = rows.select("node", F.explode("ext").alias("tok"))
-    shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    found = tokens.join(shared, "tok").distinct()
-    sizes = rows.where("n > 0").select("node", "n").distinct()
+    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("ext").alias("ext"), F.count(F.lit(1)).alias("copies"))
+    tokens = nodes.select("node", "copies", F.explode("ext").alias("tok"))
+    shared = tokens.groupBy("tok").agg(F.sum("copies").alias("df")).where("df > 1")
+    found = tokens.drop("copies").join(shared, "tok")
+    sizes = nodes.select("node", "n")
     least_shared = _promised(_needed(F.col("n"), percent), percent)  # with the smallest partner
     longer = _longer(F.col("n"), percent)
     by = W.partitionBy("node")
@@ -228,12 +229,12 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 
     links = _verified(_leader_pairs(state, 0, percent), sets, percent)
     found, step = links, 1
-    while step < MOST_ROUNDS and not found.isEmpty():
+    while step < ROUNDS and not found.isEmpty():
         state = _merged(state, found)
         found = _verified(_leader_pairs(state, step, percent), sets, percent)
         links, step = links.unionAll(found), step + 1
-    state = _of_several(state) if found.isEmpty() else _merged(state, found)
-    links = links.unionAll(_verified(_rest_pairs(durable(state), percent), sets, percent))
+    state = durable(_of_several(state)) if found.isEmpty() else _merged(state, found)
+    links = links.unionAll(_verified(_rest_pairs(state, percent), sets, percent))
 
     comp = components(links).withColumnRenamed("root", "comp")
     placed = durable(rows.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp")))
