@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.scalars import role_or_unknown
 
 COUNTERS = ("fetched", "cached", "skipped", "saved", "events")
 
@@ -43,6 +44,20 @@ def cycle_report(attempts: DataFrame, versions: DataFrame, cycle: str = "cycle_i
     return merged.select("*", *[F.sum(c).over(so_far).alias(f"{c}_total") for c in COUNTERS])
 
 
+def cycle_results(attempts: DataFrame, targets: DataFrame, cycle: str = "cycle_id") -> DataFrame:
+    """What each attempt of a cycle brought for its target: item, role, ok, and why not.
+
+    The rows behind a report's counters; its events are the change events of the cycle, its health the
+    health report at the cycle's end.
+    """
+    known = targets.select("item_id", "role")
+    ok = F.col("outcome") == "ok"
+    began = F.substring(F.coalesce(F.col("body"), F.lit("")), 1, V.AUDIT_BODY_CHARS)
+    message = F.when(ok, "").otherwise(F.concat_ws(":", "outcome", began))
+    met = attempts.join(known, "item_id", "left")
+    return met.select(cycle, "item_id", role_or_unknown(F.col("role")).alias("role"), "source_id", "seq", "ts", ok.alias("ok"), message.alias("msg"))
+
+
 def cycle_stats(report: DataFrame, cycle: str = "cycle_id") -> DataFrame:
     """The counters of a report, per cycle and cumulative."""
     return report.select(cycle, *COUNTERS, *[f"{c}_total" for c in COUNTERS])

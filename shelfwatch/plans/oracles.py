@@ -342,6 +342,9 @@ ORACLES["appended_tables"] = f"""WITH {_EVENTS}, {_OUTCOME}
  SELECT 'snapshot' AS kind, CAST(item_id AS VARCHAR) AS key, seq, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS at, listing_status AS what FROM kept
  UNION ALL SELECT 'event', CAST(item_id AS VARCHAR), seq, strftime(fetched_at, '%Y-%m-%d %H:%M:%S'), concat(field, ':', severity) FROM chg
  UNION ALL SELECT 'audit', source_id, seq, strftime(ts, '%Y-%m-%d %H:%M:%S'), concat('fail:', outcome) FROM attempts WHERE outcome <> 'ok'"""
+ORACLES["cycle_results"] = f"""WITH {_OUTCOME}, targets AS ({_TARGETS})
+ SELECT strftime(ts, '%Y-%m-%d') AS cycle_id, a.item_id, coalesce(nullif(t.role, ''), 'unknown') AS role, source_id, seq, outcome = 'ok' AS ok,
+ CASE WHEN outcome = 'ok' THEN '' ELSE concat(outcome, ':', substr(coalesce(body, ''), 1, 160)) END AS msg FROM attempts a LEFT JOIN targets t ON a.item_id = t.item_id"""
 _LEFT = "count(*) FILTER (WHERE old) AS deleted, count(*) FILTER (WHERE NOT old) AS left_rows, CAST(sum(seq) FILTER (WHERE NOT old) AS BIGINT) AS left_seq"
 _OLD = "seq, fetched_at < TIMESTAMP '2001-11-04' - INTERVAL 180 DAY AS old"
 ORACLES["retention_at_rest"] = f"""WITH {_EVENTS} SELECT 'snapshots' AS kind, {_LEFT} FROM (SELECT {_OLD} FROM kept)

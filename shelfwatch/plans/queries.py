@@ -36,6 +36,9 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.dir = spark, sf_dir
+        # for tables of a few row groups, see ``tables.table``; the caller sets it, no size decides
+        asked = spark.conf.get("shelfwatch.partitions", None)
+        self.partitions = int(asked) if asked else None
 
     # ---- items ----
     @cached_property
@@ -80,7 +83,7 @@ class Inputs:
     # ---- fetch log ----
     @cached_property
     def log(self) -> DataFrame:
-        return tables.fetch_log(self.spark, self.dir)
+        return tables.fetch_log(self.spark, self.dir, self.partitions)
 
     @cached_property
     def log_positions(self) -> DataFrame:
@@ -158,7 +161,7 @@ class Inputs:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return responses.parse_response(tables.responses(self.spark, self.dir)).drop("response")
+        return responses.parse_response(tables.responses(self.spark, self.dir, self.partitions)).drop("response")
 
 
 Query = Callable[[Inputs], DataFrame]
@@ -357,7 +360,7 @@ def expired_counts(i: Inputs) -> DataFrame:
 # ---- payloads, declarations, snapshots ----
 @query
 def normalize_items(i: Inputs) -> DataFrame:
-    return _records_of(payloads.normalize_items(tables.payloads(i.spark, i.dir)))
+    return _records_of(payloads.normalize_items(tables.payloads(i.spark, i.dir, i.partitions)))
 
 
 def _records_of(rec: DataFrame) -> DataFrame:
@@ -371,7 +374,7 @@ def _records_of(rec: DataFrame) -> DataFrame:
 def normalize_stored_items(i: Inputs) -> DataFrame:
     """Payloads parsed once when they are stored, and normalised from there."""
     folder = jobs.work_folder(i.spark, "payloads")
-    payloads.parsed(tables.payloads(i.spark, i.dir)).write.parquet(folder)
+    payloads.parsed(tables.payloads(i.spark, i.dir, i.partitions)).write.parquet(folder)
     return _records_of(payloads.normalize_items(i.spark.read.parquet(folder)))
 
 
@@ -381,7 +384,7 @@ def normalize_routed(i: Inputs) -> DataFrame:
     known = payloads.Normalisers()
     known.register("bare_item", lambda payload, asked: payloads.item_record(F.concat(F.lit('{"item":'), payload, F.lit("}")), asked))
     bare = F.col("seq") % 2 == 1
-    sent = tables.payloads(i.spark, i.dir).withColumns({
+    sent = tables.payloads(i.spark, i.dir, i.partitions).withColumns({
         "adapter": F.when(bare, "bare_item").otherwise("item_payload"),
         "payload": F.when(bare, F.substring("payload", F.lit(9), F.length("payload") - 9)).otherwise(F.col("payload")),
     })
@@ -395,7 +398,7 @@ def checked_declarations(i: Inputs) -> DataFrame:
 
 @query
 def unwrap_envelope(i: Inputs) -> DataFrame:
-    return payloads.unwrap_envelope(tables.envelopes(i.spark, i.dir))
+    return payloads.unwrap_envelope(tables.envelopes(i.spark, i.dir, i.partitions))
 
 
 @query
@@ -453,7 +456,7 @@ def event_actions(i: Inputs) -> DataFrame:
 
 @query
 def parse_events_json(i: Inputs) -> DataFrame:
-    return responses.parse_events_json(tables.event_documents(i.spark, i.dir)).select(
+    return responses.parse_events_json(tables.event_documents(i.spark, i.dir, i.partitions)).select(
         "seq", "asked", "pos", "item_id", "role", "field", "old_num", "new_num", "category"
     )
 
@@ -528,12 +531,12 @@ def q_request_dedupe(i: Inputs) -> DataFrame:
 
 @query
 def classify_response(i: Inputs) -> DataFrame:
-    return fetchlog.with_response_class(tables.http_answers(i.spark, i.dir)).select("seq", "anomaly")
+    return fetchlog.with_response_class(tables.http_answers(i.spark, i.dir, i.partitions)).select("seq", "anomaly")
 
 
 @query
 def classify_response_mended(i: Inputs) -> DataFrame:
-    answers = tables.http_answers(i.spark, i.dir)
+    answers = tables.http_answers(i.spark, i.dir, i.partitions)
     return fetchlog.with_response_class(answers, fix_rate_codes=True).select("seq", "anomaly")
 
 
@@ -626,6 +629,12 @@ def cycle_stats(i: Inputs) -> DataFrame:
     return cycles.cycle_stats(i.cycle_report)
 
 
+@query
+def cycle_results(i: Inputs) -> DataFrame:
+    attempts = i.attempts.withColumn("cycle_id", cycles.cycle_of(F.col("ts")))
+    return cycles.cycle_results(attempts, i.targets).drop("ts")
+
+
 @query
 def cycle_report(i: Inputs) -> DataFrame:
     return i.cycle_report.select("cycle_id", "fetched", "saved", "events", "top_severity", "elapsed_ms", "results")

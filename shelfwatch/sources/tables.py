@@ -60,12 +60,19 @@ FROM (
 """
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """One of the given tables; dealt to ``partitions`` if given.
 
+    A table of many files or row groups needs no such thing: its scan has tasks enough. One of a single row
+    group is read by one task, and costly work per row (JSON, URLs) then runs in that task alone unless the
+    caller, who knows the layout, asks for more.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows if partitions is None else rows.repartition(partitions)
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RECORDS_SQL, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
+
+def records(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    return spark.sql(RECORDS_SQL, lineitem=table(spark, sf_dir, "lineitem", partitions), part=table(spark, sf_dir, "part"))
 
 
 def record_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +88,8 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TARGETS_SQL, part=table(spark, sf_dir, "part"))
 
 
-def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FETCH_LOG_SQL, events=table(spark, sf_dir, "events"))
+def fetch_log(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    return spark.sql(FETCH_LOG_SQL, events=table(spark, sf_dir, "events", partitions))
 
 
 # sources: suppliers with the policy columns a fetch source declares
@@ -177,21 +184,21 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DECLARATIONS_SQL, supplier=table(spark, sf_dir, "supplier"))
 
 
-def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PAYLOADS_SQL, records=records(spark, sf_dir))
+def payloads(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    return spark.sql(PAYLOADS_SQL, records=records(spark, sf_dir, partitions))
 
 
-def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ENVELOPES_SQL, payloads=payloads(spark, sf_dir))
+def envelopes(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    return spark.sql(ENVELOPES_SQL, payloads=payloads(spark, sf_dir, partitions))
 
 
-def http_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(HTTP_SQL, events=table(spark, sf_dir, "events"))
+def http_answers(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    return spark.sql(HTTP_SQL, events=table(spark, sf_dir, "events", partitions))
 
 
-def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(EVENT_DOCUMENTS_SQL, records=records(spark, sf_dir))
+def event_documents(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    return spark.sql(EVENT_DOCUMENTS_SQL, records=records(spark, sf_dir, partitions))
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RESPONSES_SQL, records=records(spark, sf_dir))
+def responses(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    return spark.sql(RESPONSES_SQL, records=records(spark, sf_dir, partitions))
