@@ -4,11 +4,13 @@ Per document a vector of transformed text statistics; per language and source a
 covariance of those vectors; a document is rejected if its squared Mahalanobis distance is beyond
 ``CUTOFF``. Everything is DataFrame code over one narrow row per document.
 
-The estimate is a deterministic FAST-MCD: start from coordinate-wise medians and absolute
-deviations, then repeat concentration steps (mean and covariance of the ``HALF`` share of rows that
-are nearest, then new distances). Each step is two aggregations per group, combined before the
-shuffle, so a group of any size is no single task's work. Estimates are made at
-three levels: language and source, all rows of a language, all rows. A row is judged by the finest
+The estimate is a deterministic FAST-MCD: from two starts (coordinate-wise medians and absolute
+deviations; the same with the covariance of the rows' directions) concentration steps are repeated
+(mean and covariance of the nearer ``HALF`` of the rows, then new distances) until no group's
+determinant falls any more. Each group keeps the start with the smaller determinant, and is estimated
+once more from all rows within ``INNER`` of it. Half of a group may be junk, alike or not. Each step is
+two aggregations per group, combined before the shuffle, so a group of any size is no single task's
+work; groups that have converged go on unchanged. Estimates are made at three levels: language and source, all rows of a language, all rows. A row is judged by the finest
 level at which ``LEAST_ROWS`` rows enter the fit, or else by all rows. Covariances get a ridge
 of ``FLOOR`` squared per statistic, so constant statistics are no division by zero and tiny
 differences no outliers.
@@ -24,13 +26,15 @@ from .text import SPACES, grams, let, whole, words
 
 STATS = ("size", "word_len", "symbols", "dup_lines", "repeats")
 FLOOR = {"size": 0.35, "word_len": 0.06, "symbols": 0.05, "dup_lines": 0.15, "repeats": 0.15}
-HALF = 0.75
-STEPS = 3
+HALF = 0.5
+MOST_STEPS = 12
 LEAST_ROWS = 50
 # chi-square with 5 degrees of freedom exceeds this for about one in 10^6 normal rows
 CUTOFF = 35.0
-# makes the covariance of the nearest 75 % of normal rows that of all: 0.75 / P(chi2 with 7 degrees < its 5-degree 75 % point)
-CONSISTENCY = 0.75 / 0.530
+# chi-square with 5 degrees of freedom: half of normal rows are within 4.351, 97.5 % within 12.833
+INNER = 12.833
+# what makes the covariance of the rows within those distances that of all: their share over that of 7 degrees
+HALF_FACTOR, INNER_FACTOR = 0.5 / 0.2615, 0.975 / 0.9237
 
 
 def repeated_positions(tokens: Column) -> Column:
@@ -105,7 +109,8 @@ def _distance(rows: DataFrame) -> Column:
 
 
 def _whitened(moments: DataFrame) -> DataFrame:
-    """Group means and covariances -> ``grp``, ``m_*`` and ``inv``, the inverse of the covariance's Cholesky factor."""
+    """Group means and covariances -> ``grp``, ``m_*``, ``inv``, the inverse of the covariance's Cholesky
+    factor, and ``logdet``, the logarithm of its determinant."""
     p = len(STATS)
     frame, chol, inv = moments, {}, {}
     for i in range(p):
@@ -129,7 +134,8 @@ def _whitened(moments: DataFrame) -> DataFrame:
             inv[i, j] = f"i_{i}_{j}"
             frame = frame.withColumn(inv[i, j], value)
     rows = F.array(*[F.col(inv[i, j]) if j <= i else F.lit(0.0) for i in range(p) for j in range(p)])
-    return frame.select("grp", *[f"m_{x}" for x in STATS], rows.alias("inv"))
+    logdet = 2 * sum((F.log(chol[i, i]) for i in range(1, p)), F.log(chol[0, 0]))
+    return frame.select("grp", *[f"m_{x}" for x in STATS], rows.alias("inv"), logdet.alias("logdet"))
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -143,22 +149,54 @@ def _start(rows: DataFrame) -> DataFrame:
     return off.select("grp", *[f"m_{x}" for x in STATS], F.array(*[spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)]).alias("inv"))
 
 
-def robust_estimates(rows: DataFrame) -> DataFrame:
-    """(grp, m_*, inv) per group of ``rows`` (grp and the statistics): the MCD centre and whitening."""
-    estimate = durable(_start(rows))
-    for _ in range(STEPS):
+def _moments(rows: DataFrame, factor: float) -> DataFrame:
+    """Mean and covariance of each group's rows, times ``factor``, with the ridge."""
+    p = len(STATS)
+    means = [F.avg(x).alias(f"m_{x}") for x in STATS]
+    covs = [
+        (F.covar_pop(STATS[i], STATS[j]) * factor + (FLOOR[STATS[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i, p)
+    ]
+    return _whitened(rows.groupBy("grp").agg(*means, *covs))
+
+
+def _directions(rows: DataFrame, start: DataFrame) -> DataFrame:
+    """The other start: the centre of ``start``, and the covariance of the rows' directions from it."""
+    met = rows.join(start, "grp").withColumn("d2", _distance(rows))
+    length = F.sqrt(F.greatest("d2", F.lit(1e-12)))
+    apart = met.select("grp", *[f"m_{x}" for x in STATS], *[((F.col(x) - F.col(f"m_{x}")) / length).alias(x) for x in STATS])
+    p = len(STATS)
+    # the mean of the products times the number of statistics is the scatter of normal rows
+    covs = [
+        (F.avg(F.col(STATS[i]) * F.col(STATS[j])) * p + (FLOOR[STATS[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i, p)
+    ]
+    return _whitened(apart.groupBy("grp").agg(*[F.first(f"m_{x}").alias(f"m_{x}") for x in STATS], *covs))
+
+
+def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """Concentration steps from an estimate until no determinant falls any more."""
+    before = None
+    for _ in range(MOST_STEPS):
         far = rows.join(estimate, "grp").withColumn("d2", _distance(rows)).select("grp", "d2", *STATS)
         border = far.groupBy("grp").agg(F.percentile_approx("d2", HALF).alias("border"))
-        near = far.join(border, "grp").where("d2 <= border")
-        means = [F.avg(x).alias(f"m_{x}") for x in STATS]
-        p = len(STATS)
-        covs = [
-            (F.covar_pop(STATS[i], STATS[j]) * CONSISTENCY + (FLOOR[STATS[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i, p)
-        ]
-        estimate = durable(_whitened(near.groupBy("grp").agg(*means, *covs)))
+        estimate = durable(_moments(far.join(border, "grp").where("d2 <= border"), HALF_FACTOR))
+        if before is not None:
+            fell = estimate.join(before, "grp").where(F.col("logdet") < F.col("_was") - 1e-6)
+            if fell.isEmpty():
+                break
+        before = estimate.select("grp", F.col("logdet").alias("_was"))
     return estimate
 
 
+def robust_estimates(rows: DataFrame) -> DataFrame:
+    """(grp, m_*, inv, logdet) per group of ``rows`` (grp and the statistics): the reweighted MCD centre and whitening."""
+    start = durable(_start(rows))
+    ends = _concentrated(rows, start).unionByName(_concentrated(rows, durable(_directions(rows, start))))
+    every = F.struct(*[f"m_{x}" for x in STATS], "inv", "logdet")
+    best = durable(ends.groupBy("grp").agg(F.min_by(every, "logdet").alias("_e")).select("grp", "_e.*"))
+    near = rows.join(best, "grp").where(_distance(rows) <= INNER).select("grp", *STATS)
+    return durable(_moments(near, INNER_FACTOR))
+
+
 def quality_outliers(docs: DataFrame, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """One row per document of ``doc_id, text, lang, source``: base counts, base_failed, distance, kept.
 

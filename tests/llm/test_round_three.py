@@ -294,3 +294,65 @@ def test_cotraining_against_one_process(spark, sf_dir):
         odds = [s[0] * (x @ model[v][:-1] + model[v][-1]) + s[1] for x, v, s in zip((t, m), ("text", "meta"), model["scales"], strict=True)]
         assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, odds[0] + odds[1] - model["prior"])))), abs=1e-5)
     assert len(rest) > len(known) / 2
+
+
+@pytest.mark.parametrize("share", [0.2, 0.3, 0.4])
+def test_outliers_withstand_alike_junk(spark, share):
+    from shelfwatch.llm import outliers
+
+    def plain(i):
+        return " ".join(f"w{(i * 7 + k * k) % 997}" for k in range(80 + i % 40))
+
+    def junk(i):
+        return " ".join(f"###w{(i * 5 + k * k) % 991}***" for k in range(100 + i % 9))
+
+    n = int(200 * share)
+    rows = [(i, plain(i), "en", "s") for i in range(200 - n)] + [(1000 + i, junk(i), "en", "s") for i in range(n)]
+    got = outliers.quality_outliers(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in got if r.kept} == set(range(200 - n))
+
+
+def plain_mcd(x, floor, steps=60):
+    """The same estimate of one group in numpy."""
+    from shelfwatch.llm import outliers
+
+    ridge = np.diag(np.square(floor))
+    low_median = lambda v: np.sort(v, axis=0)[(len(v) + 1) // 2 - 1]
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    middle = low_median(x)
+    spread = np.diag((1.4826 * low_median(np.abs(x - middle))) ** 2) + ridge
+    z = (x - middle) / np.sqrt(np.maximum(distance(middle, spread), 1e-12))[:, None]
+    ends = []
+    for m, c in ((middle, spread), (middle, z.T @ z / len(x) * x.shape[1] + ridge)):
+        before = np.inf
+        for _ in range(steps):
+            d = distance(m, c)
+            near = x[d <= np.sort(d)[(len(d) + 1) // 2 - 1]]
+            m, c = near.mean(axis=0), np.cov(near.T, bias=True) * outliers.HALF_FACTOR + ridge
+            now = np.linalg.slogdet(c)[1]
+            if now >= before - 1e-6:
+                break
+            before = now
+        ends.append((now, m, c))
+    _, m, c = min(ends, key=lambda e: e[0])
+    near = x[distance(m, c) <= outliers.INNER]
+    m, c = near.mean(axis=0), np.cov(near.T, bias=True) * outliers.INNER_FACTOR + ridge
+    return distance(m, c)
+
+
+def test_outlier_distances_against_numpy(spark):
+    from shelfwatch.llm import outliers
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for group, n in (("a", 120), ("b", 301), ("c", 64)):
+        x = rng.standard_normal((n, 5)) @ rng.standard_normal((5, 5))
+        x[: n // 3] += 9
+        rows += [(group, *map(float, v)) for v in x]
+    frame = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{c} double" for c in outliers.STATS)).repartition(3).cache()
+    estimate = outliers.robust_estimates(frame)
+    got = frame.join(estimate, "grp").withColumn("d", outliers._distance(frame)).collect()
+    for group in "abc":
+        mine = sorted((tuple(r[c] for c in outliers.STATS), r.d) for r in got if r.grp == group)
+        want = plain_mcd(np.array([k for k, _ in mine]), [outliers.FLOOR[c] for c in outliers.STATS])
+        assert [d for _, d in mine] == pytest.approx(want, rel=1e-6)
