@@ -40,10 +40,11 @@ def with_category(events: DataFrame) -> DataFrame:
 
 
 def action_templates(spark) -> DataFrame:
-    return spark.createDataFrame(list(V.ACTION_TEMPLATES), "category string, action string")
+    entry = lambda t: F.struct(F.lit(t[0]).alias("category"), F.lit(t[1]).alias("action"))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*[entry(t) for t in V.ACTION_TEMPLATES])))
 
 
 def with_action(events: DataFrame, templates: DataFrame) -> DataFrame:
-    """Standard action per category (a dozen rows, hence the broadcast); no category means human review."""
-    joined = events.join(F.broadcast(templates), "category", "left")
+    """Standard action per category; no category means human review. Spark picks the join by the templates' size."""
+    joined = events.join(templates, "category", "left")
     return joined.withColumn("action", F.coalesce("action", F.lit(V.CATEGORY_FOR_REVIEW)))

@@ -253,7 +253,7 @@ ORACLES: dict[str, str] = {
  SELECT CASE WHEN item_id % 10 = 0 THEN concat('SAMPLE-', item_id) ELSE CAST(item_id AS VARCHAR) END AS item_id, role,
  CASE WHEN item_id % 10 = 0 OR chosen IS NULL THEN sample ELSE chosen END AS source_id FROM targets, one""",
     "ttl_clamp": f"WITH src AS ({_SOURCES}) SELECT source_id, dedupe_ttl_seconds, least(dedupe_ttl_seconds, 1800) AS ttl_seconds FROM src",
-    "to_snapshot": f"""WITH {_RECORDS} SELECT item_id, source_id, seq, title, price, stock, rating, CAST(64 AS INTEGER) AS fp_chars, original_price AS payload_original_price,
+    "to_snapshot": f"""WITH {_RECORDS} SELECT item_id, source_id, seq, title, price, stock, rating, CAST(64 AS INTEGER) AS fp_chars, min(seq) OVER (PARTITION BY {_CONTENT}) AS first_seq, original_price AS payload_original_price,
  concat('sku-', item_id, '-b,sku-', item_id, '-a') AS payload_skus FROM f1""",
     "events_with_role": f"WITH {_ROLED} SELECT item_id, seq, field, role, priority FROM roled",
     "event_category": f"WITH {_ROLED} SELECT item_id, seq, field, role, {_category('role', 'field', 'new_value', 'old_num', 'new_num')} AS category FROM roled",

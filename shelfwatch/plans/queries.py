@@ -429,10 +429,13 @@ def ttl_clamp(i: Inputs) -> DataFrame:
 
 @query
 def to_snapshot(i: Inputs) -> DataFrame:
-    snap = sinks.to_snapshot(versions.with_content_fp(i.records))
+    """Equal contents, and no others, share a fingerprint: it names the content's smallest ``seq``."""
+    stored = sinks.to_snapshot(versions.with_content_fp(i.records))
+    smallest = stored.groupBy("item_id", "content_fp").agg(F.min("seq").alias("first_seq"))
+    snap = stored.join(smallest, ["item_id", "content_fp"])
     back = F.from_json("payload", "original_price double, sku_list array<string>, title string")
     return snap.select(
-        "item_id", "source_id", "seq", "title", "price", "stock", "rating", F.length("content_fp").alias("fp_chars"),
+        "item_id", "source_id", "seq", "title", "price", "stock", "rating", F.length("content_fp").alias("fp_chars"), "first_seq",
         back["original_price"].alias("payload_original_price"), F.array_join(back["sku_list"], ",").alias("payload_skus"),
     )
 
