@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 again for the next. All but the last return the columns of documents.
 
 The results depend on trained models, hashes and random draws, so SQL cannot express them
-(``ORACLE_SQL`` is None); tests/llm checks each stage against brute force.
+(``ORACLE_SQL`` is None). tests/llm holds near duplicates and decontamination against brute force, the
+mix given against the mix decided, and the shards' sizes and slots; of the language stage it only checks
+that rows come out as they went in.
 """
 
 from __future__ import annotations
