@@ -11,7 +11,7 @@ every filter below follows without loss.
 3. Order two is rarity (documents that have the token in their longer prefix). Of the longer prefix
    only the rarest tokens are kept, as many as needed for linked sets still to share one. Passages that
    many documents have are common and so fall off; tokens that one document has link nothing.
-4. A parity bitmap of the set (bit ``h mod 512`` flips with each token) bounds the difference from below:
+4. A parity bitmap of the set (bit ``h mod 256`` flips with each token) bounds the difference from below:
    the bits in which two bitmaps differ are at most ``|A ^ B|``, which links bound from above. Joins on
    tokens let only such pairs through, so a group of similar texts that do not link makes no pairs.
 5. Orders three and four are two other hashes: a candidate pair must also share a token of those
@@ -38,7 +38,9 @@ from .text import free_name, grams, let, whole, words
 
 ROUNDS = 2  # what they leave, however much, the last step compares
 BITMAP_ROWS = 1 << 16
-PARITY_WORDS = 8
+PARITY_WORDS = 4
+#: a token with this many nodes outside its largest class lets a pair out once, not at every such token
+MANY = 24
 PARITY = [f"b{k}" for k in range(PARITY_WORDS)]
 
 
@@ -136,8 +138,35 @@ def _maybe(docs: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     return met.where(F.expr("getbit(_bits, cast(_place & 63 as int)) = 1")).select(*docs.columns)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+class _Texts:
+    """The sets of wanted nodes, each made anew from one text that has it: sets are long and few are ever compared."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, percent: int):
+        self.docs, self.width, self.percent = docs.select("doc_id", "text"), width, percent
+        self.holders = durable(rows.select("doc_id", "node").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+
+    def of(self, nodes: DataFrame | None = None) -> DataFrame:
+        """(node, s) of the nodes, or of all; a node may come more than once."""
+        held = self.holders if nodes is None else durable(self.holders.join(nodes, "node"))
+        hashed = F.xxhash64("doc_id")
+        texts = _maybe(self.docs, hashed, held.select(hashed.alias("h")))
+        full = texts.select("doc_id", shingle_set(whole("text"), self.width).alias("s")).withColumn("node", F.xxhash64("s"))
+        met = full.join(held.select("node", F.col("doc_id").alias("_holder")), "node")
+        return met.where(F.col("doc_id").eqNullSafe(F.col("_holder"))).select("node", "s")
+
+    def bitmaps(self) -> DataFrame:
+        return self.of().select("node", *_parity(F.col("s"))).dropDuplicates(["node"])
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, s, p3, p4), once per node."""
+        other = [_hash_prefix(F.col("s"), seed, self.percent).alias(f"p{seed}") for seed in (3, 4)]
+        return durable(self.of(nodes).dropDuplicates(["node"]).select("node", "s", *other))
+
+
+def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
     """The pairs (a, b) of classes (ca, cb) that share prefix tokens under the other orders and whose sets link."""
+    pairs = written(pairs)
+    sets = texts.sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
     filters = sets.select("node", "p3", "p4")
     for side in ("a", "b"):
         pairs = pairs.join(filters.select(F.col("node").alias(side), F.col("p3").alias(f"{side}3"), F.col("p4").alias(f"{side}4")), side)
@@ -145,7 +174,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("s").alias(f"s{side}")), side)
     common = F.size(F.array_intersect("sa", "sb"))
-    return written(pairs.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b", "ca", "cb"))
+    linked = common * 100 >= (F.size("sa") + F.size("sb") - common) * texts.percent
+    return written(pairs.where(linked).select("a", "b", "ca", "cb"))
 
 
 def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
@@ -188,22 +218,25 @@ def _leader_pairs(state: DataFrame, round_no: int, percent: int) -> DataFrame:
 def _rest_pairs(state: DataFrame, percent: int) -> DataFrame:
     """Every pair of different classes that shares a token: one side is outside the token's largest class.
 
-    A pair comes out at the first of the tokens that both still have.
+    At tokens with ``MANY`` such nodes a pair comes out at the first of them that both have.
     """
-    mine = state.groupBy("node").agg(F.sort_array(F.collect_set("tok")).alias("toks"))
-    listed = state.join(mine, "node")
     sizes = state.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("m"))
-    most = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-    several = listed.join(most, "tok")
-    few = several.where("comp <> main").select(
-        "tok", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("main").alias("mainx"), F.col("toks").alias("toksx"), *[F.col(b).alias(f"x{b}") for b in PARITY]
-    )
+    most = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), (F.sum("m") - F.max("m")).alias("outside"))
+    several = durable(state.join(most, "tok").withColumn("many", F.col("outside") >= MANY).drop("own", "outside"))
+    crowded = several.where("many")
+    mine = crowded.groupBy("node").agg(F.sort_array(F.collect_set("tok")).alias("toks"))
+    return _met(several.where("NOT many").drop("many"), None, percent).unionAll(_met(crowded.drop("many").join(mine, "node"), "toks", percent)).distinct()
+
+
+def _met(several: DataFrame, listed: str | None, percent: int) -> DataFrame:
+    renamed = {"node": "x", "n": "nx", "comp": "cx", "main": "mainx", **{b: f"x{b}" for b in PARITY}}
+    few = several.where("comp <> main").withColumnsRenamed(renamed | ({listed: "listx"} if listed else {}))
     fits = (F.col("comp") != F.col("cx")) & _close(F.col("n"), F.col("nx"), [F.col(b) for b in PARITY], [F.col(f"x{b}") for b in PARITY], percent)
     # of two sides outside the largest class one order is enough
-    once = (F.col("comp") == F.col("mainx")) | (F.col("node") < F.col("x"))
-    first = F.array_min(F.array_intersect("toks", "toksx")) == F.col("tok")
-    met = several.select("tok", "node", "n", "comp", "toks", *PARITY).join(few, "tok").where(fits & once & first)
-    return _pairs(met, "x", "cx")
+    fits = fits & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("x")))
+    if listed:
+        fits = fits & (F.array_min(F.array_intersect(listed, "listx")) == F.col("tok"))
+    return _pairs(several.join(few, "tok").where(fits), "x", "cx")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -217,24 +250,17 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     kept = _kept_tokens(rows, percent)
     state = kept.select("tok", "node", "n", "own", F.col("node").alias("comp"))
 
-    wanted = state.select("node").distinct()
-    holders = durable(rows.select("doc_id", "node").join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    hashed = F.xxhash64("doc_id")
-    texts = _maybe(docs.select("doc_id", "text"), hashed, holders.select(hashed.alias("h")))
-    full = texts.select("doc_id", shingle_set(whole("text"), width).alias("s")).withColumn("node", F.xxhash64("s"))
-    full = full.join(holders.select("node", F.col("doc_id").alias("_holder")), "node").where(F.col("doc_id").eqNullSafe(F.col("_holder")))
-    other = [_hash_prefix(F.col("s"), seed, percent).alias(f"p{seed}") for seed in (3, 4)]
-    sets = durable(full.dropDuplicates(["node"]).select("node", "s", *other, *_parity(F.col("s"))))
-    state = durable(state.join(sets.select("node", *PARITY), "node"))
-
-    links = _verified(_leader_pairs(state, 0, percent), sets, percent)
+    texts = _Texts(docs, rows, state.select("node").distinct(), width, percent)
+    state = durable(state.join(texts.bitmaps(), "node"))
+
+    links = _verified(_leader_pairs(state, 0, percent), texts)
     found, step = links, 1
     while step < ROUNDS and not found.isEmpty():
         state = _merged(state, found)
-        found = _verified(_leader_pairs(state, step, percent), sets, percent)
+        found = _verified(_leader_pairs(state, step, percent), texts)
         links, step = links.unionAll(found), step + 1
     state = durable(_of_several(state)) if found.isEmpty() else _merged(state, found)
-    links = links.unionAll(_verified(_rest_pairs(state, percent), sets, percent))
+    links = links.unionAll(_verified(_rest_pairs(state, percent), texts))
 
     comp = components(links).withColumnRenamed("root", "comp")
     placed = durable(rows.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp")))
