@@ -8,9 +8,9 @@ every filter below follows without loss.
    linked sets share at least one of them under *any* global order.
 2. Order one is the hash itself. Its prefix is taken l(n) - 1 tokens longer with l = p / 2 rounded up, so
    linked sets share at least l of those tokens; only these are shuffled.
-3. Order two is rarity (documents that have the token in their longer prefix). Of the longer prefix
+3. Order two is rarity (distinct sets that have the token in their longer prefix). Of the longer prefix
    only the rarest tokens are kept, as many as needed for linked sets still to share one. Passages that
-   many documents have are common and so fall off; tokens that one document has link nothing.
+   many documents have are common and so fall off; tokens that one set has link nothing.
 4. A parity bitmap of the set (bit ``h mod 256`` flips with each token) bounds the difference from below:
    the bits in which two bitmaps differ are at most ``|A ^ B|``, which links bound from above. Joins on
    tokens let only such pairs through, so a group of similar texts that do not link makes no pairs.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.shared import durable
-from .graph import components, written
+from .graph import components, neighbourhoods, written
 from .text import free_name, grams, let, whole, words
 
 ROUNDS = 2  # what they leave, however much, the last step compares
@@ -105,14 +105,14 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _kept_tokens(rows: DataFrame, percent: int) -> DataFrame:
-    """(tok, node, n, own): the rarest tokens of each node's longer prefix that another document has too.
+    """(tok, node, n, own): the rarest tokens of each node's longer prefix that another node has too.
 
-    Documents are counted, copies included: any count of a token serves as a global order.
+    Nodes are counted, so copies are one: any count of a token serves as a global order.
     """
-    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("ext").alias("ext"), F.count(F.lit(1)).alias("copies"))
-    tokens = nodes.select("node", "copies", F.explode("ext").alias("tok"))
-    shared = tokens.groupBy("tok").agg(F.sum("copies").alias("df")).where("df > 1")
-    found = tokens.drop("copies").join(shared, "tok")
+    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("ext").alias("ext"))
+    tokens = nodes.select("node", F.explode("ext").alias("tok"))
+    shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    found = tokens.join(shared, "tok")
     sizes = nodes.select("node", "n")
     least_shared = _promised(_needed(F.col("n"), percent), percent)  # with the smallest partner
     longer = _longer(F.col("n"), percent)
@@ -179,16 +179,10 @@ def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
 
 
 def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
-    """The tokens' rows with classes after the links between them, without tokens of a single class."""
-    roots = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    moved = state.join(roots.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
-    return durable(_of_several(moved))
-
-
-def _of_several(state: DataFrame) -> DataFrame:
-    """The rows of tokens that nodes of different classes have: no others can bring a pair."""
-    several = state.groupBy("tok").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("tok")
-    return state.join(several, "tok").select("tok", "node", "n", "own", *PARITY, "comp")
+    """The tokens' rows with classes after the links between them."""
+    roots = neighbourhoods(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    moved = state.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
+    return durable(moved.select("tok", "node", "n", "own", *PARITY, F.coalesce("root", "comp").alias("comp")))
 
 
 def _pairs(met: DataFrame, other: str, other_class: str) -> DataFrame:
@@ -207,7 +201,8 @@ def _leader_pairs(state: DataFrame, round_no: int, percent: int) -> DataFrame:
     else:
         ends = F.struct(F.col("comp").alias("x"), by_hash.alias("y"))
         chosen = [F.min_by(here, ends), F.max_by(here, ends), F.min_by(here, by_hash)]
-    leaders = state.groupBy("tok").agg(*[c.alias(f"l{k}") for k, c in enumerate(chosen)])
+    leaders = state.groupBy("tok").agg(*[c.alias(f"l{k}") for k, c in enumerate(chosen)], F.min("comp").alias("_low"), F.max("comp").alias("_high"))
+    leaders = leaders.where("_low <> _high")  # a token of one class brings nothing
     met = state.join(leaders, "tok").select(
         "node", "n", "comp", *PARITY, F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(len(chosen))]))).alias("l")
     )
@@ -221,7 +216,7 @@ def _rest_pairs(state: DataFrame, percent: int) -> DataFrame:
     At tokens with ``MANY`` such nodes a pair comes out at the first of them that both have.
     """
     sizes = state.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("m"))
-    most = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), (F.sum("m") - F.max("m")).alias("outside"))
+    most = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
     several = durable(state.join(most, "tok").withColumn("many", F.col("outside") >= MANY).drop("own", "outside"))
     crowded = several.where("many")
     mine = crowded.groupBy("node").agg(F.sort_array(F.collect_set("tok")).alias("toks"))
@@ -259,7 +254,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
         state = _merged(state, found)
         found = _verified(_leader_pairs(state, step, percent), texts)
         links, step = links.unionAll(found), step + 1
-    state = durable(_of_several(state)) if found.isEmpty() else _merged(state, found)
+    state = state if found.isEmpty() else _merged(state, found)
     links = links.unionAll(_verified(_rest_pairs(state, percent), texts))
 
     comp = components(links).withColumnRenamed("root", "comp")
