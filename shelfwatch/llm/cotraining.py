@@ -219,8 +219,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = _with_features(one_each).toPandas().sort_values("doc_id", ignore_index=True)
     if labelled["y"].nunique() < 2:
         return rows.select(F.col("doc_id").cast(kind), *[F.lit(None).cast("double").alias(c) for c in ("p_text", "p_meta", "score")], F.lit(True).alias("kept"))
-    unlabelled = rows.join(known, "doc_id", "left_anti").withColumn("y", F.lit(None).cast("double"))
-    features = written(_with_features(unlabelled).select("text", "meta"))
+    # features first: half a kilobyte a document may be shuffled to the labels, whole texts need not
+    every = _with_features(rows.withColumn("y", F.lit(None).cast("double")))
+    features = written(every.join(known.select("doc_id"), "doc_id", "left_anti").select("text", "meta"))
     # neighbours in id are often copies; a fixed shuffle deals them to both folds
     labelled = labelled.iloc[np.random.default_rng(10).permutation(len(labelled))].reset_index(drop=True)
     views = [np.stack(labelled[view].to_list()) for view in ("text", "meta")]
