@@ -175,16 +175,28 @@ def _recount(docs: DataFrame, directory: dict[str, tuple[int, dict[int, tuple[in
         dense: dict[tuple[str, str], np.ndarray] = {}
         held = 0
 
+        def places(lang: str, found: list[bytes]) -> dict[bytes, int]:
+            """Where the dense arrays of a language count these terms; those that were not kept have no place."""
+            of, shards = known[lang]
+            home = np.fromiter((zlib.crc32(t) % of for t in found), np.int64, len(found)) if of > 1 else np.zeros(len(found), np.int64)
+            at = np.full(len(found), -1, dtype=np.int64)
+            for k, (_, h) in shards.items():
+                mine = np.flatnonzero(home == k)
+                slot = h.find([found[i] for i in mine])
+                at[mine] = np.where(slot >= 0, base[lang, k][0] + slot, -1)
+            return {t: p for t, p in zip(found, at.tolist(), strict=True) if p >= 0}
+
         def settle() -> None:
-            for (lang, source), counts in seen.items():
-                of, shards = known[lang]
-                slots = dense.setdefault((lang, source), np.zeros(width[lang], dtype=np.int64))
-                found, many = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-                home = np.fromiter((zlib.crc32(t) % of for t in found), np.int64, len(found)) if of > 1 else np.zeros(len(found), np.int64)
-                for k, (_, h) in shards.items():
-                    mine = np.flatnonzero(home == k)
-                    slot = h.find([found[i] for i in mine])
-                    slots[base[lang, k][0] + slot[slot >= 0]] += many[mine][slot >= 0]
+            # a language's sources share most terms: each is looked up once
+            for lang in {lang for lang, _ in seen}:
+                mine = {source: counts for (of, source), counts in seen.items() if of == lang}
+                at = places(lang, list(set().union(*mine.values())))
+                for source, counts in mine.items():
+                    slots = dense.setdefault((lang, source), np.zeros(width[lang], dtype=np.int64))
+                    both = [(at[t], n) for t, n in counts.items() if t in at]
+                    if both:
+                        where, many = np.array(both, dtype=np.int64).T
+                        slots[where] += many
             seen.clear()
 
         def out() -> Iterator[pa.RecordBatch]:
