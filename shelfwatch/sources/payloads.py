@@ -21,13 +21,22 @@ RECORD = (
 
 
 def item_record(payload: Column, asked: Column) -> Column:
-    """One item payload (JSON text or VARIANT) as a record struct; ``asked`` fills in a missing item id."""
-    return _record(F.from_json(payload, ITEM_SCHEMA)["item"], payload, asked)
+    """One item payload (JSON text) as a record struct; ``asked`` fills in a missing item id.
+
+    The item is bound to a lambda: the text is parsed once, also in the branches of ``Normalisers.apply``, where
+    Spark shares no subexpressions, and the generated code stays small enough to be compiled.
+    """
+    return _bound(F.from_json(payload, ITEM_SCHEMA)["item"], lambda item: _record(item, payload, asked))
 
 
-def stored_item_record(document: Column, asked: Column) -> Column:
+def stored_item_record(document: Column, asked: Column, raw: Column | None = None) -> Column:
     """The same from a payload that was parsed when it was stored (VARIANT)."""
-    return _record(F.try_variant_get(document, "$.item", _ITEM), F.to_json(document), asked)
+    text = F.to_json(document) if raw is None else raw
+    return _bound(F.try_variant_get(document, "$.item", _ITEM), lambda item: _record(item, text, asked))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _record(item: Column, raw: Column, asked: Column) -> Column:
@@ -50,15 +59,20 @@ def _record(item: Column, raw: Column, asked: Column) -> Column:
     )
 
 
-def _with_record(payloads: DataFrame, payload: str, record: Column) -> DataFrame:
+def _with_record(payloads: DataFrame, payload: str, record: Column, raw: Column | None = None) -> DataFrame:
     kept = [c for c in payloads.columns if c not in (payload, "item_id")]
-    return payloads.select(*kept, record.alias("_record")).select("_record.item_id", *kept, *[f"_record.{c}" for c in RECORD if c != "item_id"])
+    made = payloads.select(*kept, record.alias("_record"), *([] if raw is None else [raw.alias("_raw")]))
+    text = F.col("_record.raw" if raw is None else "_raw").alias("raw")
+    return made.select("_record.item_id", *kept, *[f"_record.{c}" for c in RECORD if c not in ("item_id", "raw")], text)
 
 
 def normalize_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Typed records from JSON item payloads (text, or VARIANT as stored); the asked-for ``item_id`` fills in a missing one."""
-    stored = dict(payloads.dtypes)[payload] == "variant"
-    return _with_record(payloads, payload, (stored_item_record if stored else item_record)(F.col(payload), F.col("item_id")))
+    body, asked = F.col(payload), F.col("item_id")
+    if dict(payloads.dtypes)[payload] != "variant":
+        return _with_record(payloads, payload, item_record(body, asked))
+    # the text is only made where it is selected
+    return _with_record(payloads, payload, stored_item_record(body, asked, raw=F.lit(None)), raw=F.to_json(body))
 
 
 def parsed(rows: DataFrame, text: str = "payload") -> DataFrame:

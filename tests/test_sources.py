@@ -156,3 +156,10 @@ def test_tables_at_rest(spark, tmp_path):
         assert sorted(r["seq"] for r in left.collect()) == [7, 8, 9, 9] and left.columns[-1] == "fetch_date"
     assert sinks.drop_expired(spark, path, "fetched_at", "fetch_date", as_of, -30) == 4
     assert spark.read.parquet(path).count() == 0
+
+
+def test_payloads_are_parsed_once_in_a_branch(spark):
+    known = payloads.Normalisers()
+    frame = spark.createDataFrame([("1", "item_payload", '{"item":{"title":"a"}}')], "item_id string, adapter string, payload string")
+    plan = known.apply(frame, ["item_payload"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
