@@ -99,3 +99,12 @@ def test_advice_is_kept(spark):
     frame = spark.createDataFrame([(1, text)], "id int, response string")
     event = responses.parse_response(frame).first()["events"][0]
     assert (event["attribution"], event["action"], event["priority_reason"]) == ("season", "wait", None)
+
+
+def test_a_filter_on_the_events_does_not_parse_again(spark):
+    answers = spark.range(3).selectExpr("id AS seq", "concat('{\"events\":[{\"item_id\":\"', id, '\"}]}') AS response")
+    parsed = responses.parse_response(answers)
+    parses = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(")
+    for rows in (responses.digest(responses.push_rollup(parsed)), parsed.select("seq", F.explode("events"))):
+        assert parses(rows) == parses(parsed) > 0
+        assert rows.count() == 3
