@@ -260,3 +260,15 @@ def test_windows_of_a_stream_end_where_batch_does(spark, item_days, tmp_path):
     open_windows = batch.join(out, ["window_start", "severity"], "left_anti").select("window_start").distinct().count()
     assert open_windows <= 1 and out.count() > 100
     assert out.exceptAll(batch).isEmpty()
+
+
+def test_parts_of_a_replay_have_equally_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "FILE_ROWS", 2)
+    rows = spark.createDataFrame([(n, datetime(2024, 1, 1 + n // 5)) for n in range(6)], "n bigint, ts timestamp_ntz")
+    folder = str(tmp_path / "arriving")
+    stream = jobs.replayed(rows, F.col("ts"), ("2024-01-02", "2024-01-03"), folder, total=6)
+    assert len(spark.read.parquet(folder).inputFiles()) == 9  # three for each part, of five, one and no rows
+    seen = []
+    stream.writeStream.foreachBatch(lambda batch, _: seen.append(sorted(r["n"] for r in batch.collect()))).trigger(
+        availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    assert seen == [[0, 1, 2, 3, 4], [5], []]
