@@ -130,6 +130,23 @@ def test_request_dedupe_with_a_hot_request(attempts, ttl):
     _same(request_dedupe.request_dedupe(requests, ttl), request_dedupe.request_dedupe(requests, ttl, cuts))
 
 
+def test_fingerprints_of_requests_are_worked_out_once(spark):
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(seq):
+        worked.add(1)
+        return "one" if seq % 4 else "few"
+
+    requests = spark.range(0, 400, 1, 2).select(
+        F.lit("s").alias("source_id"), costly("id").alias("request_fp"), (F.col("id") * 1_000_000).alias("ts_us"), F.col("id").alias("seq"), (F.col("id") % 3 > 0).alias("ok"))
+    cuts = find_cuts(requests, request_dedupe.KEY, request_dedupe.ORDER, SMALL)
+    assert cuts is not None
+    worked.value = 0
+    assert request_dedupe.request_dedupe(requests, 20, cuts).count() == 400
+    assert worked.value == 400
+
+
 def test_forgetful_dedupe_with_a_hot_content(hot_records):
     # every third record of the hot item repeats one content
     same_content = F.when(F.col("seq") % 3 == 1, F.lit("same")).otherwise(F.col("content_fp"))
