@@ -82,6 +82,18 @@ def test_bundle_is_valid_json_in_order_and_goes_into_the_prompt(spark):
     assert prompt == f"<<{parts[0]['events_json']}>>"
 
 
+def test_bundles_gather_texts_not_structs(spark):
+    events = spark.createDataFrame(
+        [("c", n, n % 2, None if n % 3 else '"', "r", "P1", "f", "o", "n", "e\\", "k") for n in range(7)],
+        "cycle_id string, item_id long, seq long, old_value string, role string, severity string, field string, x string, new_value string, event string, category string")
+    bundles = responses.events_bundle(events, order=["item_id"], max_events=4)
+    plan = bundles._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(collect_list(struct(_nth" in plan and ", e, invoke(StructsToJson" in plan
+    first = json.loads(bundles.orderBy("part_no").first()["events_json"])
+    assert [e["item_id"] for e in first] == [0, 1, 2, 3]
+    assert [e.get("old_value") for e in first] == ['"', None, None, '"'] and first[0]["event"] == "e\\"
+
+
 def test_rule_alerts_without_an_answer(spark):
     events = spark.createDataFrame([("a", "P0"), ("b", "P1"), ("c", None)], "item_id string, severity string")
     assert [r["item_id"] for r in responses.rule_alerts(events).collect()] == ["a"]
