@@ -77,3 +77,9 @@ def test_scans_are_pruned_and_filters_pushed(inputs):
     assert "TakeOrderedAndProject" in recent
     history = plan(versions.history(inputs.records.select("item_id", "fetched_at", "seq", "price"), 3))
     assert re.search(r"WindowGroupLimit .*Partial", history)
+
+
+def test_snapshots_are_made_and_read_back_once(inputs):
+    text = plan(QUERIES["to_snapshot"](inputs))
+    assert exchanges(text) == [exchanges(text)[0]] and "hashpartitioning(item_id" in text
+    assert text.count("lineitem.parquet") == 1 and text.count("from_json(") == 1
