@@ -83,3 +83,13 @@ def test_snapshots_are_made_and_read_back_once(inputs):
     text = plan(QUERIES["to_snapshot"](inputs))
     assert exchanges(text) == [exchanges(text)[0]] and "hashpartitioning(item_id" in text
     assert text.count("lineitem.parquet") == 1 and text.count("from_json(") == 1
+
+
+def test_pairs_are_worked_out_once_for_several_tables(spark, sf_dir, monkeypatch):
+    for name in ("appended_tables", "retention_at_rest"):
+        fresh, worked = Inputs(spark, sf_dir), []
+        keep = versions.version_pairs
+        monkeypatch.setattr(versions, "version_pairs", lambda *a, **k: worked.append(1) or keep(*a, **k))
+        monkeypatch.setattr(Inputs, "events", property(lambda i: pytest.fail("worked out again")))
+        assert QUERIES[name](fresh).count() > 0 and worked == [1]
+        monkeypatch.undo()

@@ -158,6 +158,19 @@ def test_tables_at_rest(spark, tmp_path):
     assert spark.read.parquet(path).count() == 0
 
 
+def test_long_periods_are_written_without_a_shuffle(spark, tmp_path):
+    frame = spark.range(0, 90, 1, 3).select(
+        "id", F.when(F.col("id") % 10 == 9, None).otherwise(F.timestamp_seconds(F.col("id") * 86400 * 20)).alias("at"))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    for name, gather in (("gathered", True), ("left", False)):
+        sinks.append_by_period(frame, str(tmp_path / name), "at", "at_date", "year", gather=gather)
+    gathered, left = (spark.read.parquet(str(tmp_path / name)) for name in ("gathered", "left"))
+    assert sorted(map(str, gathered.collect())) == sorted(map(str, left.collect())) and left.count() == 90
+    # the nulls lie in every task and were not brought together
+    assert len(left.where("at_date IS NULL").select(F.input_file_name()).distinct().collect()) == 3
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
 def test_payloads_are_parsed_once_in_a_branch(spark):
     known = payloads.Normalisers()
     frame = spark.createDataFrame([("1", "item_payload", '{"item":{"title":"a"}}')], "item_id string, adapter string, payload string")
