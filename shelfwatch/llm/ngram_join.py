@@ -28,17 +28,21 @@ classes is lost. Components are those of all links together.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..plans.shared import durable
+from ..plans.shared import durable, stored
 from .graph import components, neighbourhoods, written
 from .text import free_name, grams, let, whole, words
 
 ROUNDS = 2  # what they leave, however much, the last step compares
 BITMAP_ROWS = 1 << 16
 PARITY_WORDS = 4
+#: so many pairs of two classes are compared in turn before all the others
+FEW = (2, 64)
 #: a token with this many nodes outside its largest class lets a pair out once, not at every such token
 MANY = 24
 PARITY = [f"b{k}" for k in range(PARITY_WORDS)]
@@ -111,8 +115,8 @@ def _kept_tokens(rows: DataFrame, percent: int) -> DataFrame:
     """
     nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("ext").alias("ext"))
     tokens = nodes.select("node", F.explode("ext").alias("tok"))
-    shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    found = tokens.join(shared, "tok")
+    # counted where they lie: a join with the counts would shuffle every token twice
+    found = tokens.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("tok"))).where("df > 1")
     sizes = nodes.select("node", "n")
     least_shared = _promised(_needed(F.col("n"), percent), percent)  # with the smallest partner
     longer = _longer(F.col("n"), percent)
@@ -143,11 +147,11 @@ class _Texts:
 
     def __init__(self, docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, percent: int):
         self.docs, self.width, self.percent = docs.select("doc_id", "text"), width, percent
-        self.holders = durable(rows.select("doc_id", "node").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+        self.holders = written(rows.select("doc_id", "node").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
 
     def of(self, nodes: DataFrame | None = None) -> DataFrame:
         """(node, s) of the nodes, or of all; a node may come more than once."""
-        held = self.holders if nodes is None else durable(self.holders.join(nodes, "node"))
+        held = self.holders if nodes is None else written(self.holders.join(nodes, "node"))
         hashed = F.xxhash64("doc_id")
         texts = _maybe(self.docs, hashed, held.select(hashed.alias("h")))
         full = texts.select("doc_id", shingle_set(whole("text"), self.width).alias("s")).withColumn("node", F.xxhash64("s"))
@@ -163,10 +167,40 @@ class _Texts:
         return durable(self.of(nodes).dropDuplicates(["node"]).select("node", "s", *other))
 
 
+def _sets_of(pairs: DataFrame, texts: _Texts) -> DataFrame:
+    return texts.sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
+
+
 def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
     """The pairs (a, b) of classes (ca, cb) that share prefix tokens under the other orders and whose sets link."""
     pairs = written(pairs)
-    sets = texts.sets(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct())
+    return _linked(pairs, _sets_of(pairs, texts), texts.percent)
+
+
+def _connecting(pairs: DataFrame, texts: _Texts) -> DataFrame:
+    """Links among the pairs (a, b) that connect the classes (ca, cb) which any of them links.
+
+    Two classes often meet in many pairs. A few of these are compared first, then more of what still lies in
+    different classes, at last all that does; a pair left out lies in one class and could connect nothing more.
+    """
+    left = written(pairs)
+    sets, links = _sets_of(left, texts), []
+    classes = W.partitionBy("ca", "cb").orderBy(F.xxhash64("a", "b"), "a", "b")
+    for few in FEW:
+        some = written(left.withColumn("_nth", F.row_number().over(classes)).where(F.col("_nth") <= few).drop("_nth"))
+        found = _linked(some, sets, texts.percent)
+        links.append(found)
+        roots = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        left = left.join(some.select("a", "b"), ["a", "b"], "left_anti")
+        for side in ("ca", "cb"):
+            moved = left.join(roots.select(F.col("node").alias(side), F.col("root").alias("_root")), side, "left")
+            left = moved.withColumn(side, F.coalesce("_root", side)).drop("_root")
+        left = written(left.where("ca <> cb").select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")))
+    links.append(_linked(left, sets, texts.percent))
+    return reduce(DataFrame.unionAll, links)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     filters = sets.select("node", "p3", "p4")
     for side in ("a", "b"):
         pairs = pairs.join(filters.select(F.col("node").alias(side), F.col("p3").alias(f"{side}3"), F.col("p4").alias(f"{side}4")), side)
@@ -174,7 +208,7 @@ def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("s").alias(f"s{side}")), side)
     common = F.size(F.array_intersect("sa", "sb"))
-    linked = common * 100 >= (F.size("sa") + F.size("sb") - common) * texts.percent
+    linked = common * 100 >= (F.size("sa") + F.size("sb") - common) * percent
     return written(pairs.where(linked).select("a", "b", "ca", "cb"))
 
 
@@ -182,7 +216,7 @@ def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
     """The tokens' rows with classes after the links between them."""
     roots = neighbourhoods(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     moved = state.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
-    return durable(moved.select("tok", "node", "n", "own", *PARITY, F.coalesce("root", "comp").alias("comp")))
+    return stored(moved.select("tok", "node", "n", "own", *PARITY, F.coalesce("root", "comp").alias("comp")))
 
 
 def _pairs(met: DataFrame, other: str, other_class: str) -> DataFrame:
@@ -217,7 +251,7 @@ def _rest_pairs(state: DataFrame, percent: int) -> DataFrame:
     """
     sizes = state.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("m"))
     most = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
-    several = durable(state.join(most, "tok").withColumn("many", F.col("outside") >= MANY).drop("own", "outside"))
+    several = stored(state.join(most, "tok").withColumn("many", F.col("outside") >= MANY).drop("own", "outside"))
     crowded = several.where("many")
     mine = crowded.groupBy("node").agg(F.sort_array(F.collect_set("tok")).alias("toks"))
     return _met(several.where("NOT many").drop("many"), None, percent).unionAll(_met(crowded.drop("many").join(mine, "node"), "toks", percent)).distinct()
@@ -246,7 +280,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     state = kept.select("tok", "node", "n", "own", F.col("node").alias("comp"))
 
     texts = _Texts(docs, rows, state.select("node").distinct(), width, percent)
-    state = durable(state.join(texts.bitmaps(), "node"))
+    state = stored(state.join(texts.bitmaps(), "node"))
 
     links = _verified(_leader_pairs(state, 0, percent), texts)
     found, step = links, 1
@@ -255,7 +289,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
         found = _verified(_leader_pairs(state, step, percent), texts)
         links, step = links.unionAll(found), step + 1
     state = state if found.isEmpty() else _merged(state, found)
-    links = links.unionAll(_verified(_rest_pairs(state, percent), texts))
+    links = links.unionAll(_connecting(_rest_pairs(state, percent), texts))
 
     comp = components(links).withColumnRenamed("root", "comp")
     placed = durable(rows.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 from compare import compare, duck
-from shelfwatch.llm import divergence, fingerprints, queries, spectrum, whitening
+from shelfwatch.llm import divergence, fingerprints, ngram_join, queries, spectrum, whitening
 
 BIG = 2**53
 
@@ -356,3 +356,28 @@ def test_outlier_distances_against_numpy(spark):
         mine = sorted((tuple(r[c] for c in outliers.STATS), r.d) for r in got if r.grp == group)
         want = plain_mcd(np.array([k for k, _ in mine]), [outliers.FLOOR[c] for c in outliers.STATS])
         assert [d for _, d in mine] == pytest.approx(want, rel=1e-6)
+
+
+class _Given:
+    """Sets as they are, in place of those made from texts."""
+
+    percent = 80
+
+    def __init__(self, spark, sets):
+        rows = spark.createDataFrame(list(sets.items()), "node long, s array<long>")
+        self.rows = rows.select("node", "s", *[ngram_join._hash_prefix(F.col("s"), seed, 80).alias(f"p{seed}") for seed in (3, 4)])
+
+    def sets(self, nodes):
+        return self.rows.join(nodes, "node")
+
+
+def test_classes_that_meet_in_many_pairs_are_connected_by_few(spark):
+    same, other = list(range(20)), list(range(100, 120))
+    sets = {n: same for n in range(20)} | {n: same for n in range(100, 120)}
+    # a third class links with the first by one of its twenty nodes
+    sets |= {n: other for n in range(200, 219)} | {219: same}
+    pairs = [(a, b, 1, 2) for a in range(20) for b in range(100, 120)] + [(a, b, 1, 3) for a in range(20) for b in range(200, 220)]
+    frame = spark.createDataFrame(pairs, "a long, b long, ca long, cb long")
+    links = ngram_join._connecting(frame, _Given(spark, sets)).collect()
+    assert {(r["ca"], r["cb"]) for r in links} == {(1, 2), (1, 3)} and all(r["a"] < 20 and (r["b"] < 120 or r["b"] == 219) for r in links)
+    assert sum(r["cb"] == 2 for r in links) <= 2
