@@ -21,9 +21,9 @@ Large groups of near copies are not expanded into all pairs: in each round the d
 that still has several classes are compared with a few leaders (the one with fewest tokens of its own
 first, then one of the token's first and last class and one by hash), linked ones share a class from
 then on, and pairs within one class are never compared: they are connected by links already found.
-A round is made while the one before found links, at most two of them. The last step compares every remaining pair of different classes
-that shares a kept token, once, at the first token that both kept, so no link between different
-classes is lost. Components are those of all links together.
+A round is made while the one before found links, at most two of them. The last step takes every remaining pair of different classes
+that shares a kept token, once, at the first token that both kept. Of two classes a few such pairs are compared first, then more,
+at last all that still lie in different classes, so no link between different classes is lost. Components are those of all links together.
 """
 
 from __future__ import annotations
