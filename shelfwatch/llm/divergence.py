@@ -6,8 +6,8 @@ CRC-32, and every shard gets a minimal perfect hash: levels of bit arrays, in wh
 alone at its place takes it and the others go on to the next level; a set bit's rank is the slot. The
 terms themselves are stored by slot, so that a term that was not kept but meets a set bit is found out.
 
-The second pass reads the documents again with the shards broadcast, and adds to one dense array of
-slots per (language, source). A broadcast holds at most ``BROADCAST_BYTES`` of shards; more go in
+The second pass reads the documents again with the shards broadcast, numbers a task's terms by language,
+looks each numbered term up once and adds to one dense array of slots per (language, source). A broadcast holds at most ``BROADCAST_BYTES`` of shards; more go in
 further passes, each over all documents, so a vocabulary of any size is counted exactly. Arrays and
 dictionaries of a task are emptied into its output when they exceed a fixed size.
 """
@@ -17,6 +17,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from .graph import written
 
 LEAST_DOCS, TOP_TERMS = 10, 10
 SHARD_TERMS, BROADCAST_BYTES = 20_000, 64 << 20
-DICT_ENTRIES, DENSE_CELLS = 300_000, 6_000_000
+DICT_ENTRIES, DENSE_CELLS, PENDING_TERMS = 300_000, 6_000_000, 2_000_000
 SLOT_BLOCK, SOURCE_BLOCK = 2_048, 96
 _GAMMA, _LEAST_BITS = 2, 64
 # letters, lower-cased, and every byte of a character beyond ASCII stay; all else parts terms
@@ -93,10 +95,12 @@ class PerfectHash:
 
     def find(self, names: list[bytes]) -> np.ndarray:
         """The slot of each name, -1 for one that is not stored."""
-        slots = self._slots(self._hashed(names)) if names and self.names else np.full(len(names), -1, dtype=np.int64)
-        mine = self.names
-        same = np.fromiter((s >= 0 and mine[s] == n for n, s in zip(names, slots.tolist(), strict=True)), bool, len(names))
-        return np.where(same, slots, -1)
+        if not names or not self.names:
+            return np.full(len(names), -1, dtype=np.int64)
+        slots = self._slots(self._hashed(names))
+        # a name without a slot is compared with the last one stored, and told by its slot
+        same = np.fromiter(map(eq, names, map(self.names.__getitem__, slots.tolist())), bool, len(names))
+        return np.where(same & (slots >= 0), slots, -1)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, str, bytes]]:
@@ -153,6 +157,14 @@ def _shards(kept: DataFrame) -> DataFrame:
     return made.withColumn("bytes", weight)
 
 
+class _Numbers(dict):
+    """Term -> its number, in the order in which terms are first asked for."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
+
+
 def _recount(docs: DataFrame, directory: dict[str, tuple[int, dict[int, tuple[int, tuple]]]]) -> DataFrame:
     """(lang, source, slot, n) partial counts of the terms in the broadcast shards.
 
@@ -171,59 +183,66 @@ def _recount(docs: DataFrame, directory: dict[str, tuple[int, dict[int, tuple[in
             for k, (first, h) in sorted(shards.items()):
                 base[lang, k] = (at, first)
                 at += len(h.names)
-        seen: dict[tuple[str, str], Counter] = {}
+        numbers: dict[str, _Numbers] = {lang: _Numbers() for lang in known}
+        at: dict[str, np.ndarray] = {lang: np.zeros(0, dtype=np.int64) for lang in known}
+        seen: dict[tuple[str, str], list[np.ndarray]] = {}
         dense: dict[tuple[str, str], np.ndarray] = {}
-        held = 0
+        held = known_terms = 0
 
-        def places(lang: str, found: list[bytes]) -> dict[bytes, int]:
-            """Where the dense arrays of a language count these terms; those that were not kept have no place."""
+        def places(lang: str, found: list[bytes]) -> np.ndarray:
+            """Where the dense arrays of a language count these terms, -1 for those that were not kept."""
             of, shards = known[lang]
-            home = np.fromiter((zlib.crc32(t) % of for t in found), np.int64, len(found)) if of > 1 else np.zeros(len(found), np.int64)
-            at = np.full(len(found), -1, dtype=np.int64)
+            home = np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % of if of > 1 else np.zeros(len(found), np.int64)
+            to = np.full(len(found), -1, dtype=np.int64)
             for k, (_, h) in shards.items():
                 mine = np.flatnonzero(home == k)
-                slot = h.find([found[i] for i in mine])
-                at[mine] = np.where(slot >= 0, base[lang, k][0] + slot, -1)
-            return {t: p for t, p in zip(found, at.tolist(), strict=True) if p >= 0}
-
-        def settle() -> None:
-            # a language's sources share most terms: each is looked up once
-            for lang in {lang for lang, _ in seen}:
-                mine = {source: counts for (of, source), counts in seen.items() if of == lang}
-                at = places(lang, list(set().union(*mine.values())))
-                for source, counts in mine.items():
-                    slots = dense.setdefault((lang, source), np.zeros(width[lang], dtype=np.int64))
-                    both = [(at[t], n) for t, n in counts.items() if t in at]
-                    if both:
-                        where, many = np.array(both, dtype=np.int64).T
-                        slots[where] += many
+                slot = h.find(list(map(found.__getitem__, mine.tolist())))
+                to[mine] = np.where(slot >= 0, base[lang, k][0] + slot, -1)
+            return to
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            # a term is looked up once, whatever sources it is in, as long as its number is kept
+            for lang, mine in numbers.items():
+                at[lang] = np.concatenate([at[lang], places(lang, list(islice(mine, len(at[lang]), None)))])
+            cells = sum(map(len, dense.values()))
+            for (lang, source), texts in seen.items():
+                if (lang, source) not in dense:
+                    if cells > DENSE_CELLS:
+                        yield from out()
+                        cells = 0
+                    dense[lang, source] = np.zeros(width[lang], dtype=np.int64)
+                    cells += width[lang]
+                where = at[lang][np.concatenate(texts)]
+                dense[lang, source] += np.bincount(where[where >= 0], minlength=width[lang])
             seen.clear()
+            if sum(map(len, numbers.values())) > DICT_ENTRIES:
+                for lang in known:
+                    numbers[lang], at[lang] = _Numbers(), np.zeros(0, dtype=np.int64)
 
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), slots in dense.items():
-                at = np.flatnonzero(slots)
-                if len(at):
+                found = np.flatnonzero(slots)
+                if len(found):
                     heads = sorted(base[lang, k] for k in known[lang][1])
-                    which = np.searchsorted([h[0] for h in heads], at, side="right") - 1
-                    true = at + (np.array([h[1] - h[0] for h in heads]))[which]
+                    which = np.searchsorted([h[0] for h in heads], found, side="right") - 1
+                    true = found + (np.array([h[1] - h[0] for h in heads]))[which]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array(true), pa.array(slots[at])], names
+                        [pa.array([lang] * len(found), pa.string()), pa.array([source] * len(found), pa.string()), pa.array(true), pa.array(slots[found])], names
                     )
             dense.clear()
 
         for batch in batches:
             for lang, source, text in _rows(batch):
                 if lang in known:
-                    mine = seen.setdefault((lang, source), Counter())
-                    held -= len(mine)
-                    mine.update(terms(text))
-                    held += len(mine)
-                    if held > DICT_ENTRIES:
-                        settle()
-                        held = 0
-                        if sum(map(len, dense.values())) > DENSE_CELLS:
-                            yield from out()
-        settle()
+                    mine, numbered = terms(text), numbers[lang]
+                    known_terms -= len(numbered)
+                    seen.setdefault((lang, source), []).append(np.fromiter(map(numbered.__getitem__, mine), np.int32, len(mine)))
+                    known_terms += len(numbered)
+                    held += len(mine) + 16  # an array has a head
+                    if held > PENDING_TERMS or known_terms > DICT_ENTRIES:
+                        yield from settle()
+                        held, known_terms = 0, sum(map(len, numbers.values()))
+        yield from settle()
         yield from out()
 
     return docs.mapInArrow(count, "lang string, source string, slot bigint, n bigint")

@@ -3,9 +3,11 @@
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,3 +383,38 @@ def test_classes_that_meet_in_many_pairs_are_connected_by_few(spark):
     links = ngram_join._connecting(frame, _Given(spark, sets)).collect()
     assert {(r["ca"], r["cb"]) for r in links} == {(1, 2), (1, 3)} and all(r["a"] < 20 and (r["b"] < 120 or r["b"] == 219) for r in links)
     assert sum(r["cb"] == 2 for r in links) <= 2
+
+
+class _Rows:
+    """Stands for the documents: gives out the function that a task would run."""
+
+    def __init__(self):
+        self.sparkSession = self.sparkContext = self
+
+    def broadcast(self, value):
+        self.value = value
+        return self
+
+    def mapInArrow(self, function, schema):  # noqa: N802
+        return function
+
+
+def test_recount_looks_a_term_up_once_whatever_its_sources(monkeypatch):
+    monkeypatch.setattr(divergence, "DICT_ENTRIES", 50)
+    monkeypatch.setattr(divergence, "PENDING_TERMS", 300)
+    names = [b"t%s" % chr(97 + i).encode() for i in range(20)]
+    shards = {k: divergence.PerfectHash.build([n for n in names if zlib.crc32(n) % 2 == k]) for k in (0, 1)}
+    first = {0: 0, 1: len(shards[0].names)}
+    directory = {"en": (2, {k: (first[k], (h.sizes, h.bits, h.names)) for k, h in shards.items()})}
+    asked = []
+    find = divergence.PerfectHash.find
+    monkeypatch.setattr(divergence.PerfectHash, "find", lambda self, found: asked.extend(found) or find(self, found))
+    rows = [("en", f"s{i % 40}", b" ".join(names[: 1 + i % 20]) + b" unkept tb") for i in range(200)] + [("xx", "s", b"ta"), ("en", "empty", b"")]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["lang", "source", "text"])
+    got = Counter()
+    for out in divergence._recount(_Rows(), directory)(iter([batch])):
+        for lang, source, slot, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            got[lang, source, slot] += n
+    slot_of = {n: first[k] + i for k, h in shards.items() for i, n in enumerate(h.names)}
+    want = Counter((lang, source, slot_of[w]) for lang, source, text in rows if lang == "en" for w in text.split() if w in slot_of)
+    assert got == want and sorted(asked) == sorted([*names, b"unkept"])
