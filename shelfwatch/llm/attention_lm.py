@@ -179,21 +179,29 @@ def _attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, near: np.ndarray) -> tu
     scores -= scores.max(axis=2, keepdims=True)
     np.exp(scores, out=scores)
     scores *= _SEEN
-    scores /= scores.sum(axis=2, keepdims=True)
+    scores /= (scores.reshape(-1, scores.shape[2]) @ np.ones(scores.shape[2], dtype=scores.dtype)).reshape(*scores.shape[:2], 1)
     return scores, scores @ v
 
 
 def train_step(w: dict[str, np.ndarray], windows: np.ndarray, targets: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Loss and gradients for windows of slots (B, width), target classes (B, SPAN) and which of them count."""
-    x, at = windows[:, :-1], windows[:, CONTEXT - 1 : -1]
-    e, eq = w["E"][x], w["E"][at]
+    x = windows[:, :-1]
+    size, width = x.shape
+    e = np.take(w["E"], x.ravel(), axis=0)
+    # the queries stand at the last SPAN positions; products with weights take all windows at once
+    eq = e.reshape(size, width, DIM)[:, CONTEXT - 1 :].reshape(-1, DIM)
     scale = np.float32(1 / np.sqrt(DIM))
-    q, k, v = eq @ w["Wq"] * scale, e @ w["Wk"], e @ w["Wv"]
+    q = (eq @ (w["Wq"] * scale)).reshape(size, SPAN, DIM)
+    k, v = (e @ w["Wk"]).reshape(size, width, DIM), (e @ w["Wv"]).reshape(size, width, HIDDEN)
     a, mixed = _attend(q, k, v, w["near"])
-    h = np.tanh(eq @ w["Wr"] + w["b"] + mixed)
-    d = h.reshape(-1, HIDDEN) @ w["U"]
+    h = eq @ w["Wr"]
+    h += w["b"]
+    h += mixed.reshape(-1, HIDDEN)
+    np.tanh(h, out=h)
+    d = h @ w["U"]
     d += w["c"]
-    d -= d.max(axis=1, keepdims=True)
+    if np.abs(w["U"]).sum(axis=0).max() + np.abs(w["c"]).max() > 60:  # hidden units lie between -1 and 1, exp overflows at 88
+        d -= d.max(axis=1, keepdims=True)
     np.exp(d, out=d)
     n, cells, goal, lives = max(live.sum(), 1), np.arange(len(d)), targets.ravel(), live.ravel()
     sums = d @ np.ones(CLASSES, dtype=d.dtype)
@@ -203,23 +211,28 @@ def train_step(w: dict[str, np.ndarray], windows: np.ndarray, targets: np.ndarra
     weight = lives / (sums * np.float32(n))
     d *= weight[:, None].astype(d.dtype)
     d[cells, goal] -= lives / np.float32(n)
-    g = {"U": h.reshape(-1, HIDDEN).T @ d, "c": np.ones(len(d), dtype=d.dtype) @ d}
-    dh = (d @ w["U"].T).reshape(h.shape)
-    dh *= 1 - h * h
-    g["b"] = dh.sum(axis=(0, 1))
-    g["Wr"] = eq.reshape(-1, DIM).T @ dh.reshape(-1, HIDDEN)
-    da = dh @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    g = {"U": h.T @ d, "c": np.ones(len(d), dtype=d.dtype) @ d}
+    dh = d @ w["U"].T
+    h *= h
+    dh *= 1 - h
+    g["b"] = np.ones(len(dh), dtype=dh.dtype) @ dh
+    g["Wr"] = eq.T @ dh
+    by_window = dh.reshape(size, SPAN, HIDDEN)
+    ds = by_window @ v.transpose(0, 2, 1)
+    dv = (a.transpose(0, 2, 1) @ by_window).reshape(-1, HIDDEN)
+    ds *= a
+    a *= (ds.reshape(-1, width) @ np.ones(width, dtype=ds.dtype)).reshape(size, SPAN, 1)
+    ds -= a
     g["near"] = np.bincount(np.maximum(_AWAY, 0).ravel(), (ds.sum(axis=0) * (_AWAY >= 0)).ravel(), minlength=_WIDTH).astype(np.float32)
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-    g["Wq"] = eq.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
-    g["Wk"] = e.reshape(-1, DIM).T @ dk.reshape(-1, DIM)
-    g["Wv"] = e.reshape(-1, DIM).T @ dv.reshape(-1, HIDDEN)
-    moved = np.concatenate([(dk @ w["Wk"].T + dv @ w["Wv"].T).reshape(-1, DIM), (dq @ w["Wq"].T + dh @ w["Wr"].T).reshape(-1, DIM)])
-    rows = np.concatenate([x.ravel(), at.ravel()])
-    cells = (rows[:, None].astype(np.int64) * DIM + np.arange(DIM)).ravel()
-    g["E"] = np.bincount(cells, moved.ravel(), minlength=SLOTS * DIM).reshape(SLOTS, DIM).astype(np.float32)
+    dq, dk = (ds @ k).reshape(-1, DIM) * scale, (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM)
+    g["Wq"], g["Wk"], g["Wv"] = eq.T @ dq, e.T @ dk, e.T @ dv
+    moved = dk @ w["Wk"].T
+    moved += dv @ w["Wv"].T
+    at_query = dq @ w["Wq"].T
+    at_query += dh @ w["Wr"].T
+    moved.reshape(size, width, DIM)[:, CONTEXT - 1 :] += at_query.reshape(size, SPAN, DIM)
+    places = (x.ravel()[:, None].astype(np.int64) * DIM + np.arange(DIM)).ravel()
+    g["E"] = np.bincount(places, moved.ravel(), minlength=SLOTS * DIM).reshape(SLOTS, DIM).astype(np.float32)
     return float(loss), g
 
 
@@ -231,11 +244,21 @@ class Adam:
 
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        rate = RATE / np.sqrt(1 + self.t / 200) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        rate = float(RATE / np.sqrt(1 + self.t / 200) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))  # weights stay single
         for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.w[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
+            m, v, w = self.m[k], self.v[k], self.w[k]
+            by = x - m
+            by *= 0.1
+            m += by
+            np.multiply(x, x, out=by)
+            by -= v
+            by *= 0.01
+            v += by
+            np.sqrt(v, out=by)
+            by += 1e-8
+            np.divide(m, by, out=by)
+            by *= rate
+            w -= by
 
 
 def windows_of(slots: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,19 +301,27 @@ def _trained(train: DataFrame, lexicon: Lexicon, ranks: str) -> dict[str, np.nda
     return out
 
 
+class _SlotsOf(dict):
+    """Word -> its slots as bytes, found when first asked for; a text is then one joining of bytes."""
+
+    def __init__(self, segment: Segmenter, slot_of: np.ndarray):
+        super().__init__()
+        self.segment, self.slot_of = segment, slot_of.astype(np.int32)
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.slot_of[self.segment(word)].tobytes()
+        return found
+
+
 def fitted(texts: Iterable[str | None], segment: Segmenter, slot_of: np.ndarray, cls: np.ndarray, first: dict[str, np.ndarray]) -> tuple[Adam, int]:
     """The network after all windows of whole texts, and how many subwords and ends it predicted."""
     adam, rng, held, size, seen = Adam(first), np.random.default_rng(3), [], 0, 0
-    known: dict[bytes, list[int]] = {}
+    known = _SlotsOf(segment, slot_of)
+    end = np.array([END], dtype=np.int32).tobytes()
     for text in texts:
         if len(known) > CACHE_WORDS:
-            known = {}
-        slots: list[int] = []
-        for word in split_words(text):
-            if (found := known.get(word)) is None:
-                found = known[word] = slot_of[segment(word)].tolist()
-            slots += found
-        held.append(np.array([*slots, END], dtype=np.int32))
+            known.clear()
+        held.append(np.frombuffer(b"".join(map(known.__getitem__, split_words(text))) + end, dtype=np.int32))
         size += len(held[-1])
         if size >= MIXED:
             seen += _update(adam, held, cls, rng)

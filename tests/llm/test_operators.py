@@ -89,6 +89,13 @@ def test_attention_trains_on_every_word():
         assert (alone.w["E"][last] != first["E"][last]).any()
 
 
+def test_attention_texts_are_joined_from_words_segmented_once():
+    asked = []
+    known = attention_lm._SlotsOf(lambda word: asked.append(word) or [len(word), 7], np.arange(64, dtype=np.int64) + 1)
+    got = np.frombuffer(b"".join(map(known.__getitem__, [b"ab", b"c", b"ab"])), dtype=np.int32)
+    assert got.tolist() == [3, 8, 2, 8, 3, 8] and asked == [b"ab", b"c"]
+
+
 def test_attention_gradients():
     w = {k: x.astype(np.float64) for k, x in attention_lm.initial_weights().items()}
     rng = np.random.default_rng(1)
