@@ -249,3 +249,48 @@ def test_cotraining(spark, odd, none, sf_dir):
     assert cotraining.quality_scores(odd, labels).count() == odd.count()
     assert cotraining.quality_scores(none, labels).count() == 0
     assert all(r.kept and r.score is None for r in cotraining.quality_scores(odd, labels.limit(0)).collect())
+
+
+def test_attention_step_fills_the_same_arrays_again():
+    w, room = attention_lm.initial_weights(), attention_lm.Room(np.float32)
+    windows = np.random.default_rng(2).integers(0, 90, (24, attention_lm.CONTEXT + attention_lm.SPAN)).astype(np.int32)
+    targets, live = windows[:, attention_lm.CONTEXT :] % attention_lm.CLASSES, np.ones((24, attention_lm.SPAN), dtype=bool)
+    fresh_loss, fresh = attention_lm.train_step(w, windows, targets, live)
+    attention_lm.train_step(w, windows[:7], targets[:7], live[:7], room)
+    attention_lm.train_step(w, windows[::-1], targets[::-1], live, room)
+    held = {k: x.ctypes.data for k, x in room.items()}
+    loss, grads = attention_lm.train_step(w, windows, targets, live, room)
+    assert held == {k: x.ctypes.data for k, x in room.items()}
+    assert loss == pytest.approx(fresh_loss, rel=1e-6) and all(np.allclose(fresh[k], grads[k], rtol=1e-4, atol=1e-7) for k in fresh)
+
+
+def test_attention_scores_of_large_weights_stay_finite():
+    w = {k: x * np.float32(30) if k in ("E", "U") else x for k, x in attention_lm.initial_weights().items()}
+    rng = np.random.default_rng(4)
+    tables = (rng.integers(0, attention_lm.CLASSES, attention_lm.SLOTS).astype(np.int32), np.ones(attention_lm.SLOTS, dtype=np.int32),
+              np.zeros(attention_lm.SLOTS, dtype=bool), np.zeros((attention_lm.GROUPS, attention_lm.SLOTS), dtype=np.float32))
+    slots, lengths = rng.integers(0, 90, 70).astype(np.int32), np.array([40, 30])
+    got = attention_lm.Scorer(w, tables)(slots, lengths)
+    e, q, k, v, r, u = (w[x].astype(np.float64) for x in ("E", "Wq", "Wk", "Wv", "Wr", "U"))
+    want = []
+    for window, used in zip(*attention_lm.windows_of(slots, lengths), strict=True):
+        for i in np.flatnonzero(used):
+            seen = e[window[: attention_lm.CONTEXT + i]]
+            scores = seen @ k @ (seen[-1] @ q) / np.sqrt(attention_lm.DIM)
+            near = np.exp(scores - scores.max())
+            logits = np.tanh(near @ (seen @ v) / near.sum() + seen[-1] @ r) @ u
+            want.append(logits[tables[0][window[attention_lm.CONTEXT + i]]] - logits.max() - np.log(np.exp(logits - logits.max()).sum()))
+    assert np.isfinite(got).all() and got == pytest.approx(want, rel=1e-3, abs=0.05)
+
+
+def test_attention_tokenizer_is_read_once_and_words_are_told():
+    cut = attention_lm.segmenter(attention_lm.RANKS)
+    assert cut is attention_lm.segmenter(attention_lm.RANKS)
+    known = attention_lm.Words(cut, {b"one": 5})
+    assert [len(x) for x in known.told(np.zeros(0, dtype=np.int64))] == [0, 0, 0]
+    for _ in range(2):  # the arrays grow between two questions
+        numbers = np.array([known[w] for w in (b"one", b"\xff", b"antidisestablishment", b"one")])
+        count, n_pieces, ids = known.told(numbers)
+        assert count.tolist() == [5, -1, -1, 5] and ids.tolist() == cut(b"one") + cut(b"\xff") + cut(b"antidisestablishment") + cut(b"one")
+        assert n_pieces.sum() == len(ids)
+        known[f"more{len(known)}".encode()]
