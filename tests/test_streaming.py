@@ -1,5 +1,6 @@
 """Streams replayed in several micro-batches must end where batch does."""
 
+import shutil
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfwatch.functions.scalars import canonical_url, request_fp
 from shelfwatch.operators import changes, fetchlog, health, request_dedupe, versions
 from shelfwatch.operators.incremental import new_versions_of_batch
+from shelfwatch.plans import queries
 from shelfwatch.sources import tables
 from shelfwatch.sources.committed import CommittedTables
 from shelfwatch.sources.version_store import VersionStore
@@ -177,6 +179,61 @@ def test_incremental_diff_equals_the_whole_and_leaves_the_stored_side_in_place(s
     again.close()
 
 
+def contents_of(spark, first, last):
+    """One content each of so many items, 2,500 a day."""
+    rows = spark.range(first, last).withColumnRenamed("id", "item_id")
+    day = F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(F.floor(F.col("item_id") / 2500).cast("int"))
+    return rows.select("item_id", F.sha2(F.col("item_id").cast("string"), 256).alias("content_fp"), day.alias("fetched_at"), F.col("item_id").alias("seq"))
+
+
+def test_filters_of_many_periods_still_tell_contents_apart(spark, tmp_path):
+    rows = contents_of(spark, 0, 25_000)
+    store = VersionStore(rows, str(tmp_path / "store"), fields=(), buckets=2, blocks=1, period="day")
+    store.append(rows, 0)
+    assert store.maybe_known(rows).count() == 25_000
+    assert store.maybe_known(contents_of(spark, 30_000, 40_000)).count() < 1_000
+    # what is held in a task are few narrow columns of the batch, and no array of each row
+    assert "array" not in store.maybe_known(rows)._jdf.queryExecution().optimizedPlan().toString().lower()
+    store.close()
+
+
+def test_a_store_without_bitmaps_gets_them(spark, tmp_path):
+    rows = contents_of(spark, 0, 3_000)
+    VersionStore(rows, str(tmp_path / "old"), fields=(), buckets=2, blocks=2, period="day").append(rows, 0)
+    shutil.copytree(tmp_path / "old", tmp_path / "new", ignore=shutil.ignore_patterns("bitmaps"))
+    store = VersionStore(rows, str(tmp_path / "new"), fields=(), buckets=2, blocks=2, period="day")
+    same(store.known(rows, filtered=False), store.known(rows))
+    assert store.known(rows).count() == 3_000
+
+
+def test_a_batch_stores_one_latest_version_of_each_item(spark, tmp_path):
+    batch = batches_of(spark, [(10.0 + n, n) for n in range(9)])[0]
+    store = VersionStore(batch, str(tmp_path / "store"), **LAYOUT)
+    store.append(batch, 0)
+    assert [(r["price"], r["generation"]) for r in spark.table(store._latest).collect()] == [(18.0, 0)]
+    assert spark.table(store._contents).count() == 9
+    store.close()
+
+
+def test_contents_known_come_back_only_after_keep_days(spark, tmp_path):
+    first, second = batches_of(spark, [(10.0, 0), (11.0, 1)], [(10.0, 30), (11.0, 50), (12.0, 51)])
+    store = VersionStore(first, str(tmp_path / "store"), **LAYOUT)
+    store.append(versions.first_versions(first), 0)
+    kept = lambda days: [(r["seq"], r["prev"]["price"]) for r in new_versions_of_batch(second, store, 1, keep_days=days).pairs.orderBy("seq").collect()]
+    assert kept(None) == [(51, 11.0)] and kept(2) == [(50, 11.0), (51, 11.0)]
+    store.close()
+
+
+def test_the_store_grows_with_the_table(spark, sf_dir, monkeypatch):
+    inputs = queries.Inputs(spark, sf_dir)
+    assert queries._layout(inputs) == queries.STORE
+    rows = inputs.positions.count()
+    years = [r["count"] for r in inputs.positions.groupBy(F.year("fetched_at")).count().collect()]
+    monkeypatch.setattr(queries, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(queries, "BLOCK_CONTENTS", 10)
+    assert queries._layout(inputs) == queries.STORE | {"buckets": -(-rows // 100), "blocks": -(-max(years) // 10)}
+
+
 def test_request_dedupe_replay_equals_batch(spark, sf_dir, tmp_path):
     log = tables.fetch_log(spark, sf_dir).withColumn("request_fp", request_fp(canonical_url(F.col("url"))))
     source = in_files(log, "ts", str(tmp_path / "in"))
