@@ -234,6 +234,18 @@ def test_the_store_grows_with_the_table(spark, sf_dir, monkeypatch):
     assert queries._layout(inputs) == queries.STORE | {"buckets": -(-rows // 100), "blocks": -(-max(years) // 10)}
 
 
+def test_compaction_without_gathering_shuffles_nothing(spark, tmp_path):
+    done = CommittedTables(spark, str(tmp_path / "t"))
+    days = [datetime(2023 + k % 2, 1, 1 + k) for k in range(6)]
+    for k in range(3):
+        done.write(k, {"rows": spark.createDataFrame([(n, d) for n, d in enumerate(days)], "n bigint, ts timestamp_ntz").repartition(2)})
+    jobs_before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    done.compact({"rows": "ts"}, keep_last=0, period="year", gather=False)
+    assert [(c.first, c.last) for c in done.commits()] == [(0, 2)]
+    assert sorted(map(tuple, done.read("rows").collect())) == sorted([(n, d) for n, d in enumerate(days)] * 3)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == jobs_before
+
+
 def test_request_dedupe_replay_equals_batch(spark, sf_dir, tmp_path):
     log = tables.fetch_log(spark, sf_dir).withColumn("request_fp", request_fp(canonical_url(F.col("url"))))
     source = in_files(log, "ts", str(tmp_path / "in"))
